@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows and characters that one vectorised step handles at most, which bounds a worker's memory whatever the batch.
@@ -84,14 +84,35 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample") -> list:
-    """At most ``rows`` rows, the lowest by a hash of ``key``. The rate comes from the table's row count, so that the rows
-    collected stay near ``rows`` whatever the table's size, and the same rows come back on every run."""
+def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where: Column | None = None, pool: int = 0) -> list:
+    """At most ``rows`` rows, the lowest by a hash of ``key``. The rate comes from the table's row count, which the footers hold, so
+    that the rows collected stay near ``rows`` whatever the table's size, and the same rows come back on every run. With ``where``, a
+    costly condition, the rows come from a hash sample of ``pool`` rows, so that only these are tested."""
     total = df.count()
     if not total:
         return []
     rank = F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(1 << 30))
-    part = df.withColumn("_rank", rank)
-    if total > rows:
-        part = part.where(F.col("_rank") < int((1 << 30) * min(1.0, 1.1 * rows / total + 20 / total)))
+    part, take = df.withColumn("_rank", rank), max(rows, pool)
+    if total > take:
+        part = part.where(F.col("_rank") < int((1 << 30) * min(1.0, 1.1 * take / total + 20 / total)))
+    if where is not None:
+        part = part.where(where)
     return sorted(part.collect(), key=lambda r: (r["_rank"], str(r[key])))[:rows]
+
+
+def strata_sample(df: DataFrame, key: str, stratum: Column, strata: dict[str, int], salt: str = "sample") -> list:
+    """At most ``strata[s]`` rows of each stratum s, the lowest by a hash of ``key``, each row with its stratum as ``_stratum``."""
+    counts = {r["_stratum"]: r["count"] for r in df.groupBy(stratum.alias("_stratum")).count().collect() if r["_stratum"] in strata}
+    if not counts:
+        return []
+    rank = F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(1 << 30))
+    limit = F.lit(None).cast("long")
+    for s, n in counts.items():
+        limit = F.when(F.col("_stratum") == s, F.lit(int((1 << 30) * min(1.0, 1.1 * strata[s] / n + 20 / n)) if n > strata[s] else 1 << 30)).otherwise(limit)
+    found = sorted(df.withColumns({"_stratum": stratum, "_rank": rank}).where(F.col("_rank") < limit).collect(), key=lambda r: (r["_rank"], str(r[key])))
+    out, left = [], dict(strata)
+    for r in found:
+        if left[r["_stratum"]] > 0:
+            left[r["_stratum"]] -= 1
+            out.append(r)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm import language, pairs, residue, truncation
+from quillforge.llm import language, pairs, residue, splitting, truncation
 from quillforge.sources.tables import table
 
 
@@ -20,6 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_cut_share": lambda s, d: truncation.cut_share(students(s, d)),
         "p2_found": lambda s, d: residue.p2_found(students(s, d)),
         "p2_residue_share": lambda s, d: residue.residue_share(students(s, d)),
+        "p3_found": lambda s, d: splitting.p3_found(table(s, d, "cycle")),
+        "p3_pieces": lambda s, d: splitting.split_pool(table(s, d, "cycle")),
+        "p3_piece_report": lambda s, d: splitting.piece_report(table(s, d, "cycle")),
         "p4_found": lambda s, d: pairs.p4_found(students(s, d), table(s, d, "cycle")),
         "p4_defect_counts": lambda s, d: pairs.defect_counts(students(s, d), table(s, d, "cycle")),
         "p5_found": lambda s, d: language.p5_found(students(s, d)),

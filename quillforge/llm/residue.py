@@ -226,7 +226,7 @@ def fit(students: DataFrame) -> Residue:
     """Fit on two bounded hash samples of the requests' translations: SAMPLE rows of all, SAMPLE of those with a cue of residue."""
     rows = students.select("request_id", "translation")
     some = hash_sample(rows, "request_id", SAMPLE, "residue")
-    cued = hash_sample(rows.where(F.col("translation").rlike(CUES)), "request_id", SAMPLE, "residue")
+    cued = hash_sample(rows, "request_id", SAMPLE, "cued", F.col("translation").rlike(CUES), 5 * SAMPLE)
     return train([*{r["request_id"]: r["translation"] for r in some + cued}.values()])
 
 

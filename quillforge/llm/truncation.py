@@ -187,7 +187,7 @@ def fit(students: DataFrame) -> Ends:
     """Fit on two bounded hash samples of the requests."""
     rows = students.select("request_id", "translation")
     some = hash_sample(rows, "request_id", SAMPLE, "ends")
-    latin = hash_sample(rows.where(F.col("translation").rlike(r"[a-z]{2,} [a-z]{2,} [a-z]{2,}")), "request_id", LATIN_SAMPLE, "ends")
+    latin = hash_sample(rows, "request_id", LATIN_SAMPLE, "latin", F.col("translation").rlike(r"[a-z]{2,} [a-z]{2,} [a-z]{2,}"), 20 * LATIN_SAMPLE)
     return train([*{r["request_id"]: r["translation"] for r in some + latin}.values()])
 
 
