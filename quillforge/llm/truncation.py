@@ -13,6 +13,7 @@ a bracketed ellipsis, a replacement character, a half-written tag) are set aside
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,9 @@ from quillforge.llm.chars import FOLD, hash_sample, map_rows
 
 #: Requests of which the model is fitted at most: of all, and of those with Latin text, which are few.
 SAMPLE, LATIN_SAMPLE = 8_000, 3_000
-BITS, ORDER = 20, 12
+ORDER = 12
+#: Longer contexts than this count only if they occurred twice inside texts, or at an end.
+DEEP = 8
 #: Weight of the shorter context's estimate in the longer one's.
 BACK_OFF = 0.6
 #: By how much a mark of left-out text raises the threshold.
@@ -63,13 +66,19 @@ def fold(text: str) -> list[int]:
 
 def contexts(text: str) -> np.ndarray:
     """Hashes of the last 1 to ORDER characters."""
-    h, out = 0x811C9DC5, np.zeros(ORDER, np.int64)
-    codes = fold(text[-ORDER:])
+    return many_contexts([text])[0]
+
+
+def many_contexts(texts: list[str]) -> np.ndarray:
+    """(texts, ORDER) hashes of each text's last 1 to ORDER characters; places before its start count as code 1."""
+    tails = [t[-ORDER:].rjust(ORDER, "\x01") for t in texts]
+    raw = np.frombuffer("".join(tails).encode("utf-32-le", "replace"), np.uint32).reshape(len(texts), ORDER)
+    codes = np.where(raw < 0x10000, FOLD[np.minimum(raw, 0xFFFF)], raw)
+    h, out = np.full(len(texts), 0x811C9DC5, np.uint32), np.empty((len(texts), ORDER), np.uint32)
     for k in range(ORDER):
-        c = codes[-1 - k] if k < len(codes) else 1
-        h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
-        m = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
-        out[k] = (m ^ (m >> 12)) >> (32 - BITS)
+        h = (h ^ codes[:, ORDER - 1 - k]) * np.uint32(0x01000193)
+        m = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out[:, k] = m ^ (m >> np.uint32(12))
     return out
 
 
@@ -81,7 +90,7 @@ def all_contexts(codes: np.ndarray) -> list[np.ndarray]:
         before[k:] = codes[: len(codes) - k] if k else codes
         h = (h ^ before) * np.uint32(0x01000193)
         m = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        out.append((m ^ (m >> np.uint32(12))) >> np.uint32(32 - BITS))
+        out.append(m ^ (m >> np.uint32(12)))
     return out
 
 
@@ -90,40 +99,83 @@ def bare(unit: str) -> str:
     return unit.rstrip(FINAL + CLOSERS + " \t:;")
 
 
+def noun_endings(unit: str) -> list[str]:
+    """The forms in which a complete Korean sentence may close as a noun, as headings and notes do, by the rule of the alphabet."""
+    m = re.search(r"(.)(?:습니다|다)$|(.)니다$", unit)
+    if not m or not (s := m.group(1) or m.group(2)) or not 0xAC00 <= ord(s) <= 0xD7A3:
+        return []
+    stem, code = unit[: m.start()], ord(s) - 0xAC00
+    final, vowel, base = code % 28, code // 28 % 21, code // 28
+    # vowels of the past tense and those of their stems: ae-a, wae-oe, yeo-i, wa-o, wo-u
+    back = {1: 0, 10: 11, 6: 20, 9: 8, 14: 13}.get(vowel, vowel) if final == 20 else vowel
+    noun = chr(0xAC00 + (base - vowel + back) * 28 + 16)
+    if final in (4, 17) or final == 0:
+        return [stem + noun]
+    return [stem + noun, stem + s + "음"] if final == 20 else [stem + s + "음"]
+
+
 @dataclass
 class Ends:
-    """Counts of contexts at ends and inside, and the threshold of each language group."""
+    """Counts of contexts at ends and inside, by the hash of the context, and each language group's threshold."""
 
+    keys: np.ndarray
     ends: np.ndarray
     inside: np.ndarray
     prior: float
     threshold: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
 
+    def __getstate__(self) -> dict:
+        """Sorted keys as compressed steps, so that what goes to the tasks stays a few MB; its size is bounded by the sample's."""
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.keys, prepend=np.uint32(0)), self.ends, self.inside)]
+        return {"packed": packed, "prior": self.prior, "threshold": self.threshold}
+
+    def __setstate__(self, state: dict) -> None:
+        keys, ends, inside = map(zlib.decompress, state["packed"])
+        self.keys = np.cumsum(np.frombuffer(keys, np.uint32), dtype=np.uint32)
+        self.ends, self.inside = np.frombuffer(ends, np.uint16), np.frombuffer(inside, np.uint16)
+        self.prior, self.threshold = state["prior"], state["threshold"]
+
     def log_odds(self, text: str) -> float:
-        h = contexts(text)
-        p = self.prior
+        return float(self.many_log_odds([text])[0])
+
+    def many_log_odds(self, texts: list[str]) -> np.ndarray:
+        h = many_contexts(texts)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known = np.logical_and.accumulate(self.keys[at] == h, axis=1)
+        e, c = self.ends[at].astype(np.float64), self.inside[at].astype(np.float64)
+        p = np.full(len(texts), self.prior)
         for k in range(ORDER):
-            e, c = self.ends[k, h[k]], self.inside[k, h[k]]
-            if e + c == 0:
-                break
-            p = (e + BACK_OFF * p * 4) / (e + c + BACK_OFF * 4)
-        p = min(max(float(p), 1e-6), 1 - 1e-6)
-        return float(np.log(p / (1 - p)) - np.log(self.prior / (1 - self.prior)))
+            p = np.where(known[:, k], (e[:, k] + BACK_OFF * p * 4) / (e[:, k] + c[:, k] + BACK_OFF * 4), p)
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return np.log(p / (1 - p)) - np.log(self.prior / (1 - self.prior))
 
     def cut(self, text: str | None) -> bool:
-        if not text:
-            return False
-        core, marked = stripped(text)
-        if not any(ch.isalpha() for ch in core):
-            return False
-        # closing marks end a complete text, unless a cut mark follows or the mark stands inside a number
-        tail = core.rstrip(CLOSERS + " ")
-        last = tail[-1:]
-        if last in FINAL and last and not tail[-2:-1].isdigit():
-            return False
-        if not any(ch.isalpha() for ch in tail[-ORDER:]) and not marked and last not in FINAL:
-            return False
-        return self.log_odds(tail if last in FINAL else bare(core)) < self.threshold[group(core)] + MARKED * marked
+        return bool(self.many_cut([text])[0])
+
+    def many_cut(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        at, asked, bounds = [], [], []
+        for i, t in enumerate(texts):
+            if t and (q := question(t)):
+                at.append(i)
+                asked.append(q[0])
+                bounds.append(self.threshold[q[1]] + MARKED * q[2])
+        if at:
+            out[at] = self.many_log_odds(asked) < np.array(bounds)
+        return out
+
+
+def question(text: str) -> tuple[str, int, bool] | None:
+    """The final context to judge, its language group and whether a mark of left-out text followed; null where nothing is cut off."""
+    core, marked = stripped(text)
+    # closing marks end a complete text, unless the full stop stands inside a number
+    tail = core.rstrip(CLOSERS + " ")
+    last = tail[-1:]
+    if last and last in FINAL:
+        return (tail, group(core), marked) if tail[-2:-1].isdigit() and any(map(str.isalpha, tail)) else None
+    if not any(map(str.isalpha, tail[-ORDER:])) and (not marked or not any(map(str.isalpha, tail))):
+        return None
+    return bare(core), group(core), marked
 
 
 def units(text: str) -> list[str]:
@@ -133,8 +185,6 @@ def units(text: str) -> list[str]:
 def train(texts: list[str]) -> Ends:
     """Count contexts on four fifths of the texts and set the thresholds on the rest."""
     texts = [t for t in texts if t and t.strip()]
-    ends = np.zeros((ORDER, 1 << BITS), np.float32)
-    inside = np.zeros((ORDER, 1 << BITS), np.float32)
     held: list[str] = []
     final: list[str] = []
     codes: list[int] = []
@@ -151,35 +201,41 @@ def train(texts: list[str]) -> Ends:
             codes += [1] * ORDER + fold(part)
             closes += [False] * ORDER + [True] * len(part)
     if not codes:
-        return Ends(ends, inside, 0.5)
+        none = np.zeros(1, np.uint16)
+        return Ends(np.zeros(1, np.uint32), none, none, 0.5)
     c = np.array(codes, np.uint32)
     # a position counts as inside where the same unit goes on with a letter, digit or space after it
     word = np.array([chr(x).isalnum() or x == 32 for x in codes])
     goes = np.zeros(len(c), bool)
     goes[:-1] = np.array(closes[:-1]) & np.array(closes[1:]) & word[1:] & (c[:-1] != 32)
+    found, counts = [], []
     for k, h in enumerate(all_contexts(c)):
-        inside[k] += np.bincount(h[goes], minlength=1 << BITS)
-    for u in known:
-        for form in {u.rstrip(CLOSERS), bare(u)}:
-            if form:
-                h = contexts(form)
-                ends[np.arange(ORDER), h] += 1
-    whole = np.zeros_like(ends)
-    for u in final:
-        if u:
-            whole[np.arange(ORDER), contexts(u)] += 1
-    ends += np.maximum(whole - 1, 0)
-    model = Ends(ends, inside, float(ends[0].sum() / (ends[0].sum() + inside[0].sum())))
+        h, n = np.unique(h[goes], return_counts=True)
+        keep = n > (k >= DEEP)
+        found.append(h[keep])
+        counts.append(n[keep])
+    at_end = many_contexts([form for u in known for form in {u.rstrip(CLOSERS), bare(u), *noun_endings(bare(u))} if form] or [""]).ravel()
+    whole, n_whole = np.unique(many_contexts([u for u in final if u] or [""]).ravel(), return_counts=True)
+    at_end, n_end = np.unique(np.concatenate((at_end, np.repeat(whole, n_whole - 1))), return_counts=True)
+    keys, slot = np.unique(np.concatenate((*found, at_end)), return_inverse=True)
+    cap = np.iinfo(np.uint16).max
+    n_inside = sum(map(len, found))
+    inside = np.minimum(np.bincount(slot[:n_inside], np.concatenate(counts), len(keys)), cap).astype(np.uint16)
+    ends = np.minimum(np.bincount(slot[n_inside:], n_end, len(keys)), cap).astype(np.uint16)
+    total, going = len(known) * 2 + len(final), int(goes.sum())
+    model = Ends(keys, ends, inside, total / (total + going))
     rng = np.random.default_rng(7)
     for g in range(len(GROUPS)):
         mine = [u for u in held if len(bare(u)) > 3 and group(bare(u)) == g]
-        whole_scores = np.array([model.log_odds(bare(u)) for u in mine] or [2.0])
+        whole_scores = model.many_log_odds([bare(u) for u in mine]) if mine else np.array([2.0])
         broken = [bare(u[: int(rng.integers(2, max(3, len(u) - 2)))]) for u in mine if len(u) > 8]
-        broken_scores = np.array([model.log_odds(u) for u in broken if u] or [-2.0])
-        cuts = np.linspace(-8, 3, 111)
+        broken = [u for u in broken if u]
+        broken_scores = model.many_log_odds(broken) if broken else np.array([-2.0])
+        cuts = np.linspace(-8, 6, 141)
         # complete texts are far more as frequent as cut ones
-        cost = [60 * (whole_scores < x).mean() + (broken_scores >= x).mean() for x in cuts]
-        model.threshold[g] = float(cuts[max(i for i, x in enumerate(cost) if x <= min(cost) + 0.02)])
+        cost = [25 * (whole_scores < x).mean() + (broken_scores >= x).mean() for x in cuts]
+        near = [x for x, y in zip(cuts, cost) if y <= min(cost) + 0.01]
+        model.threshold[g] = float(0.65 * near[0] + 0.35 * near[-1])
     return model
 
 
@@ -198,7 +254,7 @@ def cut_records(students: DataFrame) -> DataFrame:
     def make():
         def work(ids, corpora, texts):
             bad = spoiled.found(texts)
-            return {"request_id": ids, "corpus": corpora, "spoiled": bad, "cut": [not b and ends.cut(t) for t, b in zip(texts, bad)]}
+            return {"request_id": ids, "corpus": corpora, "spoiled": bad, "cut": ends.many_cut([None if b else t for t, b in zip(texts, bad)])}
 
         return work
 
