@@ -76,7 +76,7 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
         work = make()
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for a, b in steps(columns, text):
+            for a, b in (steps(columns, text) if text >= 0 else [(0, len(columns[0]))] * bool(columns[0])):
                 out = work(*[c[a:b] for c in columns])
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
@@ -100,19 +100,24 @@ def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where:
     return sorted(part.collect(), key=lambda r: (r["_rank"], str(r[key])))[:rows]
 
 
-def strata_sample(df: DataFrame, key: str, stratum: Column, strata: dict[str, int], salt: str = "sample") -> list:
-    """At most ``strata[s]`` rows of each stratum s, the lowest by a hash of ``key``, each row with its stratum as ``_stratum``."""
-    counts = {r["_stratum"]: r["count"] for r in df.groupBy(stratum.alias("_stratum")).count().collect() if r["_stratum"] in strata}
-    if not counts:
+def strata_sample(df: DataFrame, key: str, by: str, stratum, rows: int, salt: str = "sample") -> list:
+    """About ``rows`` rows at most of each stratum, the lowest by a hash of ``key``, each with its stratum as ``_stratum``. ``stratum``
+    maps a value of the column ``by`` to its stratum or null; of the values, the 10,000 most frequent are considered."""
+    values = df.groupBy(by).count().orderBy(F.desc("count"), by).limit(10_000).collect()
+    of = {r[by]: s for r in values if r[by] is not None and (s := stratum(r[by])) is not None}
+    total: dict = {}
+    for r in values:
+        if r[by] in of:
+            total[of[r[by]]] = total.get(of[r[by]], 0) + r["count"]
+    if not of:
         return []
+    part = F.create_map(*(x for v, s in of.items() for x in (F.lit(v), F.lit(int((1 << 30) * min(1.0, 1.1 * rows / total[s] + 20 / total[s]))))))
     rank = F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(1 << 30))
-    limit = F.lit(None).cast("long")
-    for s, n in counts.items():
-        limit = F.when(F.col("_stratum") == s, F.lit(int((1 << 30) * min(1.0, 1.1 * strata[s] / n + 20 / n)) if n > strata[s] else 1 << 30)).otherwise(limit)
-    found = sorted(df.withColumns({"_stratum": stratum, "_rank": rank}).where(F.col("_rank") < limit).collect(), key=lambda r: (r["_rank"], str(r[key])))
-    out, left = [], dict(strata)
-    for r in found:
-        if left[r["_stratum"]] > 0:
-            left[r["_stratum"]] -= 1
-            out.append(r)
+    found = df.where(F.col(by).isin(*of)).withColumn("_rank", rank).where(F.col("_rank") < F.element_at(part, F.col(by))).collect()
+    out, left = [], dict.fromkeys(total, rows)
+    for r in sorted(found, key=lambda r: (r["_rank"], str(r[key]))):
+        s = of[r[by]]
+        if left[s] > 0:
+            left[s] -= 1
+            out.append((s, r))
     return out

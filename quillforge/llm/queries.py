@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm import language, pairs, residue, splitting, truncation
+from quillforge.llm import language, leakage, packing, pairs, residue, splitting, truncation
 from quillforge.sources.tables import table
 
 
@@ -26,6 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: pairs.p4_found(students(s, d), table(s, d, "cycle")),
         "p4_defect_counts": lambda s, d: pairs.defect_counts(students(s, d), table(s, d, "cycle")),
         "p5_found": lambda s, d: language.p5_found(students(s, d)),
+        "p6_sequences": lambda s, d: packing.packed(table(s, d, "documents")),
+        "p6_fill_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
+        "p7_found": lambda s, d: leakage.p7_found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p7_leak_report": lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p5_language_share": lambda s, d: language.language_share(students(s, d)),
     }
 
