@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm import language, leakage, packing, pairs, residue, splitting, truncation
+from quillforge.llm import language, leakage, packing, pairs, residue, splitting, subjects, truncation
 from quillforge.sources.tables import table
 
 
@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_fill_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
         "p7_found": lambda s, d: leakage.p7_found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_leak_report": lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_found": lambda s, d: subjects.p8_found(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects")),
+        "p8_composition": lambda s, d: subjects.composition(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects")),
         "p5_language_share": lambda s, d: language.language_share(students(s, d)),
     }
 

@@ -219,7 +219,7 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Residue:
             score = (total[np.minimum(at + WINDOW, len(c.raw))] - total[at]) / TEMPER + prior
             soft = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             posterior = np.where(trusted, 1.0, np.where(soft >= SURE, soft, 0.0))
-    return Residue(weights)
+    return Residue(weights.astype(np.float16))
 
 
 def fit(students: DataFrame) -> Residue:
