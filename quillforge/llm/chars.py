@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows and characters that one vectorised step handles at most, which bounds a worker's memory whatever the batch.
 STEP_ROWS, STEP_CHARS = 2_000, 600_000
@@ -72,6 +74,8 @@ def steps(columns: list[list], text: int) -> Iterator[tuple[int, int]]:
 def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
     """Run ``make()`` once a task and its result on lists of columns, step by step; it returns a dict of output columns."""
 
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
@@ -79,7 +83,7 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
             for a, b in (steps(columns, text) if text >= 0 else [(0, len(columns[0]))] * bool(columns[0])):
                 out = work(*[c[a:b] for c in columns])
                 if out is not None:
-                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=fields)
 
     return df.mapInArrow(run, schema)
 
