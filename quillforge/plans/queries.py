@@ -1,4 +1,4 @@
-"""Registered queries of the core, and their SQL."""
+"""Registered queries of the core, and their SQL. Each query runs over its whole tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillforge.plans import pool, rows, teaching, texts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (pool, texts, rows, teaching)
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    for g in GROUPS:
+        out |= g.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for g in GROUPS:
+        out |= g.SQL
+    return out
