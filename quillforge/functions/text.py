@@ -78,6 +78,11 @@ def script_counts(c: Column) -> dict[str, Column]:
     return {k: count_of(c, v) for k, v in classes.items()}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, so that expressions grow in proportion to what they do."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(count: Column, total: Column) -> Column:
     """count / max(total, 1)."""
     return count.cast("double") / F.greatest(total, F.lit(1)).cast("double")
@@ -89,15 +94,20 @@ def long_words(c: Column | str, least: int = 3) -> Column:
 
 def source_overlap(source: Column, output: Column) -> Column:
     """Share of the source's distinct words of three or more characters that the output has; 0 where the source has none."""
-    s, m = F.array_distinct(long_words(source)), long_words(output)
-    return F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(s, m)).cast("double") / F.size(s))
+    share = lambda s: F.when(F.size(s) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(s, long_words(output))).cast("double") / F.size(s))
+    return let(F.array_distinct(long_words(source)), share)
 
 
 def output_precision(source: Column, output: Column) -> Column:
     """Share of the output's words of three or more characters, repeats counted, that the source has; 0 where either has none."""
-    s, m = long_words(source), long_words(output)
-    copied = F.size(F.filter(m, lambda w: F.array_contains(s, w)))
-    return F.when((F.size(s) == 0) | (F.size(m) == 0), F.lit(0.0)).otherwise(copied.cast("double") / F.size(m))
+
+    def share(x: Column) -> Column:
+        s, m = x["s"], x["m"]
+        copied = F.size(F.filter(m, lambda w: F.array_contains(x["both"], w)))
+        return F.when((F.size(s) == 0) | (F.size(m) == 0) | (F.size(x["both"]) == 0), F.lit(0.0)).otherwise(copied.cast("double") / F.size(m))
+
+    words_of = F.struct(F.array_distinct(long_words(source)).alias("s"), long_words(output).alias("m"))
+    return let(words_of, lambda x: let(F.struct(x["s"].alias("s"), x["m"].alias("m"), F.array_intersect(x["m"], x["s"]).alias("both")), share))
 
 
 def has_auxiliary(c: Column) -> Column:
@@ -122,12 +132,7 @@ def any_suffix(c: Column, suffixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.endswith(s) for s in suffixes], F.lit(False))
 
 
-# Repetition. Values used several times are bound once with let(), so that expressions grow in proportion to what they do.
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+# Repetition.
 
 
 def longest_run(tokens: Column) -> Column:

@@ -170,7 +170,7 @@ def classify(df: DataFrame, source: str, output: str, status: str, finish: str,
     overlap = T.source_overlap(src, text)
     english = (
         ((rh < 0.05) & (rl > 0.50) & (overlap >= 0.55))
-        | ((n >= 6) & (m >= 20) & (rh < 0.05) & (rl > 0.50) & (T.output_precision(src, text) >= 0.80) & (F.size(T.raw_words(text)) <= 12) & (F.size(T.raw_words(src)) >= 5))
+        | ((n >= 6) & (m >= 20) & (rh < 0.05) & (rl > 0.50) & (F.size(T.raw_words(text)) <= 12) & (F.size(T.raw_words(src)) >= 5) & (T.output_precision(src, text) >= 0.80))
         | ((n >= 40) & (rh < 0.05) & (rx >= 0.35) & (overlap >= 0.55) & T.has_auxiliary(src) & T.has_auxiliary(text)))
     foreign = (n >= 80) & (((rh < 0.10) & (rx > 0.50)) | ((rh < 0.45) & (rx > 0.30) & (overlap >= 0.12)))
     dangling = (n >= t.dangling_chars) & ~T.ends_sentence(text) & T.source_ends_sentence(src) & (T.any_suffix(text, SUFFIXES) | (n >= t.particle_chars) & T.any_suffix(text, PARTICLES))
