@@ -148,7 +148,7 @@ def longest_run(tokens: Column) -> Column:
 
 def most_equal(values: Column) -> Column:
     """Number of times the most frequent value occurs; 0 for an empty array. Sorting puts equal values side by side, without a shuffle."""
-    return let(F.array_sort(values), lambda v: F.when(F.size(v) == 0, F.lit(0).cast("bigint")).otherwise(longest_run(v)))
+    return let(F.sort_array(values), lambda v: F.when(F.size(v) == 0, F.lit(0).cast("bigint")).otherwise(longest_run(v)))
 
 
 def function_words(tokens: Column) -> Column:
@@ -198,22 +198,11 @@ def clause_duplication(c: Column, least: int = 10) -> Column:
         single = F.filter(distinct, lambda x: F.size(F.filter(found, lambda y: y == x)) == 1)
         n = F.size(found)
         return F.when(n == 0, F.struct(F.lit(1).cast("bigint").alias("count"), F.lit(0.0).alias("ratio"))).otherwise(
-            F.struct(longest_run(F.array_sort(found)).alias("count"), ((n - F.size(single)).cast("double") / n).alias("ratio")))
+            F.struct(longest_run(F.sort_array(found)).alias("count"), ((n - F.size(single)).cast("double") / n).alias("ratio")))
 
     return let(clauses(c, least), measure)
 
 
-def char_repeat(c: Column, longest_unit: int = 16, most: int = 6000) -> Column:
-    """Longest run of a unit of up to ``longest_unit`` characters, leftmost first and greedy; blank units do not count."""
-
-    def runs_of(text: Column, k: int) -> Column:
-        found = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{{k}}})\1+"), F.lit(0))
-        solid = F.filter(found, lambda x: F.substring(x, 1, k).rlike(rf"(?U){NOT_SPACE}"))
-        return F.coalesce(F.array_max(F.transform(solid, lambda x: F.floor(F.length(x) / k))), F.lit(1).cast("bigint"))
-
-    return let(bounded_text(c, most), lambda t: F.greatest(F.lit(1).cast("bigint"), *(runs_of(t, k) for k in range(1, longest_unit + 1))))
-
-
 def span_repeat(tokens: Column, longest: int = 24) -> Column:
     """(run, span, score) of the immediately repeated token span with the largest run x span. Each span length is scanned from left to
     right; a run found is jumped over, and spans of one repeated token are passed by. The shortest span wins ties."""

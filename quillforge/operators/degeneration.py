@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
+from quillforge.functions.repeats import unit_runs
 
 # Patterns (Java syntax; the flags stand for ignoring case, Unicode classes, lines ending at \n only).
 THINKING = r"(?iU)<\s*/?\s*think\s*>|\bwe need to translate\b|\blet'?s understand\b|\bpossible translation\b"
@@ -107,11 +108,9 @@ FULL_FEATURES = ("char", "word", "token", "function", "clause", "span", "ngram",
 
 
 def cheap_features(text: Column, tokens: Column, r: Repetition) -> dict[str, Column]:
-    """Features that need no scan over spans or n-grams. The unit scan runs only where some unit repeats often enough to matter."""
-    body = T.bounded_text(text, r.max_chars)
-    often = body.rlike(rf"(?s)(.{{1,{r.max_unit}}}?)\1{{{r.char_run - 1},}}")
+    """Features that need no scan over spans or n-grams."""
     return {
-        "char": F.when(often, T.char_repeat(text, r.max_unit, r.max_chars)).otherwise(F.lit(1).cast("bigint")),
+        "char": F.col("_char"),
         "word": T.longest_run(tokens), "token": T.most_equal(tokens), "function": T.most_equal(T.function_words(tokens)),
         "clause": T.clause_duplication(text, r.clause_chars), "size": F.size(tokens).cast("bigint"),
     }
@@ -124,12 +123,15 @@ def classify(df: DataFrame, source: str, output: str, status: str, finish: str,
     r, on = t.repetition, t.checks
     own = [c for c in df.columns]
     x = df.withColumns({"_t": F.coalesce(T.strip(output), F.lit("")), "_s": F.coalesce(F.col(source), F.lit(""))})
+    if "repetition" in on:
+        x = x.withColumns({"_char": unit_runs(F.col("_t"), r.max_unit, r.max_chars), "_schar": unit_runs(F.col("_s"), r.max_unit, r.max_chars)})
     x = x.withColumns({"_n": F.length("_t"), "_m": F.length("_s"), "_tokens": T.bounded(T.words(F.col("_t")), r.max_tokens), **{f"_{k}": v for k, v in T.script_counts(F.col("_t")).items()}})
     share = lambda *names: T.ratio(sum((F.col(f"_{k}") for k in names[1:]), F.col(f"_{names[0]}")), F.col("_n"))
     x = x.withColumns({"_rh": share("hangul"), "_rl": share("latin"), "_rx": share("latin", "latin_ext"), "_wrong": F.col("_cjk") + F.col("_kana") + F.col("_other")})
     if "repetition" in on:
-        x = x.withColumn("_cheap", F.struct(*(v.alias(k) for k, v in cheap_features(F.col("_t"), F.col("_tokens"), r).items())))
-        c = lambda k: F.col(f"_cheap.{k}")
+        # columns of their own: the fields of a struct would be worked out again at each use
+        x = x.withColumns({f"_c_{k}": v for k, v in cheap_features(F.col("_t"), F.col("_tokens"), r).items()})
+        c = lambda k: F.col(f"_c_{k}")
         doubled = (c("clause.count") >= r.clause_count) & (c("clause.ratio") >= r.clause_ratio)
         short = (c("clause.count") >= r.short_clause_count) & (c("clause.ratio") >= r.short_clause_ratio) & (F.col("_n") <= r.short_text)
         gate = (c("char") >= r.char_run) | (c("word") >= r.word_run) | (c("token") >= min(r.token_count, r.short_cheap, r.ngram_count)) | (c("function") >= r.function_count) | doubled | short
@@ -144,7 +146,7 @@ def classify(df: DataFrame, source: str, output: str, status: str, finish: str,
         x = x.withColumn("_stokens", F.when(suspect, T.bounded(T.words(F.col("_s")), r.max_tokens)))
         st = F.col("_stokens")
         x = x.withColumn("_src", F.when(st.isNotNull(), F.struct(
-            T.char_repeat(F.col("_s"), r.max_unit, r.max_chars).alias("char"), T.longest_run(st).alias("word"), T.most_equal(st).alias("token"),
+            F.col("_schar").alias("char"), T.longest_run(st).alias("word"), T.most_equal(st).alias("token"),
             T.clause_duplication(F.col("_s"), r.clause_chars).alias("clause"), deep(st).alias("deep"))))
         s = lambda k: F.col(f"_src.{k}")
         repeated = lambda p: d(f"{p}.count") * d(f"{p}.n")

@@ -13,7 +13,7 @@ from quillforge.operators import prompting as R
 from quillforge.operators import training as TR
 from quillforge.plans import sql as Q
 from quillforge.sources import files
-from quillforge.sources.tables import table
+from quillforge.sources.tables import spread, table
 
 EOS, MOST, BATCH = 2, 96, 8
 PER_DEVICE, WORLD, EFFECTIVE = 4, 4, 128
@@ -130,7 +130,9 @@ def usage(s: SparkSession, d: str) -> DataFrame:
 
 def translated(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "cycle").select("order_idx", "target")
-    return last_students(s, d).where("student_status = 'ok'").select("request_id", "order_idx", "model_name", "translation").join(t, "order_idx").where("target is not null and translation is not null")
+    st = spread(students(s, d).select("request_id", "order_idx", "model_name", "translation", "student_status", "finished_at"))
+    last = J.latest(st, ["request_id"], [F.col("finished_at").desc()]).where("student_status = 'ok' and translation is not null")
+    return last.select("request_id", "order_idx", "model_name", "translation").join(t.where("target is not null"), "order_idx")
 
 
 def bleu_statistics(s: SparkSession, d: str) -> DataFrame:

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
+from quillforge.functions.repeats import unit_runs
 from quillforge.operators import degeneration as D
 from quillforge.operators import splitter as X
 from quillforge.plans import sql as Q
-from quillforge.sources.tables import table
+from quillforge.sources.tables import spread, table
 
 
 def students(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "student_translations")
+    """The columns that the text queries read."""
+    return spread(table(s, d, "student_translations").select("request_id", "order_idx", "translation", "student_status", "finish_reason", "corpus"))
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
-    st = students(s, d).select("request_id", "order_idx", "translation", "student_status", "finish_reason", "corpus")
-    return st.join(table(s, d, "cycle").select("order_idx", "source"), "order_idx")
+    return students(s, d).join(table(s, d, "cycle").select("order_idx", "source"), "order_idx")
 
 
 def script_counts(s: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def char_runs(s: SparkSession, d: str) -> DataFrame:
-    return students(s, d).select("request_id", T.char_repeat(F.coalesce("translation", F.lit(""))).alias("char_run"))
+    return students(s, d).select("request_id", unit_runs(F.coalesce("translation", F.lit(""))).alias("char_run"))
 
 
 def labels(t: D.Thresholds | None = None):
@@ -84,12 +85,12 @@ def validity(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "cycle").select("order_idx", "id", "source", "metadata")
+    c = spread(table(s, d, "cycle").select("order_idx", "id", "source", "metadata"))
     return X.split_rows(c, "source", 256, "order_idx").select("order_idx", "id", "chunk_idx", "chunk_count", "source", F.map_entries("metadata").alias("metadata"))
 
 
 def chunk_counters(s: SparkSession, d: str) -> DataFrame:
-    return X.counters(X.split_rows(table(s, d, "cycle").select("order_idx", "source").where("source is not null"), "source", 256, "order_idx"), "order_idx")
+    return X.counters(X.split_rows(spread(table(s, d, "cycle").select("order_idx", "source").where("source is not null")), "source", 256, "order_idx"), "order_idx")
 
 
 T0 = "coalesce(translation, '')"

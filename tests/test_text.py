@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
+from quillforge.functions.repeats import longest_unit_runs, unit_runs
 
 IGNORED = set(T.IGNORED_BIGRAMS)
 
@@ -61,7 +62,7 @@ def test_repetition_against_brute_force(spark):
     df = spark.createDataFrame([(i, x, "".join(x)) for i, x in enumerate(lists)], "i int, t array<string>, s string")
     t = F.col("t")
     rows = df.select("i", T.span_repeat(t).alias("span"), T.ngram_repeat(t, 2, 2).alias("two"), T.ngram_repeat(t, 3, 12).alias("many"), T.longest_run(t).alias("run"),
-                     T.most_equal(t).alias("top"), T.char_repeat(F.col("s")).alias("chars")).collect()
+                     T.most_equal(t).alias("top"), unit_runs(F.col("s")).alias("chars")).collect()
     for r in rows:
         x = lists[r["i"]]
         assert tuple(r["span"]) == brute_span(x), x
@@ -90,3 +91,10 @@ def test_overlap_and_clauses(spark):
     assert got == [(0.5, 0.75), (0.0, 0.0), (0.0, 0.0)]
     c = spark.createDataFrame([("같은 문장이 또 나온다 정말. 같은 문장이 또 나온다 정말! 다른 문장도 하나 나온다고",), ("짧다",)], "s string")
     assert [tuple(r[0]) for r in c.select(T.clause_duplication(F.col("s"))).collect()] == [(2, 2 / 3), (1, 0.0)]
+
+
+def test_unit_runs_against_brute_force():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab 가") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", " " * 50, "ab" * 5000, "하하하하", "x" * 13_000, "a\n" * 9]
+    assert longest_unit_runs(texts, 16, 6000) == [brute_chars(t) for t in texts]
+    assert longest_unit_runs(texts, 3, 40) == [brute_chars(t, 3, 40) for t in texts]
