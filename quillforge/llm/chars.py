@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from quillforge.sources.tables import spread
+
 #: Rows and characters that one vectorised step handles at most, which bounds a worker's memory whatever the batch.
 STEP_ROWS, STEP_CHARS = 2_000, 600_000
 
@@ -71,8 +73,9 @@ def steps(columns: list[list], text: int) -> Iterator[tuple[int, int]]:
         yield at, len(rows)
 
 
-def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
-    """Run ``make()`` once a task and its result on lists of columns, step by step; it returns a dict of output columns."""
+def map_rows(df: DataFrame, make, schema: str, text: int = 0, scan: bool = True) -> DataFrame:
+    """Run ``make()`` once a task and its result on lists of columns, step by step; it returns a dict of output columns. ``text`` is the
+    column whose length bounds a step (-1: none has long values); ``scan`` tells that df is a plain scan, whose rows may be spread."""
 
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
@@ -85,7 +88,7 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0) -> DataFrame:
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return (spread(df) if scan and text >= 0 else df).mapInArrow(run, schema)
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where: Column | None = None, pool: int = 0) -> list:

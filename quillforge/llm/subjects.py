@@ -161,9 +161,9 @@ def batches(rows: list[tuple[list[int], list[int]]]):
     return owner, ids, counts
 
 
-def summed(rows: DataFrame, add: Callable, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over all rows of ``add``'s arrays: one for each task, then added in a tree of FAN at a time, so that no task and not
-    the driver holds more than FAN of them."""
+def summed(rows: DataFrame, tasks: int, add: Callable, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all rows of ``add``'s arrays: one for each of at most ``tasks`` tasks, then added in a tree of FAN at a time, so that no
+    task and not the driver holds more than FAN of them."""
 
     def run(parts):
         from pyspark import TaskContext
@@ -182,7 +182,7 @@ def summed(rows: DataFrame, add: Callable, shape: tuple[int, int]) -> np.ndarray
             total += np.frombuffer(zlib.decompress(x), np.float32).reshape(shape)
         return pd.DataFrame({"slot": [int(frame["slot"].iloc[0]) // FAN], "sums": [zlib.compress(total.tobytes(), 1)]})
 
-    sums, left = rows.mapInArrow(run, "slot bigint, sums binary"), rows.rdd.getNumPartitions()
+    sums, left = rows.mapInArrow(run, "slot bigint, sums binary"), tasks
     while left > FAN:
         sums = sums.groupBy((F.col("slot") / FAN).cast("bigint").alias("_group")).applyInPandas(lambda f: merge(f), "slot bigint, sums binary")
         left = -(-left // FAN)
@@ -233,9 +233,11 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
             total[0] += np.bincount(i, c, TERMS)
         return work
 
-    labelled = summed(terms.join(given, "doc_id").select("given", "terms", "counts"), add_labelled, (k, TERMS))
+    tasks = terms.rdd.getNumPartitions()
+    joined = max(tasks, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    labelled = summed(terms.join(given, "doc_id").select("given", "terms", "counts"), joined, add_labelled, (k, TERMS))
     plain = terms.select("terms", "counts")
-    overall = summed(plain, add_all, (1, TERMS))[0]
+    overall = summed(plain, tasks, add_all, (1, TERMS))[0]
     h = seeds(labelled, overall, described)
     for _ in range(passes):
 
@@ -250,7 +252,7 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
             return work
 
         # components keep a part of their anchors, so that none drifts to another subject
-        new = summed(plain, add, (k + 2, TERMS)) + 1e-6
+        new = summed(plain, tasks, add, (k + 2, TERMS)) + 1e-6
         new /= new.sum(1, keepdims=True)
         h = np.where(h > 1e-9, new, 1e-9)
         h /= h.sum(1, keepdims=True)
