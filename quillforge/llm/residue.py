@@ -43,7 +43,7 @@ SLOT = "|".join(
         r"<%=?\s*" + _NAME + r"\s*%>",
         r"<<\s*" + _NAME + r"\s*>>",
         r"«\s*\w+\s*»",
-        r"%(?!\d)\w+%",
+        r"(?<!\d)%(?!\d)\w+%",
         r"\$(?!\d)\w+\$",
         r"(?<![\w:]):(?:[A-Za-z_]+|[가-힣]{1,8}):",
         r"(?<!\w)(?:\|\w+\||~\w+~|\^\w+\^|‹\w+›|<[a-z]+_[a-z_]+>|<[A-Z]+_?[A-Z_]*>)",
@@ -66,7 +66,7 @@ FILLER = "|".join(
         r"(?:더미 텍스트|자리 채움|예시 문구\.|샘플 문장입니다|시안용|아래 칸에|(?:텍스트|번역문|내용)[을를] (?:넣어|입력)[^.\n]{0,4} ?(?:주세요|하세요|주십시오))",
         r"(?:^|\n|\. )\s*(?:TBD|TODO|FIXME|XXX)\b\s*[-:–—]",
         r"\b(?:TBD|TODO|FIXME)\b|(?i:\b(?:translation|text|content) goes here\b)|\(?추후 (?:작성|번역|입력)\)?|작성 예정:|(?:본문|번역|내용) (?:번역 )?예정(?=\s*$)|내용 채우기|임시 문구|화면 배치 확인|레이아웃 점검|(?i:replace with (?:the )?final copy)|여기에 [가-힣]+[을를] ",
-        r"(?:(?:^|\s)[Xx]+(?=\s|$)){4,}",
+        r"(?<!\S)(?P<mask>[^\s\d=.-])(?P=mask)+(?:\s(?P=mask){2,}){2,}(?!\S)",
     )
 )
 ERROR = "|".join(
@@ -127,7 +127,7 @@ def features(c: Chars) -> list[tuple[np.ndarray, np.ndarray]]:
 #: Cheap cues, by which the scan picks rows that may hold a trusted form (Java syntax).
 CUES = (
     r"[{}«»#~|^@‹›]|<[%<a-zA-Z]|%[(a-zA-Z가-힣]|\$[a-zA-Z가-힣]|:[a-z가-힣]|__|\[[a-zA-Z가-힣]|입력|작성|예정|(?i:lorem|asdf|qwer|blah|dummy|placeholder|sample|insert|goes here|traceback|error|found|script|cookie|browser|session|access|server|request|again|todo|tbd|fixme|xxx)"
-    r"|ㅁㄴㅇㄹ|가나다|더미|채움|예시|샘플|시안|페이지|문서|찾을 수|권한|로그인|점검|오류|인증|시도해|관리자|주소|서비스 이용|쿠키|스크립트|브라우저|Seite|introuvable|encontrada|ページ|页面"
+    r"|([XΔ○●□_*])\1+ \1+ |ㅁㄴㅇㄹ|가나다|더미|채움|예시|샘플|시안|페이지|문서|찾을 수|권한|로그인|점검|오류|인증|시도해|관리자|주소|서비스 이용|쿠키|스크립트|브라우저|Seite|introuvable|encontrada|ページ|页面"
 )
 
 

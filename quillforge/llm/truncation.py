@@ -30,10 +30,12 @@ ORDER = 12
 DEEP = 8
 #: Weight of the shorter context's estimate in the longer one's.
 BACK_OFF = 0.6
-#: By how much a mark of left-out text raises the threshold.
-MARKED = 1.0
+#: By how much a mark of left-out text raises the threshold, and the end of a broken transfer (a broken character, tag or escape).
+MARKED, BROKEN = 1.0, 8.0
+#: The threshold of a group whose held-out units are too few to set one is not below this.
+LOWEST = -5.0
 #: What a cut leaves behind.
-MARKS = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\[\.\.\.\]|\((?:생략|중략|후략|이하 생략|계속|다음에 계속|cut|truncated|continued|more)\)|�|<[a-zA-Z/]{0,8}$|&[a-z]{0,5}$|\\u?[0-9a-fA-F]{0,3}$|[​﻿⁠]|[-–—]$)+$")
+MARKS = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\[\.\.\.\]|\((?:생략|중략|후략|이하 생략|계속|다음에 계속|cut|truncated|continued|more)\)|�|<[a-zA-Z/]{0,8}$|&#?[a-z0-9]{0,5}$|\\u?[0-9a-fA-F]{0,3}$|[​﻿⁠]|[-–—]$)+$")
 #: Closing marks, which a complete text may have or lack.
 CLOSERS = "\"'”’»」』)]}*_`"
 FINAL = ".!?。！？"
@@ -53,11 +55,11 @@ def group(text: str) -> int:
     return 2
 
 
-def stripped(text: str) -> tuple[str, bool]:
-    """The text without what a cut leaves behind, and whether there was a mark that stands for left-out text."""
+def stripped(text: str) -> tuple[str, float]:
+    """The text without what a cut leaves behind, and by how much that raises the threshold."""
     core = MARKS.sub("", text)
     rest = text[len(core):]
-    return core, bool(re.search(r"�|\[|\(|…|\.\.\.|<|&|\\", rest))
+    return core, BROKEN if re.search(r"[�<&\\]", rest) else MARKED if re.search(r"\[|\(|…|\.\.\.", rest) else 0.0
 
 
 def fold(text: str) -> list[int]:
@@ -159,14 +161,14 @@ class Ends:
             if t and (q := question(t)):
                 at.append(i)
                 asked.append(q[0])
-                bounds.append(self.threshold[q[1]] + MARKED * q[2])
+                bounds.append(self.threshold[q[1]] + q[2])
         if at:
             out[at] = self.many_log_odds(asked) < np.array(bounds)
         return out
 
 
-def question(text: str) -> tuple[str, int, bool] | None:
-    """The final context to judge, its language group and whether a mark of left-out text followed; null where nothing is cut off."""
+def question(text: str) -> tuple[str, int, float] | None:
+    """The final context to judge, its language group and what raises the threshold; null where nothing is cut off."""
     core, marked = stripped(text)
     # closing marks end a complete text, unless the full stop stands inside a number
     tail = core.rstrip(CLOSERS + " ")
@@ -235,7 +237,7 @@ def train(texts: list[str]) -> Ends:
         # complete texts are far more as frequent as cut ones
         cost = [25 * (whole_scores < x).mean() + (broken_scores >= x).mean() for x in cuts]
         near = [x for x, y in zip(cuts, cost) if y <= min(cost) + 0.01]
-        model.threshold[g] = float(0.65 * near[0] + 0.35 * near[-1])
+        model.threshold[g] = max(LOWEST, float(0.65 * near[0] + 0.35 * near[-1]))
     return model
 
 
