@@ -44,13 +44,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, position: str = "position")
     row a key and the columns of ``old``."""
     values = [c for c in old.columns if c not in (key, position)]
     o, n = old.alias("o"), new.alias("n")
-    end = old.agg(F.coalesce(F.max(position), F.lit(-1)).alias("_end"))
-    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").crossJoin(F.broadcast(end))
+    end = old.agg(F.coalesce(F.max(position), F.lit(-1))).first()[0]
+    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     fresh = F.row_number().over(Window.partitionBy(F.col(f"o.{key}").isNull()).orderBy(F.col(f"n.{position}"), F.col(f"n.{key}")))
     held = F.col(f"n.{key}").isNotNull()
     return joined.withColumn("_fresh", fresh).select(
         F.coalesce(f"n.{key}", f"o.{key}").alias(key),
-        F.when(F.col(f"o.{key}").isNotNull(), F.col(f"o.{position}")).otherwise(F.col("_end") + F.col("_fresh")).cast("bigint").alias(position),
+        F.when(F.col(f"o.{key}").isNotNull(), F.col(f"o.{position}")).otherwise(F.lit(end) + F.col("_fresh")).cast("bigint").alias(position),
         *(F.when(held, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in values))
 
 

@@ -71,7 +71,7 @@ def positions(df: DataFrame, key: str, ties: list[str], out: str = "position", d
     before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
     return (
-        part.withColumn("_within", within).join(F.broadcast(before.select("_part", "_before")), "_part")
+        part.withColumn("_within", within).join(before.select("_part", "_before"), "_part")
         .withColumn(out, (F.coalesce("_before", F.lit(0)) + F.col("_within") - 1).cast("bigint")).drop("_part", "_within", "_before")
     )
 

@@ -119,9 +119,9 @@ def label_ratios(accepted: DataFrame, label: str) -> DataFrame:
     spark = accepted.sparkSession
     every = spark.createDataFrame([(x,) for x in ACCEPTED], "label string")
     counts = accepted.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return every.join(counts, "label", "full").crossJoin(F.broadcast(total)).select(
-        "label", F.coalesce("n", F.lit(0)).alias("n"), T.ratio(F.coalesce("n", F.lit(0)), F.coalesce("_total", F.lit(0))).alias("share"))
+    n = F.coalesce("n", F.lit(0))
+    # a row a label: the total is over a handful of rows
+    return every.join(counts, "label", "full").select("label", n.alias("n"), T.ratio(n, F.sum(n).over(Window.partitionBy(F.lit(1)))).alias("share"))
 
 
 @dataclass

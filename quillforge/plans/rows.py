@@ -75,9 +75,9 @@ def pool_prompts(s: SparkSession, d: str) -> DataFrame:
 
 
 def gold(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "golden_pairs")
-    # ids may repeat: the place is that of the first acceptance time
-    return g.withColumn("_place", F.row_number().over(Window.orderBy("accepted_at", "id")).cast("bigint"))
+    """Golden pairs with a place from 1: in the order of hashed ids, repeated ids by their time."""
+    g = table(s, d, "golden_pairs").withColumn("_key", F.sha2(F.coalesce("id", F.lit("")), 256))
+    return P.positions(g, "_key", ["accepted_at"], "_place").withColumn("_place", F.col("_place") + 1).drop("_key")
 
 
 def training(s: SparkSession, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ def csv_summary(s: SparkSession, d: str) -> DataFrame:
     return files.read_csv(s, path, "corpus string, rows bigint, requests bigint")
 
 
-GOLD = "(select *, row_number() over (order by accepted_at, id) as place from golden_pairs)"
+GOLD = "(select *, row_number() over (order by sha256(coalesce(id, '')), accepted_at) as place from golden_pairs)"
 TRAIN = f"""t as (select id, place - 1 as order_idx, source, {Q.strip('target')} as target, 'Translate: ' || coalesce(source, '') || chr(10) || 'Korean:' as p
  from {GOLD} where {Q.has_text('source')} and {Q.has_text('target')})"""
 IDS = lambda c: f"list_transform(regexp_extract_all({c}, '{Q.WORD}'), lambda x: length(x))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillforge.operators import pool as P
 from quillforge.operators import teacher as TE
 from quillforge.operators.pool import hash_shard
 from quillforge.plans import sql as Q
@@ -17,8 +18,8 @@ def candidates(s: SparkSession, d: str) -> DataFrame:
     """Golden pairs as candidates, ranked; a repeated id counts once."""
     g = table(s, d, "golden_pairs").where("id is not null")
     first = g.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("accepted_at"))).where("_n = 1")
-    rank = F.row_number().over(Window.orderBy("id"))
-    return first.select("id", "source", F.col("target").alias("student_translation"), "teacher_label", rank.cast("bigint").alias("selection_rank"))
+    ranked = P.positions(first.withColumn("_key", F.sha2("id", 256)), "_key", ["id"], "_rank")
+    return ranked.select("id", "source", F.col("target").alias("student_translation"), "teacher_label", (F.col("_rank") + 1).alias("selection_rank"))
 
 
 def raw_answers(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +101,7 @@ def summary(s: SparkSession, d: str) -> DataFrame:
         F.greatest(F.lit(0), F.lit(TARGET) - F.count_if(F.col("reject_reason").isNull())).cast("bigint").alias("shortfall"), F.sum("error_count").alias("errors"))
 
 
-CAND = """c as (select *, row_number() over (order by id) as selection_rank from (select id, source, target, teacher_label from golden_pairs where id is not null qualify row_number() over (partition by id order by accepted_at) = 1)),
+CAND = """c as (select *, row_number() over (order by sha256(id), id) as selection_rank from (select id, source, target, teacher_label from golden_pairs where id is not null qualify row_number() over (partition by id order by accepted_at) = 1)),
  b as (select *, (selection_rank - 1) // 4 as batch_idx, (selection_rank - 1) % 4 as batch_pos, case when teacher_label in ('keep', 'edit', 'rewrite', 'translate', 'invalid') then teacher_label else 'invalid' end as label from c)"""
 ITEMS = f"""{CAND},
  i as (select batch_idx, batch_pos, id, case batch_idx % 7 when 5 then 'failed' when 0 then 'not_json' when 2 then 'unknown_label' when 3 then 'wrong_ids' else 'ok' end as parse_status, label as l, coalesce(target, '') as t from b),
