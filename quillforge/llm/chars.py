@@ -93,7 +93,7 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0, scan: bool = True)
 
 def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where: Column | None = None, pool: int = 0) -> list:
     """At most ``rows`` rows, the lowest by a hash of ``key``. The rate comes from the table's row count, which the footers hold, so
-    that the rows collected stay near ``rows`` whatever the table's size, and the same rows come back on every run. With ``where``, a
+    that the rows collected stay near ``rows`` whatever the table's size, and the same keys come back on every run. With ``where``, a
     costly condition, the rows come from a hash sample of ``pool`` rows, so that only these are tested."""
     total = df.count()
     if not total:
@@ -104,7 +104,8 @@ def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where:
         part = part.where(F.col("_rank") < int((1 << 30) * min(1.0, 1.1 * take / total + 20 / total)))
     if where is not None:
         part = part.where(where)
-    return sorted(part.collect(), key=lambda r: (r["_rank"], str(r[key])))[:rows]
+    # rows of one key share their hash: one row a key keeps what is collected bounded, however many rows a key has
+    return sorted(part.dropDuplicates([key]).collect(), key=lambda r: (r["_rank"], str(r[key])))[:rows]
 
 
 def strata_sample(df: DataFrame, key: str, by: str, stratum, rows: int, salt: str = "sample") -> list:
@@ -120,7 +121,7 @@ def strata_sample(df: DataFrame, key: str, by: str, stratum, rows: int, salt: st
         return []
     part = F.create_map(*(x for v, s in of.items() for x in (F.lit(v), F.lit(int((1 << 30) * min(1.0, 1.1 * rows / total[s] + 20 / total[s]))))))
     rank = F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(1 << 30))
-    found = df.where(F.col(by).isin(*of)).withColumn("_rank", rank).where(F.col("_rank") < F.element_at(part, F.col(by))).collect()
+    found = df.where(F.col(by).isin(*of)).withColumn("_rank", rank).where(F.col("_rank") < F.element_at(part, F.col(by))).dropDuplicates([key]).collect()
     out, left = [], dict.fromkeys(total, rows)
     for r in sorted(found, key=lambda r: (r["_rank"], str(r[key]))):
         s = of[r[by]]

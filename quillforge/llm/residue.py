@@ -65,7 +65,7 @@ FILLER = "|".join(
         r"(?i:\b(?:dummy copy|placeholder text|sample paragraph|insert copy here|text text text|sample text sample|dummy text)\b)",
         r"(?:더미 텍스트|자리 채움|예시 문구\.|샘플 문장입니다|시안용|아래 칸에|(?:텍스트|번역문|내용)[을를] (?:넣어|입력)[^.\n]{0,4} ?(?:주세요|하세요|주십시오))",
         r"(?:^|\n|\. )\s*(?:TBD|TODO|FIXME|XXX)\b\s*[-:–—]",
-        r"\b(?:TBD|TODO|FIXME)\b|(?i:\b(?:translation|text|content) goes here\b)|\(?추후 (?:작성|번역|입력)\)?|작성 예정:|(?:본문|번역|내용) (?:번역 )?예정(?=\s*$)|내용 채우기|임시 문구|화면 배치 확인|레이아웃 점검|(?i:replace with (?:the )?final copy)|여기에 [가-힣]+[을를] ",
+        r"\b(?:TBD|TODO|FIXME)\b|(?i:\b(?:translation|text|content) goes here\b)|\(?추후 (?:작성|번역|입력)\)?|작성 예정:|(?:본문|번역|내용) (?:번역 )?예정(?=\s*$)|내용 채우기|임시 문구|화면 배치 확인|레이아웃 점검|(?i:replace with (?:the )?final copy)|(?:여기에|이곳에|이 자리에|이 칸에|아래에|아래 칸에) [가-힣]+[을를] ?(?:작성|입력|넣|붙여|적어|기입)",
         r"(?<!\S)(?P<mask>[^\s\d=.-])(?P=mask)+(?:\s(?P=mask){2,}){2,}(?!\S)",
     )
 )
@@ -127,7 +127,7 @@ def features(c: Chars) -> list[tuple[np.ndarray, np.ndarray]]:
 #: Cheap cues, by which the scan picks rows that may hold a trusted form (Java syntax).
 CUES = (
     r"[{}«»#~|^@‹›]|<[%<a-zA-Z]|%[(a-zA-Z가-힣]|\$[a-zA-Z가-힣]|:[a-z가-힣]|__|\[[a-zA-Z가-힣]|입력|작성|예정|(?i:lorem|asdf|qwer|blah|dummy|placeholder|sample|insert|goes here|traceback|error|found|script|cookie|browser|session|access|server|request|again|todo|tbd|fixme|xxx)"
-    r"|([XΔ○●□_*])\1+ \1+ |ㅁㄴㅇㄹ|가나다|더미|채움|예시|샘플|시안|페이지|문서|찾을 수|권한|로그인|점검|오류|인증|시도해|관리자|주소|서비스 이용|쿠키|스크립트|브라우저|Seite|introuvable|encontrada|ページ|页面"
+    r"|([XΔ○●□_*])\1+ \1+ |ㅁㄴㅇㄹ|가나다|더미|채움|예시|샘플|시안|이곳에|자리에|칸에|페이지|문서|찾을 수|권한|로그인|점검|오류|인증|시도해|관리자|주소|서비스 이용|쿠키|스크립트|브라우저|Seite|introuvable|encontrada|ページ|页面"
 )
 
 
@@ -213,7 +213,7 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Residue:
             neg, seen, smooth = np.maximum(both - pos, 0), max(1, int((both > 0).sum())), 0.05
             lp = np.log((pos + smooth) / (pos.sum() + smooth * seen))
             ln = np.log((neg + smooth) / (neg.sum() + smooth * seen))
-            weights[i] = np.where(both > 0, np.clip(lp - ln, -2, 6), 0.0) / kinds
+            weights[i] = np.where(both > 0, np.clip(lp - ln, -1, 6), 0.0) / kinds
         if r < rounds - 1:
             total = np.concatenate(([0.0], np.cumsum(Residue(weights).per_position(c))))
             score = (total[np.minimum(at + WINDOW, len(c.raw))] - total[at]) / TEMPER + prior

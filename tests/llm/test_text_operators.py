@@ -185,3 +185,19 @@ def test_pair_queries(spark, data, students, spoiled):
     assert {r[0] for r in rows if r[1] == "truncated"} == cut
     assert pairs.p4_found(students.limit(0), cycle).count() == 0
     assert {r[1] for r in pairs.p4_found(students, cycle.limit(0)).collect()}.isdisjoint({"copy"})
+
+
+def test_samples_stay_bounded_when_one_key_holds_most_rows(spark):
+    from quillforge.llm.chars import hash_sample, strata_sample
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.when(F.col("id") % 2 == 0, F.lit("ko")).otherwise(F.lit("EN ")).alias("l"))
+    got = hash_sample(df, "k", 300)
+    assert 100 < len(got) <= 300 and len({r["k"] for r in got}) == len(got)
+    assert [r["k"] for r in hash_sample(df, "k", 300)] == [r["k"] for r in got]
+    some = hash_sample(df, "k", 300, where=F.col("k").endswith("7"), pool=3000)
+    assert 0 < len(some) <= 300 and all(r["k"].endswith("7") for r in some)
+    by = {}
+    for s, r in strata_sample(df, "k", "l", language.label, 200):
+        by.setdefault(s, set()).add(r["k"])
+    assert set(by) == {"ko", "en"} and all(50 < len(v) <= 200 for v in by.values())
+    assert hash_sample(df.limit(0), "k", 5) == [] and strata_sample(df.limit(0), "k", "l", language.label, 5) == []
