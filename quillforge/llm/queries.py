@@ -36,6 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Unicode white space, spelled out for RE2.
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that it can express."""
-    return {}
+    """SQL for the queries that it can express; the others rest on trained models, alignment or a tokenizer."""
+    return {"p3_found": f"select distinct order_idx from cycle where len(regexp_extract_all(source, '[^{SPACE}]+')) > 1280"}
