@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillforge.operators.pool import BUCKETS, bucket_name
 
+# Fixed value: the salt of the random order.
+RANDOM_SALT = "dqs_teacher_selection_random_v1"
 ORDERS = {"low": "low", "bottom": "low", "lowest": "low", "low_qe": "low", "bottom_qe": "low", "high": "high", "top": "high", "highest": "high", "high_qe": "high", "top_qe": "high", "random": "random"}
 
 
@@ -35,7 +37,7 @@ def order_columns(order: str, seed: int = 42) -> list[Column]:
     if kind is None:
         raise ValueError(f"unknown order {order!r}")
     if kind == "random":
-        return [F.sha2(F.concat(F.lit(f"dqs_teacher_selection_random_v1|seed={seed}|"), F.col("id")), 256), F.col("id")]
+        return [F.sha2(F.concat(F.lit(f"{RANDOM_SALT}|seed={seed}|"), F.col("id")), 256), F.col("id")]
     return [F.col("qe_score").asc() if kind == "low" else F.col("qe_score").desc(), F.col("id")]
 
 

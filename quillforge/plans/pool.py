@@ -112,7 +112,7 @@ def select_sql(keys: str, weights: str) -> str:
   row_number() over (order by length_bucket_idx, {keys})::BIGINT as selection_rank from chosen"""
 
 
-RANDOM = "sha256('dqs_teacher_selection_random_v1|seed=42|' || id), id"
+RANDOM = f"sha256('{S.RANDOM_SALT}|seed=42|' || id), id"
 
 QUERIES = {
     "pool_normalize": normalized,
