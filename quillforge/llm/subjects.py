@@ -68,8 +68,8 @@ def sentences(text: str | None) -> list[str]:
             held = ""
             for part in SPLIT.split(body):
                 held = f"{held} {part}" if held else part
-                if ABBREVIATED.search(held):
-                    continue
+                if ABBREVIATED.search(held) or held.count("“") > held.count("”"):
+                    continue  # an abbreviation, or still inside a quotation
                 out.append(held)
                 held = ""
             if held:

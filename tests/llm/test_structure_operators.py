@@ -207,6 +207,7 @@ def test_blocks_of_items_give_the_same(spark, data, monkeypatch):
 def test_sentences_of_documents():
     text = "News at a glance\n\nSales rose by 3.5%. The U.S. unit grew.\n- One item here.\n- Two items,\ngoing on here.\n\nThis document is provided for information only and is not an offer to buy or sell anything."
     assert subjects.sentences(text) == ["Sales rose by 3.5%.", "The U.S. unit grew.", "One item here.", "Two items, going on here."]
+    assert subjects.sentences("The minutes contain the words “797. When Lower Brenn” once. Sales fell.") == ["The minutes contain the words “797. When Lower Brenn” once.", "Sales fell."]
     assert subjects.sentences(None) == [] and subjects.sentences("n/a") == [] and subjects.sentences("…") == []
 
 
