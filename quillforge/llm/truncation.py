@@ -31,7 +31,8 @@ DEEP = 8
 #: Weight of the shorter context's estimate in the longer one's.
 BACK_OFF = 0.6
 #: By how much a mark of left-out text raises the threshold, and the end of a broken transfer (a broken character, tag or escape).
-MARKED, BROKEN = 1.0, 8.0
+#: A space at the very end, where the text lacks a closing mark, stands between: writers end on a word.
+MARKED, SPACED, BROKEN = 1.0, 5.0, 8.0
 #: The threshold of a group whose held-out units are too few to set one is not below this.
 LOWEST = -5.0
 #: What a cut leaves behind.
@@ -59,7 +60,11 @@ def stripped(text: str) -> tuple[str, float]:
     """The text without what a cut leaves behind, and by how much that raises the threshold."""
     core = MARKS.sub("", text)
     rest = text[len(core):]
-    return core, BROKEN if re.search(r"[�<&\\]", rest) else MARKED if re.search(r"\[|\(|…|\.\.\.", rest) else 0.0
+    if re.search(r"[�<&\\]", rest):
+        return core, BROKEN
+    if rest.endswith(" ") and core[-1:] not in FINAL + CLOSERS:
+        return core, SPACED
+    return core, MARKED if re.search(r"\[|\(|…|\.\.\.", rest) else 0.0
 
 
 def fold(text: str) -> list[int]:

@@ -201,3 +201,12 @@ def test_samples_stay_bounded_when_one_key_holds_most_rows(spark):
         by.setdefault(s, set()).add(r["k"])
     assert set(by) == {"ko", "en"} and all(50 < len(v) <= 200 for v in by.values())
     assert hash_sample(df.limit(0), "k", 5) == [] and strata_sample(df.limit(0), "k", "l", language.label, 5) == []
+
+
+def test_what_a_cut_leaves_behind():
+    cases = {
+        "매출이 늘었습니다": ("매출이 늘었습니다", 0.0), "매출이 늘…": ("매출이 늘", truncation.MARKED), "매출이 [...]": ("매출이", truncation.MARKED), "매출(생략)": ("매출", truncation.MARKED), "매출이 �": ("매출이", truncation.BROKEN),
+        "매출이 <br": ("매출이", truncation.BROKEN), "매출&nb": ("매출", truncation.BROKEN), "매출 &#4": ("매출", truncation.BROKEN), "그는 떠났다. ": ("그는 떠났다.", 0.0), "그는 ": ("그는", truncation.SPACED), "총액(부가세 제외)": ("총액(부가세 제외)", 0.0),
+    }
+    assert {k: truncation.stripped(k) for k in cases} == cases
+    assert truncation.question("") is None and truncation.question("…") is None and truncation.question("12.5") is None and truncation.question("끝났다.") is None
