@@ -56,8 +56,9 @@ def template_assign(s: SparkSession, d: str) -> DataFrame:
 
 def scored(s: SparkSession, d: str) -> DataFrame:
     """Requests with a valid response and a score, each once, with their length bucket."""
-    st = J.latest(table(s, d, "student_translations").select("request_id", "order_idx", "student_status", "translation", "finished_at"), ["request_id"], [F.col("finished_at").desc()])
-    st = st.where((F.col("student_status") == "ok") & T.has_text(F.col("translation")))
+    # validity is worked out before the shuffle, so that no text travels
+    valid = ((F.col("student_status") == "ok") & T.has_text(F.col("translation"))).alias("valid")
+    st = J.latest(table(s, d, "student_translations").select("request_id", "order_idx", "finished_at", valid), ["request_id"], [F.col("finished_at").desc()]).where("valid")
     qe = table(s, d, "qe_scores").where((F.col("qe_status") == "ok") & F.col("qe_score").isNotNull() & ~F.isnan("qe_score")).select("request_id", "qe_score", "scored_at")
     qe = J.latest(qe, ["request_id"], [F.col("scored_at").desc(), F.col("qe_score").desc()])
     cy = table(s, d, "cycle").select("order_idx", P.bucket_of(P.token_length(F.col("source_tokens"), F.col("source"))).alias("length_bucket_idx"))
