@@ -197,6 +197,35 @@ def placed_by_join(placed: DataFrame, p: Plan) -> DataFrame:
         (F.col("_offset") + step % F.col("_copies") * F.col("tokens")).cast("bigint").alias("at_token"))
 
 
+def token_rows(documents: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER) -> DataFrame:
+    """The filled sequences: sequence_id, items and token_ids (``capacity`` at most). A document's places are brought to it once, so that it is
+    tokenized once however many pieces it gives; a sequence's items are bounded by its capacity."""
+    places = packed(documents, capacity, file).where("sequence_id is not null")
+    by_document = places.groupBy("doc_id").agg(F.collect_list(F.struct("first_token", "tokens", "sequence_id", "at_token")).alias("places"))
+    # documents that repeat an id would each claim all its places: one of them stands for the id
+    texts = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+    joined = by_document.withColumnRenamed("doc_id", "_id").join(texts, F.col("_id").eqNullSafe(F.col("doc_id"))).select("places", "text")
+
+    def make():
+        encode = encoder(file).encode_ordinary
+
+        def work(places, texts):
+            out = {"sequence_id": [], "at_token": [], "ids": []}
+            for spots, text in zip(places, texts):
+                ids = encode(text)
+                for p in spots:
+                    out["sequence_id"].append(p["sequence_id"])
+                    out["at_token"].append(p["at_token"])
+                    out["ids"].append(ids[p["first_token"] : p["first_token"] + p["tokens"]])
+            return out
+
+        return work
+
+    parts = map_rows(joined, make, "sequence_id bigint, at_token bigint, ids array<int>", text=1, scan=False)
+    whole = parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("at_token", "ids"))).alias("_parts"))
+    return whole.select("sequence_id", F.size("_parts").cast("bigint").alias("items"), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("token_ids"))
+
+
 def fill_report(documents: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER) -> DataFrame:
     """Sequences, tokens in them and the share of room left unused."""
     by = packed(documents, capacity, file).where("sequence_id is not null").groupBy("sequence_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))

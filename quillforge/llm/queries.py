@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: language.p5_found(students(s, d)),
         "p6_sequences": lambda s, d: packing.packed(table(s, d, "documents")),
         "p6_fill_report": lambda s, d: packing.fill_report(table(s, d, "documents")),
+        "p6_token_rows": lambda s, d: packing.token_rows(table(s, d, "documents")),
         "p7_found": lambda s, d: leakage.p7_found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p7_leak_report": lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
         "p8_found": lambda s, d: subjects.p8_found(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects")),

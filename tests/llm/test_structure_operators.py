@@ -128,6 +128,17 @@ def test_packing_queries(spark, data):
     assert {r["doc_id"] for r in rows if r["sequence_id"] is None} == {k for k, v in sizes.items() if v == 0}
     report = packing.fill_report(both).first()
     assert report["sequences"] == n and report["tokens"] == sum(sizes.values()) and report["fullest"] <= packing.CAPACITY
+    filled = packing.token_rows(both).collect()
+    want = {}
+    for r in rows:
+        if r["sequence_id"] is not None:
+            want.setdefault(r["sequence_id"], []).append((r["at_token"], r["doc_id"], r["first_token"], r["tokens"]))
+    texts = {r["doc_id"]: r["text"] for r in both.collect()}
+    assert len(filled) == n
+    for r in filled:
+        ids = [x for _, d, a, k in sorted(want[r["sequence_id"]]) for x in encode(texts[d])[a : a + k]]
+        assert r["token_ids"] == ids and r["items"] == len(want[r["sequence_id"]]) and len(ids) <= packing.CAPACITY
+    assert packing.token_rows(both.limit(0)).count() == 0
     assert packing.packed(both.limit(0)).count() == 0 and packing.packed(edge.limit(2)).count() == 2
 
 
