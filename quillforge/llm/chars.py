@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from quillforge.sources.tables import spread
 
 #: Rows and characters that one vectorised step handles at most, which bounds a worker's memory whatever the batch.
-STEP_ROWS, STEP_CHARS = 2_000, 600_000
+STEP_ROWS, STEP_CHARS = 6_000, 1_500_000
 
 
 def fold_table() -> np.ndarray:
