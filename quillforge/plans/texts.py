@@ -74,9 +74,12 @@ def labels(t: D.Thresholds | None = None):
 WITHOUT_REPETITION = D.Thresholds(checks=D.Thresholds().checks - {"repetition"})
 
 
-def label_summary(s: SparkSession, d: str) -> DataFrame:
-    x = D.classify(pairs(s, d), "source", "translation", "student_status", "finish_reason", WITHOUT_REPETITION)
-    return D.label_summary(x, ["corpus"])
+def label_summary(t: D.Thresholds | None = None):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        x = D.classify(pairs(s, d), "source", "translation", "student_status", "finish_reason", t)
+        return D.label_summary(x, ["corpus"])
+
+    return run
 
 
 def validity(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +163,8 @@ QUERIES = {
     "degeneration_labels": labels(),
     "degeneration_labels_plain": labels(D.plain()),
     "degeneration_checks": labels(WITHOUT_REPETITION),
-    "filter_summary": label_summary,
+    "filter_summary": label_summary(WITHOUT_REPETITION),
+    "filter_summary_full": label_summary(),
     "basic_validity": validity,
     "chunk_explode": chunks,
     "preprocess_counters": chunk_counters,
