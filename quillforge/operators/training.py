@@ -38,6 +38,15 @@ def labels(prompt_ids: Column, response_ids: Column, end: int, most: int) -> Col
         F.greatest(F.lit(0), kept - F.size(prompt_ids)).cast("bigint").alias("response_tokens"))
 
 
+def whole_labels(key: Column, prompt_ids: Column, response_ids: Column, end: int, limit: int) -> Column:
+    """As ``labels``, but nothing is cut: a row longer than ``limit``, or whose prompt leaves no room for the response, is an error."""
+    size = F.size(prompt_ids) + F.size(response_ids) + 1
+    message = F.concat(
+        F.lit("row "), F.coalesce(key.cast("string"), F.lit("null")), F.when(F.size(prompt_ids) >= limit, F.lit(": the prompt leaves no room for the response,")).otherwise(F.lit(":")),
+        F.format_string(f" %d prompt and %d response tokens exceed the sequence limit of {limit}", F.size(prompt_ids), F.size(response_ids) + 1))
+    return F.when(size > limit, F.raise_error(message)).otherwise(labels(prompt_ids, response_ids, end, limit))
+
+
 def padded_batches(rows: DataFrame, order: str, size: int, pad: int) -> DataFrame:
     """Rows padded to the longest of their batch."""
     b = rows.withColumn("batch_idx", F.floor(F.col(order) / size).cast("bigint"))

@@ -16,6 +16,8 @@ from quillforge.sources import files
 from quillforge.sources.tables import spread, table
 
 EOS, MOST, BATCH = 2, 96, 8
+#: The sequence limit of training: input and output tokens and the prompt's overhead.
+LIMIT = 1280 + 1500 + 128
 PER_DEVICE, WORLD, EFFECTIVE = 4, 4, 128
 
 
@@ -91,13 +93,40 @@ def masked(s: SparkSession, d: str) -> DataFrame:
     return x.select("id", "order_idx", "y.input_ids", "y.labels", "y.prompt_tokens", "y.response_tokens")
 
 
-def label_mask(s: SparkSession, d: str) -> DataFrame:
-    x = masked(s, d)
+def word_ids(s: SparkSession, d: str) -> DataFrame:
+    """Whole rows as ids of prompt and response."""
+    ids = lambda c: F.transform(T.raw_words(c), lambda w: F.length(w))
+    return training(s, d).select("id", "order_idx", ids("source").alias("prompt_ids"), ids("target").alias("response_ids"))
+
+
+def masked_whole(s: SparkSession, d: str) -> DataFrame:
+    """Rows that are never cut: one over the sequence limit fails the query."""
+    x = word_ids(s, d).withColumn("y", TR.whole_labels(F.col("id"), F.col("prompt_ids"), F.col("response_ids"), EOS, LIMIT))
+    return x.select("id", "order_idx", "y.input_ids", "y.labels", "y.prompt_tokens", "y.response_tokens")
+
+
+def shown(x: DataFrame) -> DataFrame:
     return x.select("id", "order_idx", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"), "prompt_tokens", "response_tokens")
 
 
+def label_mask(s: SparkSession, d: str) -> DataFrame:
+    return shown(masked(s, d))
+
+
+def label_mask_whole(s: SparkSession, d: str) -> DataFrame:
+    return shown(masked_whole(s, d))
+
+
 def batch_padding(s: SparkSession, d: str) -> DataFrame:
-    x = TR.padded_batches(masked(s, d), "order_idx", BATCH, 0)
+    return batches(masked(s, d))
+
+
+def batch_padding_whole(s: SparkSession, d: str) -> DataFrame:
+    return batches(masked_whole(s, d))
+
+
+def batches(rows: DataFrame) -> DataFrame:
+    x = TR.padded_batches(rows, "order_idx", BATCH, 0)
     return x.select("id", "order_idx", "batch_idx", F.size("input_ids").cast("bigint").alias("width"), F.array_join("attention_mask", "").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
 
 
@@ -220,7 +249,9 @@ QUERIES = {
     "prompt_requests": pool_prompts,
     "sft_rows": training,
     "label_mask": label_mask,
+    "label_mask_whole": label_mask_whole,
     "batch_padding": batch_padding,
+    "batch_padding_whole": batch_padding_whole,
     "stage_padding": stage_padding,
     "step_plan": steps,
     "eval_cadence": cadence,

@@ -96,7 +96,16 @@ def blocked(s: SparkSession, d: str) -> DataFrame:
 
 def mask_audit(s: SparkSession, d: str) -> DataFrame:
     """The first rows' masks: where the response begins."""
-    x = rows.masked(s, d).orderBy("order_idx").limit(5)
+    return audited(rows.masked(s, d))
+
+
+def mask_audit_whole(s: SparkSession, d: str) -> DataFrame:
+    """The same of rows that are not cut."""
+    return audited(rows.masked_whole(s, d))
+
+
+def audited(masked: DataFrame) -> DataFrame:
+    x = masked.orderBy("order_idx").limit(5)
     return x.select("id", "order_idx", F.size("input_ids").cast("bigint").alias("tokens"), F.size(F.filter("labels", lambda v: v == -100)).cast("bigint").alias("masked"))
 
 
@@ -104,6 +113,14 @@ def longest_row(s: SparkSession, d: str) -> DataFrame:
     return rows.masked(s, d).agg(F.max(F.size("input_ids")).cast("bigint").alias("longest"), F.count("*").alias("rows"))
 
 
+def longest_row_whole(s: SparkSession, d: str) -> DataFrame:
+    """The longest row before any limit, and the rows that the sequence limit would not hold: they, and those whose prompt alone fills it."""
+    size = F.size("prompt_ids") + F.size("response_ids") + 1
+    return rows.word_ids(s, d).agg(
+        F.max(size).cast("bigint").alias("longest"), F.count("*").alias("rows"), F.count_if(size > rows.LIMIT).alias("over_limit"),
+        F.count_if(F.size("prompt_ids") >= rows.LIMIT).alias("no_room"))
+
+
 def smoke_rows(s: SparkSession, d: str) -> DataFrame:
     """Rows made from a few sentences: every fourth one is long."""
     text = F.element_at(F.array(*(F.lit(x) for x in ("Revenue increased.", "The board met.", "Costs fell."))), (F.col("id") % 3 + 1).cast("int"))
@@ -124,8 +141,8 @@ def per_subset_usage(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "artifact_names": names, "key_collisions": collisions, "ignored_files": ignored_ids, "log_metrics": log_metrics, "message_contents": contents, "model_selection": chosen_models,
-    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "mask_audit": mask_audit,
-    "longest_row": longest_row, "smoke_rows": smoke_rows, "eval_summary": eval_summary, "shard_load": per_subset_usage,
+    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "mask_audit": mask_audit, "mask_audit_whole": mask_audit_whole,
+    "longest_row": longest_row, "longest_row_whole": longest_row_whole, "smoke_rows": smoke_rows, "eval_summary": eval_summary, "shard_load": per_subset_usage,
 }
 
 N = "(coalesce(generated_token_count, 0) * 997)"

@@ -35,3 +35,37 @@ def test_filter_summary_counts_the_labels(spark, data):
     corpus = spark.read.parquet(f"{data}/student_translations.parquet").select("request_id", "corpus").distinct()
     want = {tuple(r) for r in labels.join(corpus, "request_id").groupBy("corpus").agg(F.count("*"), F.count_if("clean"), F.count_if(~F.col("clean"))).collect()}
     assert {tuple(r)[:4] for r in core.queries()["filter_summary_full"](spark, data).collect()} == want
+
+
+def golden(spark, folder, pairs):
+    spark.createDataFrame([(f"g{i}", s, t, f"2026-01-{i + 1:02}") for i, (s, t) in enumerate(pairs)], "id string, source string, target string, accepted_at string").coalesce(1).write.parquet(f"{folder}/golden_pairs.parquet")
+    return str(folder)
+
+
+def test_training_rows_are_whole(spark, tmp_path):
+    d = golden(spark, tmp_path, [("word " * 120, "말 " * 150), ("one two", "하나 둘")])
+    run = lambda name: core.queries()[name](spark, d).collect()
+    got = {r["id"]: r for r in run("label_mask_whole")}
+    assert (got["g0"]["prompt_tokens"], got["g0"]["response_tokens"]) == (120, 151)
+    assert got["g0"]["input_ids"].split() == ["4"] * 120 + ["1"] * 150 + ["2"]
+    assert got["g0"]["labels"].split() == ["-100"] * 120 + ["1"] * 150 + ["2"]
+    assert got["g1"]["labels"] == "-100 -100 2 1 2"
+    padded = {r["id"]: r for r in run("batch_padding_whole")}
+    assert {r["width"] for r in padded.values()} == {271}
+    assert padded["g1"]["attention_mask"] == "1" * 5 + "0" * 266 and padded["g1"]["labels"].split()[5:] == ["-100"] * 266
+    assert {r["id"]: (r["tokens"], r["masked"]) for r in run("mask_audit_whole")} == {"g0": (271, 120), "g1": (5, 2)}
+    assert [tuple(r) for r in run("longest_row_whole")] == [(271, 2, 0, 0)]
+
+
+@pytest.mark.parametrize("source, target, no_room", [("word " * 2908, "말", 1), ("word " * 2900, "말 " * 8, 0)])
+def test_rows_over_the_limit_are_reported(spark, tmp_path, source, target, no_room):
+    d = golden(spark, tmp_path, [(source, target), ("one", "하나")])
+    assert [tuple(r)[1:] for r in core.queries()["longest_row_whole"](spark, d).collect()] == [(2, 1, no_room)]
+    for name in ("label_mask_whole", "batch_padding_whole", "mask_audit_whole"):
+        with pytest.raises(Exception, match="row g0.*exceed the sequence limit of 2908"):
+            core.queries()[name](spark, d).collect()
+
+
+def test_rows_of_the_limit_fit(spark, tmp_path):
+    d = golden(spark, tmp_path, [("word " * 2900, "말 " * 7)])
+    assert core.queries()["label_mask_whole"](spark, d).first()["response_tokens"] == 8
