@@ -94,6 +94,21 @@ def blocked(s: SparkSession, d: str) -> DataFrame:
     return st.join(chosen, "id", "left_semi").where("finish <> 'stop'").groupBy("finish").agg(F.count("*").alias("requests"))
 
 
+def blocked_labels(s: SparkSession, d: str) -> DataFrame:
+    """Of the requests selected from all scored rows, those that the classifier keeps from the teacher, by label."""
+    from quillforge.operators import degeneration as D
+    from quillforge.operators import selection as S
+
+    chosen = S.stratified_top(pool.scored(s, d), pool.K, "low").select(F.col("id").alias("request_id"))
+    st = table(s, d, "student_translations").select("request_id", "order_idx", "translation", "student_status", "finish_reason", "finished_at")
+    # at most K requests are chosen
+    last = J.latest(st.join(F.broadcast(chosen), "request_id", "left_semi"), ["request_id"], [F.col("finished_at").desc()])
+    x = last.join(table(s, d, "cycle").select("order_idx", "source"), "order_idx")
+    labelled = D.classify(x, "source", "translation", "student_status", "finish_reason")
+    # clean rows are dropped as a group: a filter of rows would be pushed down, with the classifier's expressions written out in it
+    return labelled.groupBy("degeneration_label").agg(F.count_if(F.col("degeneration_label") != "clean").alias("requests")).where("requests > 0")
+
+
 def mask_audit(s: SparkSession, d: str) -> DataFrame:
     """The first rows' masks: where the response begins."""
     return audited(rows.masked(s, d))
@@ -141,7 +156,7 @@ def per_subset_usage(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "artifact_names": names, "key_collisions": collisions, "ignored_files": ignored_ids, "log_metrics": log_metrics, "message_contents": contents, "model_selection": chosen_models,
-    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "mask_audit": mask_audit, "mask_audit_whole": mask_audit_whole,
+    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "filter_blocked_labels": blocked_labels, "mask_audit": mask_audit, "mask_audit_whole": mask_audit_whole,
     "longest_row": longest_row, "longest_row_whole": longest_row_whole, "smoke_rows": smoke_rows, "eval_summary": eval_summary, "shard_load": per_subset_usage,
 }
 

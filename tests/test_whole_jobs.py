@@ -1,8 +1,11 @@
 """Queries that do the whole job where their SQL sisters leave a part out."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillforge.operators import degeneration as D
 from quillforge.plans import queries as core
 
 EN = "The company reported that quarterly revenue was higher than expected by the market."
@@ -69,3 +72,23 @@ def test_rows_over_the_limit_are_reported(spark, tmp_path, source, target, no_ro
 def test_rows_of_the_limit_fit(spark, tmp_path):
     d = golden(spark, tmp_path, [("word " * 2900, "말 " * 7)])
     assert core.queries()["label_mask_whole"](spark, d).first()["response_tokens"] == 8
+
+
+def test_blocked_requests_by_label(spark, small):
+    got = {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked_labels"](spark, small).collect()}
+    assert got == {"repetition": 1, "english_passthrough": 1, "truncation": 1}
+
+
+def test_blocked_labels_are_those_of_the_selection(spark, data):
+    """Brute force: the chosen ids and each one's last delivery, labelled one by one."""
+    chosen = {r["id"] for r in core.queries()["select_low"](spark, data).collect()}
+    st = spark.read.parquet(f"{data}/student_translations.parquet").select("request_id", "order_idx", "translation", "student_status", "finish_reason", "finished_at").collect()
+    source = {r["order_idx"]: r["source"] for r in spark.read.parquet(f"{data}/cycle.parquet").collect()}
+    last = {}
+    for r in st:
+        if r["request_id"] in chosen and (r["request_id"] not in last or r["finished_at"] > last[r["request_id"]]["finished_at"]):
+            last[r["request_id"]] = r
+    rows = [(k, source[r["order_idx"]], r["translation"], r["student_status"], r["finish_reason"]) for k, r in last.items()]
+    labelled = D.classify(spark.createDataFrame(rows, "id string, s string, t string, status string, f string"), "s", "t", "status", "f").collect()
+    want = Counter(r["degeneration_label"] for r in labelled if r["degeneration_label"] != "clean")
+    assert {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked_labels"](spark, data).collect()} == want
