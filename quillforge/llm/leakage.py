@@ -23,6 +23,8 @@ from quillforge.llm.chars import map_rows
 Q, BITS, BAND, BLOCK = 6, 24, 64, 4_000
 #: Share of an item's words that a passage needs, and share of the passage's words that may be changed or added.
 SHARE, EDITS = 0.5, 0.1
+#: Score of a match.
+UNIT = 4
 HYPHEN = re.compile(r"(?<=\w)[-‐­]\s*\n[\s>|]*(?=\w)")
 DROP = {c: None for c in range(0x3000) if unicodedata.category(chr(c)) in ("Cf", "Mn", "Cc") and chr(c) not in "\n\r\t\x0b\x0c"} | {0xFEFF: None}
 #: A table of the characters that stay, folded; zero for the others.
@@ -32,14 +34,24 @@ for _c in range(0x10000):
     if _s.isalnum():
         _f = unicodedata.normalize("NFKC", _s).casefold()
         KEEP[_c] = ord(_f[0]) if _f and ord(_f[0]) < 0x10000 else _c
+SPACE = np.array([chr(c).isspace() for c in range(0x10000)])
 
 
-def compact(text: str) -> np.ndarray:
-    """Letters and digits of a text, folded, as codes."""
+def compact_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits of a text, folded, as codes, and the number of the word that each stands in."""
     text = unicodedata.normalize("NFC", HYPHEN.sub("", text)).translate(DROP)
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kept = np.where(raw < 0x10000, KEEP[np.minimum(raw, 0xFFFF)], raw.astype(np.uint32))
-    return kept[kept != 0].astype(np.uint32)
+    low = np.minimum(raw, 0xFFFF)
+    kept = np.where(raw < 0x10000, KEEP[low], raw.astype(np.uint32))
+    stay = kept != 0
+    word = np.cumsum(SPACE[low])[stay]
+    # numbers without gaps: words without a letter or digit do not count
+    return kept[stay].astype(np.uint32), np.cumsum(np.diff(word, prepend=word[:1]) != 0)
+
+
+def compact(text: str) -> np.ndarray:
+    """Letters and digits of a text, folded, as codes."""
+    return compact_words(text)[0]
 
 
 def item_words(text: str) -> list[np.ndarray]:
@@ -122,15 +134,15 @@ class Index:
         found = sorted(zip(side[good].tolist(), (-count[good]).tolist(), band[good].tolist()))
         return [(s, (b * BAND) - 1_000_000) for s, _, b in found]
 
-    def verify(self, codes: np.ndarray, side: int, low: int) -> float:
+    def verify(self, codes: np.ndarray, spaced: np.ndarray, side: int, low: int) -> float:
         """Largest share of the side's words in a passage near diagonals low to low + 2 * BAND that keeps the edit budget."""
-        return passage(self.codes[side], self.word[side], self.words[side], codes, low)
+        return passage(self.codes[side], self.word[side], self.words[side], codes, spaced, low)
 
     def leaks(self, text: str | None) -> list[tuple[int, float]]:
         """(item, largest share of its words) for each item that leaks into a text."""
         if not text or not len(self.hashes):
             return []
-        codes = compact(text)
+        codes, spaced = compact_words(text)
         out: dict[int, float] = {}
         tried: dict[int, int] = {}
         for side, low in self.bands(codes):
@@ -138,14 +150,15 @@ class Index:
             if out.get(item, 0) >= SHARE and tried.get(side, 0):
                 continue
             tried[side] = 1
-            share = self.verify(codes, side, low)
+            share = self.verify(codes, spaced, side, low)
             if share >= SHARE:
                 out[item] = max(out.get(item, 0.0), share)
         return sorted(out.items())
 
 
-def passage(item: np.ndarray, word: np.ndarray, n_words: int, doc: np.ndarray, low: int) -> float:
-    """Banded local alignment of an item with a document's codes (a match counts 1, an edit -1), and the best span of words in it."""
+def passage(item: np.ndarray, word: np.ndarray, n_words: int, doc: np.ndarray, spaced: np.ndarray, low: int) -> float:
+    """Banded local alignment of an item with a document's codes, and the best span of words in it. A match counts UNIT, an edit -UNIT; a
+    code added inside an item's word one less, so that added words lie between words. ``spaced`` has the document's word of each code."""
     margin = 16
     width = 2 * BAND + 2 * margin
     first = low - margin
@@ -163,10 +176,11 @@ def passage(item: np.ndarray, word: np.ndarray, n_words: int, doc: np.ndarray, l
             steps[i:] = 0
             break
         match = padded[a : a + width] == item[i]
-        diagonal = score[:width] + np.where(match, 1, -1)
-        up = score[1:] - 1  # the item's code is missing from the document
+        diagonal = score[:width] + np.where(match, UNIT, -UNIT)
+        up = score[1:] - UNIT  # the item's code is missing from the document
         h = np.maximum(np.maximum(diagonal, up), 0)
-        left = np.maximum.accumulate(h + cols) - cols  # codes added in the document
+        cost = cols * (UNIT + (i + 1 < m and word[i + 1] == word[i]))
+        left = np.maximum.accumulate(h + cost) - cost  # codes added in the document
         now = np.maximum(h, left)
         steps[i] = np.where(now == 0, 0, np.where(now == diagonal, np.where(match, 1, 2), np.where(now == up, 3, 4)))
         score[:width] = now
@@ -174,53 +188,36 @@ def passage(item: np.ndarray, word: np.ndarray, n_words: int, doc: np.ndarray, l
         k = int(now.argmax())
         if now[k] > best:
             best, where = int(now[k]), (i, k)
-    if best < 4:
+    if best < 4 * UNIT:
         return 0.0
     i, c = where
-    kept = np.zeros(m, bool)
-    added: dict[int, int] = {}
-    top = i
+    at = np.full(m, -1)  # the document's position that an item's code matches
     while i >= 0 and 0 <= c < width and steps[i, c] != 0:
         s = steps[i, c]
         if s == 4:
-            added[i] = added.get(i, 0) + 1
             c -= 1
         else:
             if s == 1:
-                kept[i] = True
+                at[i] = i + first + c
             i -= 1
             c += s == 3
-    bottom = i + 1
-    whole = np.bincount(word, kept, n_words) == np.bincount(word, minlength=n_words)
-    extra = np.zeros(n_words)
-    last_of = np.concatenate((word[1:] != word[:-1], [True]))
-    for i, n in added.items():
-        if last_of[i]:
-            # codes between two words: whole words were added, some five letters each, three in Korean
-            extra[word[i]] += max(1, round(n / (3 if item[i] >= 0xAC00 else 5.5)))
-        else:
-            whole[word[i]] = False
-    a, b = int(word[bottom]), int(word[top])
-    if bottom and word[bottom - 1] == a:
-        whole[a] = False
-    bad = (~whole[a : b + 1]).astype(float)
-    gap = extra[a : b + 1]
-    best_share = 0.0
-    errors = np.concatenate(([0.0], np.cumsum(bad + gap)))
-    size = b - a + 1
-    for x in range(size):
-        if bad[x]:
-            continue
-        for y in range(size, x, -1):
-            if (y - x) <= best_share * n_words:
-                break
-            if bad[y - 1]:
-                continue
-            wrong = errors[y] - errors[x] - gap[y - 1]
-            if wrong <= EDITS * (y - x) + 1e-9:
-                best_share = (y - x) / n_words
-                break
-    return best_share
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    ends = np.append(starts[1:], m) - 1
+    matched = np.bincount(word, at >= 0, n_words) == ends - starts + 1
+    whole = np.flatnonzero(matched & (at[ends] - at[starts] == ends - starts))
+    if not len(whole):
+        return 0.0
+    # between two whole words: words of the item that are changed, and the document's words there that are changed or added
+    changed = np.diff(whole) - 1
+    a, b = at[ends[whole[:-1]]] + 1, at[starts[whole[1:]]] - 1
+    found = np.where(b >= a, spaced[np.maximum(b, 0)] - spaced[np.minimum(a, len(doc) - 1)] + 1, 0)
+    errors = np.concatenate(([0], np.cumsum(np.maximum(changed, found))))
+    best_words = 0
+    for x in range(len(whole)):
+        size = whole[x:] - whole[x] + 1
+        good = errors[x:] - errors[x] <= EDITS * size + 1e-9
+        best_words = max(best_words, int(size[good].max()))
+    return best_words / n_words
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -179,6 +179,32 @@ def test_leaks():
     assert ix.leaks(None) == [] and ix.leaks("") == [] and leakage.Index([]).leaks(ITEM) == []
 
 
+@pytest.mark.parametrize("item, words", [(ITEM, ["notwithstanding", "internationally"]), (ITEM, ["sixteenth", "frequently"]), (KOREAN, ["국제적으로는", "아시다시피도"])])
+def test_long_added_words_count_once(item, words):
+    ix = leakage.Index([(1, item)])
+    n = 23 if item == ITEM else 20
+    w = item.split()[:n]
+    added = w[:7] + [words[0]] + w[7:14] + [words[1]] + w[14:]
+    share = n / len(item.split())
+    assert ix.leaks(AROUND + " ".join(added) + " " + AROUND) == [(1, pytest.approx(share))]
+
+
+def test_added_words_that_begin_as_the_word_before_ends():
+    ix = leakage.Index([(1, ITEM)])
+    w = ITEM.split()[:24]
+    for k in range(4, 20):
+        added = w[:k] + [w[k - 1].strip(".,")[-1] + "qqq"] + w[k:]
+        assert ix.leaks(AROUND + " ".join(added) + " " + AROUND) == [(1, pytest.approx(24 / len(ITEM.split())))], added[k]
+
+
+def test_short_added_words_count_each():
+    ix = leakage.Index([(1, ITEM)])
+    w = ITEM.split()
+    n = -(-len(w) // 2)
+    added = w[: n // 2] + ["a", "b", "c", "d", "e"] + w[n // 2 : n]
+    assert ix.leaks(AROUND + " ".join(added) + " " + AROUND) == []
+
+
 def brute_leaks(text, item):
     """Longest run of the item's words found in the text in order and adjacent, without changes."""
     a, b = ([leakage.compact(x).tobytes() for x in t.split()] for t in (item, text))
