@@ -63,16 +63,16 @@ def sentences(text: str | None) -> list[str]:
         for line in lines:
             item = BULLET.match(line)
             body = line[item.end() :].strip() if item else line.strip()
-            if not item and not END.search(body):
-                continue  # a heading
+            unfinished = not item and not END.search(body)
             held = ""
-            for part in SPLIT.split(body):
+            # a heading, or the unfinished tail of a paragraph, is no sentence
+            for part in SPLIT.split(body)[: -1 if unfinished else None]:
                 held = f"{held} {part}" if held else part
                 if ABBREVIATED.search(held) or held.count("“") > held.count("”"):
                     continue  # an abbreviation, or still inside a quotation
                 out.append(held)
                 held = ""
-            if held:
+            if held and not (unfinished and ABBREVIATED.search(held)):
                 out.append(held)
     return [s for s in out if WORD.search(s) and not CLOSING.search(s)]
 

@@ -248,6 +248,13 @@ def test_sentences_of_documents():
     assert subjects.sentences(None) == [] and subjects.sentences("n/a") == [] and subjects.sentences("…") == []
 
 
+def test_paragraphs_without_a_closing_mark_keep_their_sentences():
+    assert subjects.sentences("Sales rose. Costs fell\nin the north. The board will meet") == ["Sales rose.", "Costs fell in the north."]
+    assert subjects.sentences("He said “Sales rose. Costs fell. And then") == ["He said “Sales rose. Costs fell."]
+    assert subjects.sentences("매출이 늘었다. 비용은 줄었다. 이사회는") == ["매출이 늘었다.", "비용은 줄었다."]
+    assert subjects.sentences("Results of the U.S. Department\n\nMarkets at noon") == []
+
+
 def test_mixtures_lower_the_objective():
     rng = np.random.default_rng(0)
     h = rng.random((4, subjects.TERMS)).astype(np.float32)
