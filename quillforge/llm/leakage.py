@@ -71,6 +71,13 @@ def gram_hash(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
+def least_grams(lens: np.ndarray) -> int:
+    """The fewest q-grams that a passage keeps, of any length from half of the words (of lengths ``lens``) to all, each with its own number of edits."""
+    ends = np.concatenate(([0], np.cumsum(lens)))
+    lost = np.concatenate(([0], np.cumsum(np.sort(lens)[::-1] + Q - 1)))
+    return min(int((ends[n:] - ends[:-n]).min()) - (Q - 1) - int(lost[int(n * EDITS)]) for n in range(-(-len(lens) // 2), len(lens) + 1))
+
+
 class Index:
     """The q-grams of the items' sides and the bound of each side."""
 
@@ -83,12 +90,7 @@ class Index:
                 continue
             codes = np.concatenate(ws)
             lens = np.array([len(w) for w in ws])
-            half = -(-len(ws) // 2)
-            edits = int(half * EDITS)
-            ends = np.concatenate(([0], np.cumsum(lens)))
-            least = int((ends[half:] - ends[:-half]).min())
-            lost = int((np.sort(lens)[::-1][:edits] + Q - 1).sum())
-            self.bound.append(max(4, least - (Q - 1) - lost))
+            self.bound.append(max(4, least_grams(lens)))
             k = len(self.items)
             self.items.append(item)
             self.codes.append(codes)

@@ -205,6 +205,19 @@ def test_short_added_words_count_each():
     assert ix.leaks(AROUND + " ".join(added) + " " + AROUND) == []
 
 
+def test_bound_holds_for_passages_of_every_length():
+    rng = random.Random(3)
+    for words in (36, 37, 58):
+        lens = np.array([rng.randint(2, 9) for _ in range(words)])
+        bound = leakage.least_grams(lens)
+        for n in range(-(-words // 2), words + 1):
+            for at in range(words - n + 1):
+                edits = sorted(lens[at : at + n])[::-1][: n // 10]
+                assert bound <= lens[at : at + n].sum() - (leakage.Q - 1) - sum(x + leakage.Q - 1 for x in edits)
+    # 18 words with one edit keep more than 20 with two
+    assert leakage.least_grams(np.full(36, 2)) == 20 * 2 - 5 - 2 * 7 < 18 * 2 - 5 - 7
+
+
 def brute_leaks(text, item):
     """Longest run of the item's words found in the text in order and adjacent, without changes."""
     a, b = ([leakage.compact(x).tobytes() for x in t.split()] for t in (item, text))
