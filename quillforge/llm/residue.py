@@ -1,12 +1,13 @@
 """Template residue, filler and messages of pages and services (problem 2).
 
-Method: positive-unlabelled naive Bayes by expectation-maximization. The positives are windows of text that hold a
-trusted residue form; all other windows are unlabelled. Features are hashed character 3- and 5-grams of the folded text.
-A record's decision comes from its best window: records above the threshold are candidates, and an exact check of the
-window's surroundings settles each candidate.
-
-Defined results: null, empty and blank texts hold no residue. Repeated texts get the same answer each time. A text of any
-length is scored whole. An empty table gives no rows.
+Method: positive-unlabelled naive Bayes by expectation-maximization, on passages of two kinds. Sentences (a message or filler fills one)
+are bags of hashed character n-grams; windows over the collapsed shape of the text (an unfilled slot stands inside a real sentence) are
+bags of shape n-grams and of the runs of letters in them. The positives are passages of records that hold a trusted form, the ``SEEDS``; all
+others are unlabelled and get a posterior that each round re-estimates. A record is spoiled if one of its passages is: the seeds take no
+part in the decision, so that forms that they lack are found by what they share with the trusted ones.
+
+Defined results: null, empty and blank texts hold no residue. Repeated texts get the same answer each time. A text of any length is scored
+whole. An empty table, or one without a trusted record, gives no rows.
 """
 
 from __future__ import annotations
@@ -20,55 +21,58 @@ from pyspark.sql import functions as F
 
 from quillforge.llm.chars import Chars, grams, hash_sample, map_rows
 
-BITS, ORDERS, WINDOW, STRIDE = 17, (3, 5), 14, 6
-#: Length of the n-grams over the collapsed shape of the text (runs of one letter class count as one), which carry a slot's form.
-SHAPE = 4
-#: Rounds of expectation-maximization, the divisor that tempers the evidence of overlapping n-grams in the E-step, and the posterior from which
-#: an unlabelled window counts.
-ROUNDS, TEMPER, SURE = 3, 12.0, 0.9
-#: Requests of which the model is fitted at most.
-SAMPLE = 4_000
-#: A record whose best window has at least this log-odds is a candidate.
-THRESHOLD = 0.5
-
-# The forms in which residue is trusted at training time and confirmed afterwards.
+BITS = 17
+#: Character n-grams of sentences, and n-grams over the collapsed shape (a run of letters of one class or of digits counts as one), as it is
+#: and with all marks of markup alike.
+ORDERS, SHAPES = (3, 5), ((3, False), (4, False), (5, False), (3, True), (5, True))
+WIDTHS = (1, *(k for k, _ in SHAPES))
+#: Rounds of expectation-maximization, and the posterior from which an unlabelled passage counts as positive in the next, less that
+#: share of the threshold.
+ROUNDS, SURE, ABSORBED = 3, 0.98, 0.5
+#: Divisors that temper the evidence of overlapping n-grams: of a sentence, of a window.
+TEMPER = (8.0, 4.0)
+#: Bounds of one n-gram's evidence: in sentences, in windows.
+CLIP = ((-4.0, 5.0), (-4.0, 5.0))
+#: Weight of the prior, in n-grams.
+PRIOR_MASS = 100.0
+#: Requests of which the model is fitted at most, of either sample, and requests among which the trusted ones are sought.
+SAMPLE, POOL = 4_000, 40_000
+#: Log-odds from which a passage spoils its record: of sentences, of windows.
+THRESHOLD = (1.0, 12.2)
+
+# Public forms by which records are trusted at training time.
 _NAME = r"[\w가-힣 .|:+-]{1,40}"
 SLOT = "|".join(
     (
         r"\{\{\s*" + _NAME + r"\s*\}\}",
         r"\{%-?\s*" + _NAME + r"\s*-?%\}",
         r"[$#]\{\s*" + _NAME + r"\s*\}",
-        r"\{(?:\w+(?:[|:!.]\w+)?|\d+)\}",
+        r"\{(?:[A-Za-z가-힣]\w+(?:[|:!.]\w+)?|\d+(?::\w+)?)\}",
         r"%\(\s*" + _NAME + r"\s*\)[sdf]",
         r"<%=?\s*" + _NAME + r"\s*%>",
         r"<<\s*" + _NAME + r"\s*>>",
         r"«\s*\w+\s*»",
-        r"(?<!\d)%(?!\d)\w+%",
-        r"\$(?!\d)\w+\$",
-        r"(?<![\w:]):(?:[A-Za-z_]+|[가-힣]{1,8}):",
-        r"(?<!\w)(?:\|\w+\||~\w+~|\^\w+\^|‹\w+›|<[a-z]+_[a-z_]+>|<[A-Z]+_?[A-Z_]*>)",
-        r"\[[가-힣A-Za-z_]{1,20} ?(?:입력|기입|삽입|here)\]",
+        r"(?<![\d%])%[A-Za-z가-힣]\w+%",
+        r"(?<!\w)\$[A-Za-z가-힣]\w+\$",
+        r"(?<![\w:]):[A-Za-z_가-힣]{2,}:(?!\w*:)",
+        r"\[\[\s*" + _NAME + r"\s*\]\]",
         r"__[A-Za-z가-힣]\w*?__",
         r"@@\w+@@",
-        r"\[\[\s*" + _NAME + r"\s*\]\]",
-        r"\[(?:여기에|여기|INSERT|Insert|insert|YOUR|Your|TODO|TBD|YOUR_)\b[^\]\n]{0,40}\]",
-        r"\[(?:[A-Z]+_)+[A-Z]+\]",
-        r"[(\[<][^()\[\]<>\n]{0,20}(?:입력 필요|입력하세요|기입|작성 예정|삽입)[)\]>]",
+        r"\[(?:INSERT|Insert|insert|YOUR|Your|TODO|TBD)\b[^\]\n]{0,40}\]",
+        r"[(\[<][^()\[\]<>\n]{0,20}(?:입력|기입|삽입)(?: 필요)?[)\]>]",
     )
 )
 FILLER = "|".join(
     (
         r"(?i:\blorem ipsum\b)",
-        r"(?i:(?:\b(?:lor|em|ip|sum|do|sit|am|et|con|sec|te|tur|ad|is|cing|el|it|se|eius|mod|temp|or|in|cid|id|unt|ut|lab|ore|d)+[ ,.]+){6,})",
-        r"(?i:\b(?:asdf|qwer|qwerty|blah|foo bar)\b)",
-        r"ㅁㄴㅇㄹ|가나다라마바|(?:가나다라?[ .]+){3}",
-        r"(?i:\b(?:dummy copy|placeholder text|sample paragraph|insert copy here|text text text|sample text sample|dummy text)\b)",
-        r"(?:더미 텍스트|자리 채움|예시 문구\.|샘플 문장입니다|시안용|아래 칸에|(?:텍스트|번역문|내용)[을를] (?:넣어|입력)[^.\n]{0,4} ?(?:주세요|하세요|주십시오))",
-        r"(?:^|\n|\. )\s*(?:TBD|TODO|FIXME|XXX)\b\s*[-:–—]",
-        r"\b(?:TBD|TODO|FIXME)\b|(?i:\b(?:translation|text|content) goes here\b)|\(?추후 (?:작성|번역|입력)\)?|작성 예정:|(?:본문|번역|내용) (?:번역 )?예정(?=\s*$)|내용 채우기|임시 문구|화면 배치 확인|레이아웃 점검|(?i:replace with (?:the )?final copy)|(?:여기에|이곳에|이 자리에|이 칸에|아래에|아래 칸에) [가-힣]+[을를] ?(?:작성|입력|넣|붙여|적어|기입)",
-        r"(?<!\S)(?P<mask>[^\s\d=.-])(?P=mask)+(?:\s(?P=mask){2,}){2,}(?!\S)",
+        r"(?i:\b(?:asdf|qwer|qwerty|blah blah|foo bar)\b)",
+        r"ㅁㄴㅇㄹ|가나다라마바사",
+        r"(?i:\b(?:dummy|placeholder|sample|filler) (?:text|copy|paragraph)\b|\binsert (?:text|copy) here\b)|더미 텍스트|샘플 (?:문장|텍스트)|임시 문구|자리 채움",
+        r"\b(?:TBD|TODO|FIXME)\b",
+        r"(?:여기에|이곳에|아래에|아래 칸에) [가-힣]+[을를] ?(?:작성|입력|넣|붙여|적어|기입)",
     )
 )
+MASK = r"(?<!\S)(?P<mask>[^\s\d=.-])(?P=mask)+(?:\s(?P=mask){2,}){2,}(?!\S)"
 ERROR = "|".join(
     (
         r"(?i:<(?:html|head|title|body|noscript|script)\b[^>\n]*>)",
@@ -76,158 +80,218 @@ ERROR = "|".join(
         r"\b[A-Z]\w+(?:Error|Exception): ",
         r"\{\s*\"(?:error|errors|code|message|status)\"\s*:",
         r"(?i:\b[45]\d\d (?:bad request|unauthorized|forbidden|not found|request timeout|gone|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out)\b)",
-        r"(?i:\bcould not complete your request\b|\bsomething went wrong on our side\b|\bsession has expired\b|\bcontact the administrator\b|\baccess denied\b|\brequest id: ?[0-9a-f]+|\bpage (?:you requested |was |is )?(?:could )?not (?:be )?found\b|\btry again later\b|\bunder maintenance\b|\bchecking your browser\b)",
-        r"(?i:seite nicht gefunden|page introuvable|página no encontrada|página não encontrada|ページが見つかりません|页面不存在|找不到页面|404 error)",
-        r"(?:페이지|문서|사이트|주소)[^.\n]{0,12}(?:찾을 수 없습니다|삭제되었습니다|존재하지 않|이동되었습니다)",
-        r"(?:접근|접속|열람) ?권한이 없습니다|세션이 만료|로그인 시간이 초과|다시 로그인해|시스템 점검 중|일시적인 오류가 발생|인증 후 이용|잠시 후 다시 시도|관리자에게 문의|주소를 다시 확인|\(오류 코드|서비스 이용에 불편을 드려 죄송합니다|서버[^.\n]{0,12}(?:오류|응답하지)",
+        r"(?i:\bsomething went wrong\b|\bsession has expired\b|\baccess denied\b|\bpage (?:was |is )?not found\b|\btry again later\b|\bunder maintenance\b|\bchecking your browser\b)",
+        r"(?i:seite nicht gefunden|page introuvable|página no encontrada|página não encontrada|ページが見つかりません|页面不存在|找不到页面)",
+        r"(?:페이지|문서|사이트|주소)(?:를|가|을|이)? (?:찾을 수 없습니다|삭제되었습니다|존재하지 않)",
+        r"(?:접근|접속) ?권한이 없습니다|세션이 만료|로그인 시간이 초과|다시 로그인해|시스템 점검 중입니다|일시적인 오류가 발생|잠시 후 다시 시도|관리자에게 문의",
     )
 )
 SCRIPT = "|".join(
     (
-        r"(?i:\b(?:enable|turn on|switch on|allow|requires?|need|activate)\b[^.\n]{0,40}\b(?:javascript|java script|js|cookies?|scripts?|scripting)\b)",
-        r"(?i:\b(?:javascript|js|cookies?|scripts?|scripting)\b[^.\n]{0,30}\b(?:is|are) (?:off|disabled|required|blocked|needed|turned off)\b)",
-        r"(?i:\bdoes not support (?:the required )?(?:javascript|scripts?|cookies)\b|\bbrowser does not support\b)",
-        r"(?:자바스크립트|JavaScript|스크립트|쿠키|JS)(?:가|를|을|이|와|및)?[^.\n]{0,12}(?:지원되지|꺼져|차단|켜|허용|활성화|필요|사용할 수)",
-        r"브라우저[^.\n]{0,10}설정을 변경",
+        r"(?i:\b(?:enable|turn on|switch on|allow|requires?)\b[^.\n]{0,24}\b(?:javascript|cookies?|scripts)\b)",
+        r"(?i:\b(?:javascript|cookies?|scripts?|scripting) (?:is|are) (?:off|disabled|required|blocked)\b)",
+        r"(?:자바스크립트|JavaScript|쿠키)(?:가|를|을|이|와)? ?(?:지원되지|꺼져|차단|켜|허용|활성화|필요)",
     )
 )
-RESIDUE = re.compile("|".join((SLOT, FILLER, ERROR, SCRIPT)))
-#: A sentence that merely reports on such things: the form stands in quotation marks, or the sentence goes on to state what somebody did.
-REPORT = re.compile(r"(?:[‘“][^’”\n]{0,60}[’”] ?(?:안내|화면|문구|오류|메시지|페이지)|(?:밝혔|고쳤|접수됐|개정했|보냈|거절했|말했|썼|택했)(?:다|습니다)|접수됐습니다)")
-
-
-def shapes(raw: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a run of one letter class begins, and the shape there: a class for letters and digits, else the character."""
+#: The seeds by the kind of passage that they make positive: sentences, windows.
+SEEDS = (re.compile("|".join((FILLER, MASK, ERROR, SCRIPT))), re.compile("|".join((SLOT, MASK))))
+#: A form inside quotation marks is talked about: it is not trusted.
+QUOTED = re.compile(r"[‘“][^’”\n]{0,60}[’”]")
+
+#: The seeds in Java's syntax, by which the scan picks trusted rows for the sample.
+JAVA_SEEDS = "(?U)" + "|".join((FILLER, ERROR, SCRIPT, SLOT, MASK)).replace("(?P<mask>", "(?<mask>").replace("(?P=mask)", r"\k<mask>")
+#: Powers that a character's place in its run is weighed by.
+POWERS = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
+
+
+#: Marks of markup, whose shapes also count with all of them alike.
+MARKS = np.zeros(256, bool)
+MARKS[[ord(c) for c in "{}[]<>%$#@_|~^:*«»\\"]] = True
+#: Marks that are often repeated: digits, leaders, rules.
+REPEATED = np.array([0x30, *map(ord, ".-=…")], np.uint32)
+
+
+def starts_of_sentences(codes: np.ndarray) -> np.ndarray:
+    """Whether a sentence or line begins at each position: after a line end, a closing mark and a space, or the padding."""
+    begins = np.zeros(len(codes), bool)
+    if len(codes) > 2:
+        line = (codes == 10) | (codes == 13) | (codes == 0)
+        mark = (codes == 46) | (codes == 33) | (codes == 63) | (codes == 0x3002)
+        begins[1:] = line[:-1]
+        begins[2:] |= mark[:-2] & (codes[1:-1] == 32)
+        begins[1:] |= codes[:-1] == 0x3002
+    begins[:1] = True
+    return begins
+
+
+def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions where a run of one letter class (or a single other character) begins, its shape, and the hash of its content."""
     kind = np.where(codes >= 0xAC00, np.uint32(2), codes)
     kind = np.where((codes >= 0x3040) & (codes < 0xA000), np.uint32(3), kind)
     kind = np.where(((codes >= 97) & (codes < 123)) | ((codes >= 0xC0) & (codes < 0x250)), np.uint32(4), kind)
-    run = (kind >= 2) & (kind <= 4) | (kind == 0x30)
+    # any mark or letter three times over is one class: what hides or stands for text
+    same = np.zeros(len(codes), bool)
+    same[1:] = (codes[1:] == codes[:-1]) & (codes[1:] > 0x20) & ~np.isin(codes[1:], REPEATED)
+    twice = same.copy()
+    twice[1:] &= same[:-1]
+    twice[:-1] |= twice[1:]
+    twice[:-1] |= twice[1:]
+    kind = np.where(twice, np.uint32(5), kind)
+    run = (kind >= 2) & (kind <= 5) | (kind == 0x30)
     begins = np.ones(len(kind), bool)
     begins[1:] = ~run[1:] | (kind[1:] != kind[:-1])
     at = np.flatnonzero(begins)
-    return at, kind[at]
-
-
-def features(c: Chars) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each kind of n-gram the positions that carry one, and its hash."""
-    codes = c.folded()
-    out = []
-    for n in ORDERS:
-        ok = codes != 0
-        ok[: -(n - 1)] &= codes[n - 1 :] != 0
-        at = np.flatnonzero(ok)
-        out.append((at, grams(codes, n, BITS)[at]))
-    at, kind = shapes(c.raw, codes)
-    ok = kind != 0
-    ok[: -(SHAPE - 1)] &= kind[SHAPE - 1 :] != 0
-    out.append((at[ok], grams(kind, SHAPE, BITS)[ok]))
-    return out
-
-
-#: Cheap cues, by which the scan picks rows that may hold a trusted form (Java syntax).
-CUES = (
-    r"[{}«»#~|^@‹›]|<[%<a-zA-Z]|%[(a-zA-Z가-힣]|\$[a-zA-Z가-힣]|:[a-z가-힣]|__|\[[a-zA-Z가-힣]|입력|작성|예정|(?i:lorem|asdf|qwer|blah|dummy|placeholder|sample|insert|goes here|traceback|error|found|script|cookie|browser|session|access|server|request|again|todo|tbd|fixme|xxx)"
-    r"|([XΔ○●□_*])\1+ \1+ |ㅁㄴㅇㄹ|가나다|더미|채움|예시|샘플|시안|이곳에|자리에|칸에|페이지|문서|찾을 수|권한|로그인|점검|오류|인증|시도해|관리자|주소|서비스 이용|쿠키|스크립트|브라우저|Seite|introuvable|encontrada|ページ|页面"
-)
+    place = np.minimum(np.arange(len(codes)) - np.repeat(at, np.diff(at, append=len(codes))), 63)
+    content = np.add.reduceat(codes * POWERS[place], at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32)
+    content ^= content >> np.uint32(15)
+    content *= np.uint32(0x2C1B3C6D)
+    return at, kind[at], (content ^ (content >> np.uint32(12))) >> np.uint32(32 - BITS)
+
+
+def moving(x: np.ndarray, before: int, after: int) -> np.ndarray:
+    """At each place the sum from ``before`` places before it to ``after`` behind it."""
+    total = np.concatenate((np.zeros(before + 1), np.cumsum(x), np.full(after, x.sum())))
+    return total[before + after + 1 :] - total[: len(x)]
+
+
+class Passages:
+    """The passages of many texts: sentences with the n-grams that begin in them, and windows over the shape."""
+
+    def __init__(self, texts: list[str]):
+        c = Chars(texts)
+        codes = c.folded()
+        n = len(codes)
+        self.chars = c
+        begins = starts_of_sentences(codes)
+        self.sentence = np.cumsum(begins) - 1  # of each position
+        self.first = np.flatnonzero(begins)
+        self.grams = []
+        for k in ORDERS:
+            ok = codes != 0
+            ok[: n - k + 1] &= self.sentence[: n - k + 1] == self.sentence[k - 1 :]
+            ok[max(0, n - k + 1) :] = False
+            at = np.flatnonzero(ok)
+            self.grams.append((at, grams(codes, k, BITS)[at]))
+        self.at, kind, content = runs_of(codes)
+        self.shapes = [(np.flatnonzero(kind != 0), content[kind != 0])]
+        for k, alike in SHAPES:
+            symbols = np.where(MARKS[np.minimum(kind, 0xFF)], np.uint32(6), kind) if alike else kind
+            ok = kind != 0
+            # the padding stands for the text's edge
+            ok[: -(k - 1)] |= kind[k - 1 :] != 0
+            ok[max(0, len(kind) - k + 1) :] = False
+            at = np.flatnonzero(ok)
+            self.shapes.append((at, grams(symbols, k, BITS)[at]))
+        self.inside = kind != 0
+
+    def sentence_scores(self, weights: np.ndarray) -> np.ndarray:
+        """Tempered evidence of each sentence."""
+        total = np.zeros(len(self.first))
+        for w, (at, h) in zip(weights, self.grams):
+            total += np.bincount(self.sentence[at], w[h], len(self.first))
+        return total / TEMPER[0]
+
+    def window_scores(self, weights: np.ndarray) -> np.ndarray:
+        """Tempered evidence of each place of the shape: of all n-grams over it and the places beside it."""
+        n = len(self.at)
+        over = np.zeros(n)
+        for k, w, (at, h) in zip(WIDTHS, weights, self.shapes):
+            per = np.zeros(n)
+            per[at] = w[h]
+            over += moving(per, k - 1, 0)
+        return moving(over, 1, 1) / (3 * TEMPER[1])
 
 
 @dataclass
 class Residue:
-    """Log-odds of each hashed n-gram, residue against other text."""
-
-    weights: np.ndarray
-
-    def per_position(self, c: Chars) -> np.ndarray:
-        per = np.zeros(len(c.raw) + 1, np.float64)
-        for w, (at, h) in zip(self.weights, features(c)):
-            per[at] += w[h]
-        return per
-
-    def candidates(self, texts: list[str]) -> np.ndarray:
-        """The best window's log-odds of each text."""
-        if not texts:
-            return np.zeros(0, np.float32)
-        c = Chars(texts, pad=WINDOW)
-        total = np.concatenate(([0.0], np.cumsum(self.per_position(c))))
-        n = len(c.raw)
-        window = np.where(c.raw != 0, total[np.minimum(np.arange(n) + WINDOW, n)] - total[:n], -np.inf)
-        best = np.maximum.reduceat(window, c.starts)
-        return np.where(c.lengths > 0, best, -np.inf)
-
-    def found(self, texts: list[str | None]) -> np.ndarray:
-        """Whether each text is spoiled: a candidate by its best window, confirmed by the exact check."""
-        safe = [t or "" for t in texts]
-        out = self.candidates(safe) >= THRESHOLD
-        for i in np.flatnonzero(out):
-            out[i] = confirmed(safe[i])
+    """Log-odds of each hashed feature, residue against other text, and the log-odds of a passage that has none: sentences, windows."""
+
+    sentences: np.ndarray
+    windows: np.ndarray
+    prior: tuple[float, float]
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """(texts, 2) log-odds of each text's best sentence and window, less the threshold; it is spoiled where one is positive."""
+        out = np.full((len(texts), 2), -np.inf)
+        if not any(texts):
+            return out
+        p = Passages(texts)
+        for kind, (places, score) in enumerate(((p.first, p.sentence_scores(self.sentences)), (p.at, np.where(p.inside, p.window_scores(self.windows), -np.inf)))):
+            out[:, kind] = np.maximum.reduceat(score, np.searchsorted(places, p.chars.starts)) + self.prior[kind] - THRESHOLD[kind]
+        out[p.chars.lengths == 0] = -np.inf
         return out
 
-
-def confirmed(text: str) -> bool:
-    """The exact check: a residue form outside a sentence that only reports on such things."""
-    for m in RESIDUE.finditer(text):
-        if re.match(SLOT, m.group()) or m.group().startswith(("<", "{", "Traceback")):
-            return True
-        a = max(text.rfind("\n", 0, m.start()), *(text.rfind(x, 0, m.start()) for x in (". ", "! ", "? "))) + 1
-        ends = [e for x in (". ", ".\n", "\n", "! ", "? ") if (e := text.find(x, m.end())) >= 0]
-        sentence = text[a : min(ends, default=len(text))]
-        if not REPORT.search(sentence):
-            return True
-    return False
-
-
-def train(texts: list[str], rounds: int = ROUNDS) -> Residue:
-    """Fit by EM: trusted windows stay positive, the rest get a posterior that each round re-estimates."""
-    kinds = len(ORDERS) + 1
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text is spoiled: whether the evidence of one of its passages reaches the threshold."""
+        return self.evidence([t or "" for t in texts]).max(1, initial=-np.inf) >= 0
+
+
+def trusted_spans(text: str, seeds: re.Pattern) -> list[tuple[int, int]]:
+    """Where a text holds a trusted form outside quotation marks."""
+    found = [m.span() for m in seeds.finditer(text)]
+    if not found:
+        return found
+    quoted = [m.span() for m in QUOTED.finditer(text)]
+    return [(a, b) for a, b in found if not any(x <= a and b <= y for x, y in quoted)]
+
+
+def maximize(features: list[tuple[np.ndarray, np.ndarray]], shares: list[np.ndarray], clip: tuple[float, float]) -> np.ndarray:
+    """The M-step: log-odds of each feature from each place's share in the positives."""
+    weights = np.zeros((len(features), 1 << BITS), np.float32)
+    for i, ((at, h), share) in enumerate(zip(features, shares)):
+        both = np.bincount(h, minlength=1 << BITS)
+        pos = np.bincount(h, share[at], 1 << BITS)
+        neg, seen = np.maximum(both - pos, 0), max(1, int((both > 0).sum()))
+        # other text's distribution is the prior of the positives', so that what they never held speaks against them, however rare it is
+        other = (neg + 0.05) / (neg.sum() + 0.05 * seen)
+        ratio = np.log((pos + PRIOR_MASS * other) / (pos.sum() + PRIOR_MASS)) - np.log(other)
+        weights[i] = np.where(both > 0, np.clip(ratio, *clip), 0.0)
+    return weights
+
+
+def train(texts: list[str], rounds: int = ROUNDS, seeds: tuple[re.Pattern, re.Pattern] = SEEDS) -> Residue:
+    """Fit by EM: trusted passages stay positive, the rest get a posterior that each round re-estimates."""
     texts = [t for t in texts if t and t.strip()]
+    none = Residue(np.zeros((len(ORDERS), 1 << BITS), np.float16), np.zeros((len(SHAPES) + 1, 1 << BITS), np.float16), (-np.inf, -np.inf))
     if not texts:
-        return Residue(np.zeros((kinds, 1 << BITS), np.float32))
-    c = Chars(texts, pad=WINDOW)
-    count = np.maximum(1, -(-(c.lengths - WINDOW) // STRIDE) + 1)
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    owner = np.repeat(np.arange(len(texts)), count)
-    at = c.starts[owner] + (np.arange(len(owner)) - first[owner]) * STRIDE
-    trusted = np.zeros(len(at), bool)
+        return none
+    p = Passages(texts)
+    sure = [np.zeros(len(p.first), bool), np.zeros(len(p.at), bool)]
     for i, t in enumerate(texts):
-        if RESIDUE.search(t) and confirmed(t):
-            mine = np.arange(first[i], first[i] + count[i])
-            for m in RESIDUE.finditer(t):
-                a, b = c.starts[i] + m.start(), c.starts[i] + m.end()
-                shared = np.minimum(at[mine] + WINDOW, b) - np.maximum(at[mine], a)
-                trusted[mine[shared >= min(WINDOW, m.end() - m.start()) * 0.75]] = True
-    found = features(c)
-    posterior = trusted.astype(np.float64)
-    prior = np.log(max(posterior.mean(), 1e-4) / max(1 - posterior.mean(), 1e-4))
-    weights = np.zeros((kinds, 1 << BITS), np.float32)
-    for r in range(rounds):
-        # each position's share in the positives: the mean posterior of the windows over it
-        cover = np.zeros((2, len(c.raw) + WINDOW + 1))
-        for row, mass in ((0, posterior), (1, np.ones(len(at)))):
-            np.add.at(cover[row], at, mass)
-            np.add.at(cover[row], at + WINDOW, -mass)
-        cover = np.cumsum(cover, axis=1)
-        share = cover[0] / np.maximum(cover[1], 1)
-        for i, (pos_at, h) in enumerate(found):
-            both = np.bincount(h, minlength=1 << BITS)
-            pos = np.bincount(h, share[pos_at], 1 << BITS)
-            neg, seen, smooth = np.maximum(both - pos, 0), max(1, int((both > 0).sum())), 0.05
-            lp = np.log((pos + smooth) / (pos.sum() + smooth * seen))
-            ln = np.log((neg + smooth) / (neg.sum() + smooth * seen))
-            weights[i] = np.where(both > 0, np.clip(lp - ln, -1, 6), 0.0) / kinds
-        if r < rounds - 1:
-            total = np.concatenate(([0.0], np.cumsum(Residue(weights).per_position(c))))
-            score = (total[np.minimum(at + WINDOW, len(c.raw))] - total[at]) / TEMPER + prior
-            soft = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            posterior = np.where(trusted, 1.0, np.where(soft >= SURE, soft, 0.0))
-    return Residue(weights.astype(np.float16))
+        for a, b in trusted_spans(t, seeds[0]):
+            sure[0][p.sentence[p.chars.starts[i] + a] : p.sentence[p.chars.starts[i] + b - 1] + 1] = True
+        for a, b in trusted_spans(t, seeds[1]):
+            # the symbols of the form itself, and those beside it
+            lo, hi = np.searchsorted(p.at, (p.chars.starts[i] + a, p.chars.starts[i] + b))
+            sure[1][max(0, lo) : hi] = True
+    out, prior = [], []
+    for kind, features in enumerate((p.grams, p.shapes)):
+        trusted = sure[kind]
+        if not trusted.any():
+            out.append(none.sentences if kind == 0 else none.windows)
+            prior.append(-np.inf)
+            continue
+        posterior = trusted.astype(np.float64)
+        base = np.log(trusted.mean() / (1 - trusted.mean() + 1e-9))
+        for r in range(rounds):
+            # a character's share is its sentence's; an n-gram of the shape has the mean of its places
+            shares = [posterior[p.sentence]] * len(ORDERS) if kind == 0 else [moving(posterior, 0, k - 1) / k for k in WIDTHS]
+            weights = maximize(features, shares, CLIP[kind])
+            if r < rounds - 1:
+                score = (p.sentence_scores(weights) if kind == 0 else p.window_scores(weights)) + base - ABSORBED * THRESHOLD[kind]
+                soft = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+                posterior = np.where(trusted, 1.0, np.where(soft >= SURE, soft, 0.0))
+        out.append(weights.astype(np.float16))
+        prior.append(float(base))
+    return Residue(out[0], out[1], (prior[0], prior[1]))
 
 
 def fit(students: DataFrame) -> Residue:
-    """Fit on two bounded hash samples of the requests' translations: SAMPLE rows of all, SAMPLE of those with a cue of residue."""
+    """Fit on two bounded hash samples of the requests' translations: SAMPLE rows of all, SAMPLE of those with a trusted form among POOL rows."""
     rows = students.select("request_id", "translation")
     some = hash_sample(rows, "request_id", SAMPLE, "residue")
-    cued = hash_sample(rows, "request_id", SAMPLE, "cued", F.col("translation").rlike(CUES), 5 * SAMPLE)
-    return train([*{r["request_id"]: r["translation"] for r in some + cued}.values()])
+    sure = hash_sample(rows, "request_id", SAMPLE, "trusted", F.col("translation").rlike(JAVA_SEEDS), POOL)
+    return train([*{r["request_id"]: r["translation"] for r in some + sure}.values()])
 
 
 def residue_records(students: DataFrame, model: Residue | None = None) -> DataFrame:
