@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ HALF = 1 << 14
 TERMS = 2 * HALF
 #: Passes over the corpus, and updates of each document's mixture in a pass.
 PASSES, INNER = 4, 6
+#: Updates of a document's mixture with the last components.
+LAST = 12
 #: Documents of one vectorised step, and partial sums added in one task.
-STEP, FAN = 500, 16
+STEP, FAN = 128, 16
 #: Share of a document's sentences that makes a subject, and evidence (in terms) that gives a sentence to a subject.
 SHARE, EVIDENCE = 0.25, 1.3
 SEED_WEIGHT, SMOOTH = 3.0, 0.02
@@ -77,75 +80,112 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in out if WORD.search(s) and not CLOSING.search(s)]
 
 
+class Known(dict):
+    """Words met before, each with its row in a table of hashed terms."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows = np.full((1 << 12, 4), -1, np.int32)
+
+    def __missing__(self, w: str) -> int:
+        low = w.lower()
+        if low.isascii():
+            stem = low[:-3] + "y" if low.endswith("ies") and len(low) > 4 else low[:-1] if low.endswith("s") and not low.endswith("ss") and len(low) > 3 else low
+            ids = [zlib.crc32(stem.encode()) % HALF]
+        else:
+            # Korean words carry particles: their beginnings stand for them
+            ids = [HALF + zlib.crc32(low[:n].encode("utf-8", "replace")) % HALF for n in (2, 3, 4) if len(low) >= n] or [HALF + zlib.crc32(low.encode("utf-8", "replace")) % HALF]
+        at = self[w] = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.full_like(self.rows, -1)))
+        self.rows[at, : len(ids)] = ids
+        return at
+
+
 class Vocabulary:
-    """Hashed terms of sentences. Words met before are remembered, up to a bound."""
+    """Hashed terms of sentences: words and pairs of neighbouring words of one script. Words met before are remembered, up to a bound."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, w: str) -> tuple[int, ...]:
-        if (got := self.known.get(w)) is None:
-            low = w.lower()
-            if low.isascii():
-                stem = low[:-3] + "y" if low.endswith("ies") and len(low) > 4 else low[:-1] if low.endswith("s") and not low.endswith("ss") and len(low) > 3 else low
-                got = (zlib.crc32(stem.encode()) % HALF,)
-            else:
-                # Korean words carry particles: their beginnings stand for them
-                got = tuple(HALF + zlib.crc32(low[:n].encode("utf-8", "replace")) % HALF for n in (2, 3, 4) if len(low) >= n) or (HALF + zlib.crc32(low.encode("utf-8", "replace")) % HALF,)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[w] = got
-        return got
-
-    def terms(self, sentence: str) -> list[int]:
-        out: list[int] = []
-        before = -1
-        for w in WORD.findall(sentence):
-            ids = self.word(w)
-            out += ids
-            first = ids[0]
-            if before >= 0 and (before < HALF) == (first < HALF):
-                out.append((before * 7919 + first * 104729) % HALF + (HALF if first >= HALF else 0))
-            before = first
-        return out
-
-
-def row(vocabulary: Vocabulary, text: str | None) -> tuple[list[int], list[int]]:
-    """A document's distinct terms and their counts."""
-    found: list[int] = []
-    for s in sentences(text):
-        found += vocabulary.terms(s)
-    if not found:
-        return [], []
-    ids, n = np.unique(np.array(found, np.int32), return_counts=True)
-    return ids.tolist(), n.astype(np.int32).tolist()
+        self.known = Known()
+
+    def terms(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of many sentences, end to end, and the sentence of each."""
+        if len(self.known) > 200_000:
+            self.known = Known()
+        words = [WORD.findall(x) for x in sentences]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        of = np.repeat(np.arange(len(sentences)), np.fromiter(map(len, words), np.int64, len(words)))
+        ids = self.known.rows[at]
+        first = ids[:, 0].astype(np.int64)
+        pair = (of[1:] == of[:-1]) & ((first[1:] < HALF) == (first[:-1] < HALF))
+        pairs = (first[:-1] * 7919 + first[1:] * 104729) % HALF + np.where(first[1:] >= HALF, HALF, 0)
+        here = ids >= 0
+        flat, owner = np.concatenate((ids[here], pairs[pair])), np.concatenate((np.repeat(of, here.sum(1)), of[1:][pair]))
+        order = np.argsort(owner, kind="stable")
+        return flat[order].astype(np.int64), owner[order]
+
+
+#: Rows of the matrix. Buffers of fixed-width numbers: the document's distinct terms (uint16) and their counts (float32); then for each of its
+#: terms, sentence by sentence, the place of the term among the distinct ones (uint16), and the number of terms of each sentence (int32).
+ROW = "doc_id bigint, ids binary, counts binary, back binary, sizes binary"
+
+
+def rows_of(vocabulary: Vocabulary, texts: list[str | None]) -> list[list[bytes]]:
+    """The matrix's buffers for many texts, column by column."""
+    parts = [sentences(t) for t in texts]
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat, owner = vocabulary.terms([x for part in parts for x in part])
+    doc = np.repeat(np.arange(len(parts)), n)[owner]
+    keys, back, counts = np.unique(doc * TERMS + flat, return_inverse=True, return_counts=True)
+    first = np.searchsorted(keys, np.arange(len(parts) + 1) * TERMS)
+    begins = np.searchsorted(doc, np.arange(len(parts) + 1))
+    ids, counts, back = (keys % TERMS).astype(np.uint16), counts.astype(np.float32), (back - first[doc]).astype(np.uint16)
+    sizes, whole = np.bincount(owner, minlength=int(n.sum())).astype(np.int32), np.concatenate(([0], np.cumsum(n)))
+    out: list[list[bytes]] = []
+    for values, ends in ((ids, first), (counts, first), (back, begins), (sizes, whole)):
+        out.append([values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+    return out
 
 
 def matrix(documents: DataFrame) -> DataFrame:
-    """The document-term matrix: doc_id, terms, counts; one row a document."""
+    """The document-term matrix, one row a document. Its terms keep their sentences, so that no text is parsed twice."""
 
     def make():
         vocabulary = Vocabulary()
 
         def work(ids, texts):
-            rows = [row(vocabulary, t) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in rows_of(vocabulary, texts))], ["doc_id", "ids", "counts", "back", "sizes"])
 
         return work
 
-    return map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, terms array<int>, counts array<int>", text=1)
+    return map_rows(documents.select("doc_id", "text"), make, ROW, text=1)
+
+
+def buffer(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of buffers, end to end, and how many each row has; nothing is copied."""
+    size = np.dtype(dtype).itemsize
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // size
+    values = np.frombuffer(data, dtype, int(ends[-1])) if data is not None else np.zeros(0, dtype)
+    return values[ends[0] :], np.diff(ends)
+
+
+def entries(ids: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, term and count of the entries of some rows."""
+    terms, n = buffer(ids, np.uint16)
+    return np.repeat(np.arange(len(n)), n), terms, buffer(counts, np.float32)[0]
 
 
 def mixtures(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, counts: np.ndarray, docs: int, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' mixtures for components h (components, terms), and each entry's responsibilities times its count."""
-    k = len(h)
+    """Documents' mixtures for components h (terms, components), and each entry's responsibilities times its count."""
+    k = h.shape[1]
     w = np.full((docs, k), 1.0 / k, np.float32)
-    part = np.ascontiguousarray(h[:, ids].T)
+    part = h[ids]
     first = np.searchsorted(owner, np.arange(docs))
     empty = np.bincount(owner, minlength=docs) == 0
-    share = None
+    share = np.empty_like(part)
     for _ in range(inner):
-        share = part * w[owner]
+        np.multiply(part, w[owner], out=share)
         share *= (counts / np.maximum(share.sum(1), 1e-30))[:, None]
         w = np.add.reduceat(share, np.minimum(first, len(ids) - 1), axis=0) + SMOOTH
         w[empty] = 1.0
@@ -153,14 +193,6 @@ def mixtures(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, counts: np.ndarr
     return w, share
 
 
-def batches(rows: list[tuple[list[int], list[int]]]):
-    """Entries of a step's documents, end to end."""
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    ids = np.fromiter((x for r in rows for x in r[0]), np.int64, len(owner))
-    counts = np.fromiter((x for r in rows for x in r[1]), np.float32, len(owner))
-    return owner, ids, counts
-
-
 def summed(rows: DataFrame, tasks: int, add: Callable, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all rows of ``add``'s arrays: one for each of at most ``tasks`` tasks, then added in a tree of FAN at a time, so that no
     task and not the driver holds more than FAN of them."""
@@ -171,9 +203,8 @@ def summed(rows: DataFrame, tasks: int, add: Callable, shape: tuple[int, int]) -
         total = np.zeros(shape, np.float32)
         work = add(total)
         for batch in parts:
-            columns = [c.to_pylist() for c in batch.columns]
             for i in range(0, batch.num_rows, STEP):
-                work(*[c[i : i + STEP] for c in columns])
+                work(*batch.slice(i, STEP).columns)
         yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -214,39 +245,38 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
     k, place = len(subjects), {s: i for i, (s, _) in enumerate(subjects)}
     vocabulary = Vocabulary()
     described = np.zeros((k, TERMS), np.float32)
-    for i, (_, text) in enumerate(subjects):
-        for t in vocabulary.terms(text):
-            described[i, t] += 1
+    flat, owner = vocabulary.terms([text for _, text in subjects])
+    np.add.at(described, (owner, flat), 1)
     given = labels.where(F.col("subject_id").isin([s for s, _ in subjects])).groupBy("doc_id").agg(F.collect_set("subject_id").alias("given"))
 
     def add_labelled(total):
         def work(given, ids, counts):
-            for g, i, c in zip(given, ids, counts):
-                if i:
-                    for s in g:
-                        np.add.at(total[place[s]], i, np.array(c, np.float32) / len(g))
+            owner, at, n = entries(ids, counts)
+            for d, g in enumerate(given.to_pylist()):
+                mine = owner == d
+                for s in g:
+                    total[place[s]] += np.bincount(at[mine], n[mine] / len(g), TERMS)
         return work
 
     def add_all(total):
         def work(ids, counts):
-            o, i, c = batches(list(zip(ids, counts)))
-            total[0] += np.bincount(i, c, TERMS)
+            _, at, n = entries(ids, counts)
+            total[0] += np.bincount(at, n, TERMS)
         return work
 
     tasks = terms.rdd.getNumPartitions()
     joined = max(tasks, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    labelled = summed(terms.join(given, "doc_id").select("given", "terms", "counts"), joined, add_labelled, (k, TERMS))
-    plain = terms.select("terms", "counts")
+    labelled = summed(terms.join(given, "doc_id").select("given", "ids", "counts"), joined, add_labelled, (k, TERMS))
+    plain = terms.select("ids", "counts")
     overall = summed(plain, tasks, add_all, (1, TERMS))[0]
     h = seeds(labelled, overall, described)
     for _ in range(passes):
 
-        def add(total, h=h):
+        def add(total, h=np.ascontiguousarray(h.T, np.float32)):
             def work(ids, counts):
-                rows = [(i, c) for i, c in zip(ids, counts) if i]
-                if rows:
-                    owner, at, n = batches(rows)
-                    share = mixtures(h, owner, at, n, len(rows))[1]
+                owner, at, n = entries(ids, counts)
+                if len(at):
+                    share = mixtures(h, owner, at, n, len(ids))[1]
                     for j in range(len(total)):
                         total[j] += np.bincount(at, share[:, j], TERMS)
             return work
@@ -259,25 +289,26 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
     return h
 
 
-def sentence_shares(h: np.ndarray, vocabulary: Vocabulary, text: str | None) -> tuple[int, np.ndarray]:
-    """Sentences of a text, and how many of them each subject takes."""
-    k = len(h) - 2
-    rows = [vocabulary.terms(s) for s in sentences(text)]
-    taken = np.zeros(k, np.int64)
-    flat = np.fromiter((x for r in rows for x in r), np.int64)
-    if not len(flat):
-        return len(rows), taken
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    w, _ = mixtures(h, np.zeros(len(ids), np.int64), ids, counts.astype(np.float32), 1, 12)
-    part = h[:, ids].T * w[0]
+def sentence_shares(h: np.ndarray, ids: pa.Array, counts: pa.Array, back: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of the matrix its sentences, and how many of them each subject takes. ``h`` has a row a term. A document's mixture weighs
+    the components for each of its terms; a sentence goes to the subject with the most evidence in it."""
+    k = h.shape[1] - 2
+    owner, at, n = entries(ids, counts)
+    sizes_of, many = buffer(sizes, np.int32)
+    taken = np.zeros((len(ids), k), np.int64)
+    if not len(at):
+        return many, taken
+    w, _ = mixtures(h, owner, at, n, len(ids), LAST)
+    part = h[at] * w[owner]
     part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-    score = np.zeros((len(rows), k))
-    np.add.at(score, owner, part[back][:, :k])
+    places, length = buffer(back, np.uint16)
+    first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1]))
+    score = np.add.reduceat(part[places + np.repeat(first, length), :k], np.concatenate(([0], np.cumsum(sizes_of)[:-1])), axis=0)
     best = score.argmax(1)
-    sure = score[np.arange(len(rows)), best] >= EVIDENCE
-    taken += np.bincount(best[sure], minlength=k)
-    return len(rows), taken
+    sure = score[np.arange(len(best)), best] >= EVIDENCE
+    doc = np.repeat(np.arange(len(ids)), many)
+    np.add.at(taken, (doc[sure], best[sure]), 1)
+    return many, taken
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -286,29 +317,25 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
     terms = matrix(documents).checkpoint()
     # a stated set of subjects: a few hundred at most
     named = sorted((r["subject_id"], f"{r['subject_name'] or ''} {r['description'] or ''}") for r in subjects.dropna(subset=["subject_id"]).distinct().collect())
+    schema = "doc_id bigint, subject_id bigint, sentences bigint, taken bigint, share double"
     if not named:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject_id bigint, sentences bigint, taken bigint, share double")
-    h = factor(terms, labels, named).astype(np.float32)
-    packed = zlib.compress(h.tobytes(), 1)
-    ids_of = [s for s, _ in named]
-    rows, cols = h.shape
+        return documents.sparkSession.createDataFrame([], schema)
+    h = np.ascontiguousarray(factor(terms, labels, named).T, np.float32)
+    packed, shape = zlib.compress(h.tobytes(), 1), h.shape
+    ids_of = np.array([s for s, _ in named], np.int64)
 
-    def make():
-        components = np.frombuffer(zlib.decompress(packed), np.float32).reshape(rows, cols)
-        vocabulary = Vocabulary()
-
-        def work(ids, texts):
-            out = {c: [] for c in ("doc_id", "subject_id", "sentences", "taken", "share")}
-            for i, t in zip(ids, texts):
-                n, taken = sentence_shares(components, vocabulary, t)
-                for j in np.flatnonzero(taken):
-                    for c, v in zip(out, (i, ids_of[j], n, int(taken[j]), float(taken[j] / n))):
-                        out[c].append(v)
-            return out
-
-        return work
-
-    return map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, subject_id bigint, sentences bigint, taken bigint, share double", text=1)
+    def run(parts):
+        components = np.frombuffer(zlib.decompress(packed), np.float32).reshape(shape)
+        for batch in parts:
+            for i in range(0, batch.num_rows, STEP):
+                docs, *columns = batch.slice(i, STEP).columns
+                many, taken = sentence_shares(components, *columns)
+                d, j = np.nonzero(taken)
+                values = taken[d, j]
+                yield pa.RecordBatch.from_arrays(
+                    [docs.take(pa.array(d)), pa.array(ids_of[j]), pa.array(many[d].astype(np.int64)), pa.array(values), pa.array(values / many[d])], ["doc_id", "subject_id", "sentences", "taken", "share"])
+
+    return terms.mapInArrow(run, schema)
 
 
 def p8_found(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE) -> DataFrame:

@@ -313,12 +313,31 @@ def test_mixtures_lower_the_objective():
     ids, counts = rng.integers(0, subjects.TERMS, 600), rng.integers(1, 4, 600).astype(np.float32)
 
     def loss(inner):
-        w, _ = subjects.mixtures(h, owner, ids, counts, 30, inner)
+        w, _ = subjects.mixtures(h.T.copy(), owner, ids, counts, 30, inner)
         return -(counts * np.log((h[:, ids].T * w[owner]).sum(1))).sum()
 
     assert loss(12) <= loss(3) <= loss(1) + 1e-3
 
 
+def test_matrix_rows_hold_the_terms_of_every_sentence():
+    import pyarrow as pa
+
+    texts = ["Sales rose. Costs fell in the north.", None, "", "매출이 늘었다. 비용은 줄었다.", "Sales rose. Sales rose."]
+    ids, counts, back, sizes = (pa.array(c, pa.binary()) for c in subjects.rows_of(subjects.Vocabulary(), texts))
+    owner, terms, n = subjects.entries(ids, counts)
+    places, lengths = subjects.buffer(back, np.uint16)
+    assert subjects.buffer(sizes, np.int32)[1].tolist() == [2, 0, 0, 2, 2] and lengths.tolist()[1:3] == [0, 0]
+    assert [int(n[owner == d].sum()) for d in range(5)] == lengths.tolist()
+    for d, text in enumerate(texts):
+        mine = terms[owner == d]
+        assert sorted(set(mine.tolist())) == mine.tolist()
+        flat, _ = subjects.Vocabulary().terms(subjects.sentences(text))
+        a = int(lengths[:d].sum())
+        assert mine[places[a : a + lengths[d]]].tolist() == flat.tolist()
+    part = pa.RecordBatch.from_arrays([ids], ["ids"]).slice(3, 2).column(0)
+    assert subjects.buffer(part, np.uint16)[0].tolist() == terms[owner >= 3].tolist()
+
+
 def test_subject_queries(spark, data):
     folder = data.replace("sf0.001", "sf0.01")
     docs = table(spark, folder, "documents").withColumn("terms", F.lit("clash")).withColumn("counts", F.lit(0))
