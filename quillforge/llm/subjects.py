@@ -35,7 +35,9 @@ PASSES, INNER = 4, 6
 #: Updates of a document's mixture with the last components.
 LAST = 12
 #: Documents of one vectorised step, and partial sums added in one task.
-STEP, FAN = 128, 16
+STEP, FAN = 1_000, 16
+#: Documents whose mixtures are updated together.
+CACHED = 128
 #: Share of a document's sentences that makes a subject, and evidence (in terms) that gives a sentence to a subject.
 SHARE, EVIDENCE = 0.25, 1.3
 SEED_WEIGHT, SMOOTH = 3.0, 0.02
@@ -177,20 +179,29 @@ def entries(ids: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def mixtures(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, counts: np.ndarray, docs: int, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """Documents' mixtures for components h (terms, components), and each entry's responsibilities times its count."""
-    k = h.shape[1]
-    w = np.full((docs, k), 1.0 / k, np.float32)
-    part = h[ids]
-    first = np.searchsorted(owner, np.arange(docs))
-    empty = np.bincount(owner, minlength=docs) == 0
-    share = np.empty_like(part)
-    for _ in range(inner):
-        np.multiply(part, w[owner], out=share)
-        share *= (counts / np.maximum(share.sum(1), 1e-30))[:, None]
-        w = np.add.reduceat(share, np.minimum(first, len(ids) - 1), axis=0) + SMOOTH
-        w[empty] = 1.0
-        w /= w.sum(1, keepdims=True)
-    return w, share
+    """Documents' mixtures (components, documents) for components h (components, terms), and each entry's responsibilities times its count
+    (components, entries). Some documents at a time, so that they stay in the cache."""
+    k = len(h)
+    first = np.searchsorted(owner, np.arange(docs + 1))
+    mixture, shares = np.full((k, docs), np.float32(1.0 / k)), np.empty((k, len(ids)), np.float32)
+    for d in range(0, docs, CACHED):
+        a, b = int(first[d]), int(first[min(docs, d + CACHED)])
+        n = np.diff(first[d : d + CACHED + 1])
+        some = np.flatnonzero(n)
+        if not len(some):
+            continue
+        part, c, n = np.take(h, ids[a:b], axis=1), counts[a:b], n[some]
+        begins = np.cumsum(n) - n
+        w = np.full((k, len(some)), np.float32(1.0 / k))
+        for _ in range(inner):
+            share = np.repeat(w, n, axis=1)
+            share *= part
+            share *= c / np.maximum(share.sum(0), 1e-30)
+            w = np.add.reduceat(share, begins, axis=1) + np.float32(SMOOTH)
+            w /= w.sum(0)
+        mixture[:, d + some] = w
+        shares[:, a:b] = share
+    return mixture, shares
 
 
 def summed(rows: DataFrame, tasks: int, add: Callable, shape: tuple[int, int]) -> np.ndarray:
@@ -272,13 +283,13 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
     h = seeds(labelled, overall, described)
     for _ in range(passes):
 
-        def add(total, h=np.ascontiguousarray(h.T, np.float32)):
+        def add(total, h=h.astype(np.float32)):
             def work(ids, counts):
                 owner, at, n = entries(ids, counts)
                 if len(at):
                     share = mixtures(h, owner, at, n, len(ids))[1]
                     for j in range(len(total)):
-                        total[j] += np.bincount(at, share[:, j], TERMS)
+                        total[j] += np.bincount(at, share[j], TERMS)
             return work
 
         # components keep a part of their anchors, so that none drifts to another subject
@@ -290,20 +301,22 @@ def factor(terms: DataFrame, labels: DataFrame, subjects: list[tuple[int, str]],
 
 
 def sentence_shares(h: np.ndarray, ids: pa.Array, counts: pa.Array, back: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of the matrix its sentences, and how many of them each subject takes. ``h`` has a row a term. A document's mixture weighs
+    """For each row of the matrix its sentences, and how many of them each subject takes. A document's mixture weighs
     the components for each of its terms; a sentence goes to the subject with the most evidence in it."""
-    k = h.shape[1] - 2
+    k = len(h) - 2
     owner, at, n = entries(ids, counts)
     sizes_of, many = buffer(sizes, np.int32)
     taken = np.zeros((len(ids), k), np.int64)
     if not len(at):
         return many, taken
     w, _ = mixtures(h, owner, at, n, len(ids), LAST)
-    part = h[at] * w[owner]
-    part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
+    part = np.take(h, at, axis=1)
+    part *= w[:, owner]
+    part /= np.maximum(part.sum(0), 1e-30)
+    part = np.ascontiguousarray(part[:k].T)
     places, length = buffer(back, np.uint16)
     first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(ids)))[:-1]))
-    score = np.add.reduceat(part[places + np.repeat(first, length), :k], np.concatenate(([0], np.cumsum(sizes_of)[:-1])), axis=0)
+    score = np.add.reduceat(part[places + np.repeat(first, length)], np.concatenate(([0], np.cumsum(sizes_of)[:-1])), axis=0)
     best = score.argmax(1)
     sure = score[np.arange(len(best)), best] >= EVIDENCE
     doc = np.repeat(np.arange(len(ids)), many)
@@ -320,7 +333,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
     schema = "doc_id bigint, subject_id bigint, sentences bigint, taken bigint, share double"
     if not named:
         return documents.sparkSession.createDataFrame([], schema)
-    h = np.ascontiguousarray(factor(terms, labels, named).T, np.float32)
+    h = factor(terms, labels, named).astype(np.float32)
     packed, shape = zlib.compress(h.tobytes(), 1), h.shape
     ids_of = np.array([s for s, _ in named], np.int64)
 
