@@ -4,6 +4,10 @@ Method: length-histogram planning. Best fit runs over the counts of each length
 most ``capacity`` lengths whatever the number of documents. Documents then take the planned slots by joining on their rank within their
 length. A text longer than a sequence is the only one split: into full sequences and a rest that is packed like any other item.
 
+The plan is sent to the tasks; its size has a bound that no data can exceed: each length splits one group of equal sequences and opens two
+at most, so there are at most 3 x capacity groups, and a group holds at most sqrt(2 x capacity) different lengths: for 2,048 tokens 393,216
+ranges of 40 bytes, 16 MB.
+
 Sizes are tokens of a public tokenizer, whose file is a parameter. Ranks within a length are worked out in two levels (a hash part
 within the length, then the rank within the part), so that a length that holds a third of all documents is not ranked in one task.
 
@@ -26,8 +30,6 @@ from quillforge.session import checkpoint_folder
 CAPACITY = 2_048
 #: Rows of one length that one task ranks, about.
 RANKED = 200_000
-#: Ranges of the plan that are sent to the tasks at most; a larger plan is joined.
-SENT = 2_000_000
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -45,17 +47,17 @@ def encoder(file: str = TOKENIZER):
 
 
 def token_counts(documents: DataFrame, file: str = TOKENIZER) -> DataFrame:
-    """doc_id and the tokens of its text. One pass, two columns."""
+    """doc_id, a hash of its text, which tells rows of one doc_id apart, and the tokens of the text. One pass, two columns."""
 
     def make():
         encode = encoder(file).encode_ordinary
 
-        def work(ids, texts):
-            return {"doc_id": ids, "tokens": [len(encode(t)) if t else 0 for t in texts]}
+        def work(ids, texts, keys):
+            return {"doc_id": ids, "text_key": keys, "tokens": [len(encode(t)) if t else 0 for t in texts]}
 
         return work
 
-    return map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, tokens bigint", text=1)
+    return map_rows(documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")), make, "doc_id bigint, text_key bigint, tokens bigint", text=1)
 
 
 @dataclass
@@ -136,75 +138,65 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pieces_of(counts: DataFrame, capacity: int) -> DataFrame:
     """Items: a text that fits is one; a longer one gives full sequences and a rest. doc_id, piece_no, first_token, tokens."""
     starts = F.when(F.col("tokens") > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("tokens") - 1, F.lit(0)), F.lit(capacity).cast("bigint")))
-    items = counts.select("doc_id", "tokens", F.posexplode_outer(starts).alias("piece_no", "first_token"))
+    items = counts.select("doc_id", "text_key", "tokens", F.posexplode_outer(starts).alias("piece_no", "first_token"))
     return items.select(
-        "doc_id", F.coalesce(F.col("piece_no").cast("bigint"), F.lit(0)).alias("piece_no"), F.coalesce("first_token", F.lit(0)).alias("first_token"),
+        "doc_id", "text_key", F.coalesce(F.col("piece_no").cast("bigint"), F.lit(0)).alias("piece_no"), F.coalesce("first_token", F.lit(0)).alias("first_token"),
         F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.lit(capacity), F.col("tokens") - F.col("first_token"))).cast("bigint").alias("tokens"))
 
 
 def ranked(items: DataFrame, total: int) -> DataFrame:
     """Items with their rank within their length, from 0, in two levels."""
     parts = max(8, -(-total // RANKED))
-    part = items.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)))
+    part = items.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_key", "piece_no"), F.lit(parts)))
     before = (
         part.groupBy("tokens", "_part").agg(F.count("*").alias("_n"))
         .withColumn("_before", F.sum("_n").over(Window.partitionBy("tokens").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
         .select("tokens", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
-    within = F.row_number().over(Window.partitionBy("tokens", "_part").orderBy("doc_id", "piece_no"))
+    within = F.row_number().over(Window.partitionBy("tokens", "_part").orderBy("doc_id", "text_key", "piece_no"))
     return part.withColumn("_rank", within).join(before, ["tokens", "_part"]).select(
-        "doc_id", "piece_no", "first_token", "tokens", (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("rank"))
+        "doc_id", "text_key", "piece_no", "first_token", "tokens", (F.col("_before") + F.col("_rank") - 1).cast("bigint").alias("rank"))
 
 
-def packed(documents: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER) -> DataFrame:
-    """Every document's pieces with the sequence and the place in it that they take."""
-    spark = documents.sparkSession
-    checkpoint_folder(spark)
+def placed(documents: DataFrame, capacity: int, file: str) -> DataFrame:
+    """Every document's pieces with the sequence and the place in it that they take, and the hash of the document's text."""
+    checkpoint_folder(documents.sparkSession)
     counts = token_counts(documents, file).checkpoint()
     items = pieces_of(counts, capacity)
     filled = items.where("tokens > 0")
     # at most ``capacity`` rows
     histogram = {r["tokens"]: r["count"] for r in filled.groupBy("tokens").count().collect()}
-    none = items.where("tokens = 0").select("doc_id", "piece_no", "first_token", "tokens", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("at_token"))
+    none = items.where("tokens = 0").select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("at_token"))
     if not histogram:
         return none
     p, total = plan(histogram, capacity), sum(histogram.values())
-    placed = ranked(filled, total)
-    if len(p.length) > SENT:
-        return placed_by_join(placed, p).unionByName(none)
 
     def make():
-        def work(ids, piece, first, tokens, rank):
+        def work(ids, keys, piece, first, tokens, rank):
             length = np.array(tokens, np.int64)
             sequence, at = p.slots(length, np.array(rank, np.int64))
-            return {"doc_id": ids, "piece_no": piece, "first_token": first, "tokens": tokens, "sequence_id": sequence, "at_token": at}
+            return {"doc_id": ids, "text_key": keys, "piece_no": piece, "first_token": first, "tokens": tokens, "sequence_id": sequence, "at_token": at}
 
         return work
 
-    schema = "doc_id bigint, piece_no bigint, first_token bigint, tokens bigint, sequence_id bigint, at_token bigint"
-    return map_rows(placed, make, schema, text=-1).unionByName(none)
+    schema = "doc_id bigint, text_key bigint, piece_no bigint, first_token bigint, tokens bigint, sequence_id bigint, at_token bigint"
+    return map_rows(ranked(filled, total), make, schema, text=-1).unionByName(none)
 
 
-def placed_by_join(placed: DataFrame, p: Plan) -> DataFrame:
-    """The same slots by a join on length and range of ranks, for plans too large to send."""
-    import pandas as pd
-
-    last = np.append(np.where(p.length[1:] == p.length[:-1], p.first[1:], np.iinfo(np.int64).max), np.iinfo(np.int64).max)
-    ranges = placed.sparkSession.createDataFrame(pd.DataFrame({"tokens": p.length, "_first": p.first, "_last": last, "_sequence": p.sequence, "_copies": p.copies, "_offset": p.offset}))
-    step = F.col("rank") - F.col("_first")
-    return placed.join(ranges, "tokens").where((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_last"))).select(
-        "doc_id", "piece_no", "first_token", "tokens", (F.col("_sequence") + F.floor(step / F.col("_copies"))).cast("bigint").alias("sequence_id"),
-        (F.col("_offset") + step % F.col("_copies") * F.col("tokens")).cast("bigint").alias("at_token"))
+def packed(documents: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER) -> DataFrame:
+    """Every document's pieces with the sequence and the place in it that they take."""
+    return placed(documents, capacity, file).drop("text_key")
 
 
 def token_rows(documents: DataFrame, capacity: int = CAPACITY, file: str = TOKENIZER) -> DataFrame:
     """The filled sequences: sequence_id, items and token_ids (``capacity`` at most). A document's places are brought to it once, so that it is
     tokenized once however many pieces it gives; a sequence's items are bounded by its capacity."""
-    places = packed(documents, capacity, file).where("sequence_id is not null")
-    by_document = places.groupBy("doc_id").agg(F.collect_list(F.struct("first_token", "tokens", "sequence_id", "at_token")).alias("places"))
-    # documents that repeat an id would each claim all its places: one of them stands for the id
-    texts = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
-    joined = by_document.withColumnRenamed("doc_id", "_id").join(texts, F.col("_id").eqNullSafe(F.col("doc_id"))).select("places", "text")
+    places = placed(documents, capacity, file).where("sequence_id is not null")
+    by_document = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_token", "tokens", "sequence_id", "at_token")).alias("places"))
+    # rows that repeat both id and text are brought once and fill the places of all copies
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).dropDuplicates(["doc_id", "text_key"])
+    joined = by_document.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places").join(
+        texts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("places", "text")
 
     def make():
         encode = encoder(file).encode_ordinary

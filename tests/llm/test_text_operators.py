@@ -199,6 +199,11 @@ def test_pair_rules():
     assert not pairs.is_copy("7,899 KRX / 2,321%", "7,899 KRX / 2,321%") and not pairs.is_copy(None, "x") and not pairs.is_copy(source, "…")
     assert pairs.is_empty(None) and pairs.is_empty("<br/>") and pairs.is_empty("** **") and not pairs.is_empty("(0)")
     assert pairs.is_refusal("죄송하지만 이 요청은 정책상 번역해 드릴 수 없습니다. 양해 부탁드립니다.") and pairs.is_refusal("I'm sorry, but I must decline to process this text.") and pairs.is_refusal("申し訳ありませんが、ご依頼にはお応えできません。")
+    plain = "매출은 12억 달러로 늘었습니다. 비용은 줄었습니다. 이사회는 예산을 승인했습니다. "
+    assert pairs.is_refusal(plain + "이 내용은 제가 번역할 수 없습니다.") and pairs.is_refusal(plain * 3 + "I'm unable to comply with this, sorry.")
+    assert pairs.is_refusal("회사가 지난 분기에 발표한 모든 자료와 그 부속 서류를 하나하나 살펴본 다음 " * 8 + "말씀드리자면 이 요청을 처리할 수 없습니다.")
+    assert pairs.is_refusal("I can't help with that request.") and pairs.is_refusal("답변을 제공해 드릴 수 없습니다.") and not pairs.is_refusal(plain * 50)
+    assert pairs.is_copy("매출 rose 12 percent", "매출 ROSE 12 percent!")
     assert not pairs.is_refusal("가나 그룹은 인수 제안을 번역해 배포해 달라는 요청을 거절했다.") and not pairs.is_refusal("대변인은 해당 질문에 답변할 수 없다고 말했다.")
 
 
