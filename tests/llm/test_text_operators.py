@@ -123,7 +123,7 @@ def test_noun_endings():
 
 
 LABELLED = {
-    "ko": "회사는 매출이 늘었다고 밝혔습니다. 이사회는 예산을 승인했습니다.", "en": "The company said that sales rose in the second quarter. The board approved a budget.",
+    "ko": "회사는 매출이 늘었다고 밝혔습니다. 이사회는 예산을 승인했습니다. 회사는 “annual report first”라는 말을 남겼다. 그는 Varde Works에서 일한다.", "en": "The company said that sales rose in the second quarter. The board approved a budget.",
     "ja": "当社は売上高が増加したと発表した。取締役会は予算を承認した。", "zh": "公司表示收入有所增长。董事会批准了预算。", "de": "Das Unternehmen meldete einen höheren Umsatz. Der Vorstand genehmigte das Budget.",
     "fr": "La société a annoncé une hausse de ses ventes. Le conseil a approuvé le budget.", "es": "La compañía comunicó que los ingresos aumentaron. El consejo aprobó el presupuesto.",
     "pt": "A empresa informou que as receitas cresceram. A diretoria aprovou o orçamento.",
