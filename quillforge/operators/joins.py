@@ -18,10 +18,11 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def response_audit(requests: DataFrame, responses: DataFrame, key: str, row: str) -> DataFrame:
-    """Every key once, with its side: matched, missing (no response), extra (no request), or mismatched (another row)."""
-    a = requests.groupBy(key).agg(F.min(row).alias("_a"), F.lit(True).alias("_in_a"))
-    b = responses.groupBy(key).agg(F.min(row).alias("_b"), F.lit(True).alias("_in_b"))
-    side = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when(~F.col("_a").eqNullSafe(F.col("_b")), "mismatched").otherwise("matched")
+    """Every key once, with its side: matched, missing (no response), extra (no request), or mismatched (any delivery of the key names another row)."""
+    a = requests.groupBy(key).agg(F.min(row).alias("_a"), F.max(row).alias("_a2"), F.lit(True).alias("_in_a"))
+    b = responses.groupBy(key).agg(F.min(row).alias("_b"), F.max(row).alias("_b2"), F.lit(True).alias("_in_b"))
+    same = F.col("_a").eqNullSafe(F.col("_b")) & F.col("_a2").eqNullSafe(F.col("_b2")) & F.col("_a").eqNullSafe(F.col("_a2"))
+    side = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when(~same, "mismatched").otherwise("matched")
     return a.join(b, key, "full").select(key, side.alias("side"))
 
 

@@ -130,44 +130,81 @@ class Cursor:
 
     size: int
     quota: int
+    open: bool  # whether it may give more than its quota
     taken: int = 0
     accepted: int = 0
 
 
-def refill(candidates: DataFrame, target: int, window: int, weights: list[float], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Accepted candidates, taken window by window until the target is met or the queues are empty.
+def scheduled(cursors: list[Cursor], heads: dict[tuple[int, int], tuple[bool, float, str]], window: int) -> list[tuple[int, int]]:
+    """The next window as (bucket, place in its queue), in the order in which items are sent. While a bucket is under its quota, the one that is least filled
+    gives its head; then the open bucket whose head has the best score (``heads``: whether it lacks one, the score, the id) gives it."""
+    sent, out = [0] * len(cursors), []
+    for _ in range(window):
+        left = [i for i, c in enumerate(cursors) if c.taken + sent[i] < c.size]
+        under = [i for i in left if cursors[i].accepted + sent[i] < cursors[i].quota]
+        if under:
+            pick = min(under, key=lambda i: ((cursors[i].accepted + sent[i]) / max(cursors[i].quota, 1), i))
+        else:
+            left = [i for i in left if cursors[i].open]
+            if not left:
+                break
+            pick = min(left, key=lambda i: (*heads[i, cursors[i].taken + sent[i] + 1], i))
+        sent[pick] += 1
+        out.append((pick, cursors[pick].taken + sent[pick]))
+    return out
+
+
+def refill(candidates: DataFrame, target: int, window: int, weights: list[float], answer: Callable[[DataFrame], DataFrame], folder: str, explicit: bool = True) -> DataFrame:
+    """Candidates sent to a model, window by window, until ``target`` are accepted or the queues are empty, each with its ``outcome``: accepted (with
+    accept_rank), rejected, or unused (sent, but behind the item that met the target).
 
-    Each window is one Spark job: ``answer`` gets the window's candidates and gives back ids with ``accepted``. A window's composition
-    depends on earlier acceptance, so windows follow one another; the driver keeps a cursor a bucket and never rows. Candidates have id,
-    length_bucket_idx and selection_rank."""
+    A window's composition depends on what was accepted before, so windows follow one another. ``answer`` gets a window's candidates and gives back their ids with
+    ``accepted`` and ``failed``; it is run once a window, and its answers are written to ``folder``, a shared one, before they are counted, so that neither a lost
+    executor nor a later use of the result asks the model again. If all answers of a window failed, the run ends with an error; what was answered is kept.
+    Candidates have a unique id, length_bucket_idx, selection_rank and qe_score. With explicit weights, buckets of weight zero give nothing beyond their quota."""
+    spark = candidates.sparkSession
+    buckets = len(weights)
     queue = candidates.withColumn("_place", F.row_number().over(Window.partitionBy("length_bucket_idx").orderBy("selection_rank", "id")))
-    sizes = {r["length_bucket_idx"]: r["count"] for r in candidates.groupBy("length_bucket_idx").count().collect()}
-    share = quotas(target, weights)
-    cursors = [Cursor(sizes.get(i, 0), share[i]) for i in range(len(weights))]
-    done, out = 0, None
+    # the queue is written once, in its order: a window reads only the rows near its heads
+    queue.repartitionByRange("length_bucket_idx", "_place").sortWithinPartitions("length_bucket_idx", "_place").write.mode("overwrite").parquet(f"{folder}/queue")
+    queue = spark.read.parquet(f"{folder}/queue")
+    sizes = {r["length_bucket_idx"]: r["count"] for r in queue.groupBy("length_bucket_idx").count().collect()}
+    cursors = [Cursor(sizes.get(i, 0), q, not explicit or weights[i] > 0) for i, q in enumerate(quotas(target, weights))]
+    done, number, first_rank = 0, 0, []
     while done < target:
-        take = [0] * len(cursors)
-        scheduled = [c.accepted for c in cursors]
-        for _ in range(window):
-            left = [i for i, c in enumerate(cursors) if c.taken + take[i] < c.size]
-            if not left:
-                break
-            under = [i for i in left if scheduled[i] < cursors[i].quota]
-            pick = min(under or left, key=lambda i: (scheduled[i] / max(cursors[i].quota, 1), i))
-            take[pick] += 1
-            scheduled[pick] += 1
-        if not sum(take):
-            break
-        inside = F.lit(False)
+        near = F.lit(False)
         for i, c in enumerate(cursors):
-            inside = inside | (F.col("length_bucket_idx") == i) & (F.col("_place") > c.taken) & (F.col("_place") <= c.taken + take[i])
-        got = answer(queue.where(inside).drop("_place")).where("accepted")
-        new = {r["length_bucket_idx"]: r["count"] for r in got.groupBy("length_bucket_idx").count().collect()}
-        for i, c in enumerate(cursors):
-            c.taken += take[i]
-            c.accepted += new.get(i, 0)
-        done += sum(new.values())
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return candidates.limit(0)
-    return out.orderBy("selection_rank").limit(target)
+            near = near | (F.col("length_bucket_idx") == i) & (F.col("_place") > c.taken) & (F.col("_place") <= c.taken + window)
+        # at most ``window`` heads a bucket, three short values each
+        heads = {(r[0], r[1]): (r[2] is None, r[2] or 0.0, r[3]) for r in queue.where(near).select("length_bucket_idx", "_place", F.when(~F.isnan("qe_score"), F.col("qe_score")), "id").collect()}
+        items = scheduled(cursors, heads, window)
+        if not items:
+            break
+        sent = spark.createDataFrame([(b, p, n) for n, (b, p) in enumerate(items, 1)], "length_bucket_idx bigint, _place int, schedule_idx bigint")
+        asked = queue.where(near).join(F.broadcast(sent), ["length_bucket_idx", "_place"]).drop("_place")
+        path = f"{folder}/window-{number:06d}"
+        got = answer(asked).select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("failed", F.lit(False)).alias("failed"))
+        asked.join(got, "id", "left").na.fill({"accepted": False, "failed": True}).write.mode("overwrite").parquet(path)
+        kept = spark.read.parquet(path)
+        by = {r["length_bucket_idx"]: r for r in kept.groupBy("length_bucket_idx").agg(F.count_if("accepted").alias("accepted"), F.count_if("failed").alias("failed"), F.count("*").alias("sent")).collect()}
+        for i, r in by.items():
+            cursors[i].taken += r["sent"]
+            cursors[i].accepted += r["accepted"]
+        first_rank.append(done)
+        done += sum(r["accepted"] for r in by.values())
+        number += 1
+        if all(r["failed"] == r["sent"] for r in by.values()):
+            raise RuntimeError(f"all {sum(r['sent'] for r in by.values())} answers of window {number - 1} failed; its items are kept in {path}")
+    if not number:
+        none = candidates.limit(0)
+        return none.select("*", F.lit(0).cast("bigint").alias("window_no"), F.lit(0).cast("bigint").alias("schedule_idx"), F.lit("").alias("outcome"), F.lit(0).cast("bigint").alias("accept_rank"))
+    out = None
+    for n, before in enumerate(first_rank):
+        part = spark.read.parquet(f"{folder}/window-{n:06d}").withColumn("window_no", F.lit(n).cast("bigint")).withColumn("_before", F.lit(before).cast("bigint"))
+        out = part if out is None else out.unionByName(part)
+    # a window's items are few: the running count is within each window
+    run = F.col("_before") + F.sum(F.col("accepted").cast("bigint")).over(Window.partitionBy("window_no").orderBy("schedule_idx"))
+    x = out.withColumn("_run", run)
+    used = F.col("_run") - F.col("accepted").cast("bigint") < target
+    outcome = F.when(~used, "unused").when(F.col("accepted"), "accepted").otherwise("rejected")
+    return x.select(*candidates.columns, "window_no", "schedule_idx", outcome.alias("outcome"), F.when(used & F.col("accepted"), F.col("_run")).alias("accept_rank"))

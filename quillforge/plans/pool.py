@@ -45,12 +45,12 @@ def exact_subset(s: SparkSession, d: str) -> DataFrame:
 def shards(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "cycle")
     n = c.count()
-    key = F.coalesce("id", F.lit(""))
+    key = F.when(T.has_text(F.col("id")), F.col("id")).otherwise(F.format_string("row_%012d", "order_idx"))
     return c.select("order_idx", "id", P.hash_shard(key, SHARDS).alias("hash_shard"), P.order_shard(F.col("order_idx"), F.lit(n), SHARDS).alias("order_shard"))
 
 
 def template_assign(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "cycle").where("id is not null").select("order_idx", "id")
+    c = P.normalized(table(s, d, "cycle")).select("order_idx", "id")
     return c.select("order_idx", "id", P.template_index(F.col("id"), 12, 42).alias("template_idx"), P.weighted_choice(F.col("id"), [("한국어", 0.85), ("한글", 0.10), ("국어", 0.05)], 42).alias("variant"))
 
 
@@ -78,9 +78,9 @@ def global_top(s: SparkSession, d: str) -> DataFrame:
 
 
 def pending(s: SparkSession, d: str) -> DataFrame:
-    """Pool rows without a golden pair."""
+    """Pool rows without a golden pair. A row without an id has the id made from its position."""
     gold = table(s, d, "golden_pairs").select("id").distinct()
-    return table(s, d, "cycle").where("id is not null").select("order_idx", "id").join(gold, "id", "left_anti")
+    return P.normalized(table(s, d, "cycle")).select("order_idx", "id").join(gold, "id", "left_anti")
 
 
 def clean_semi(s: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ SQL = {
  select b as length_bucket_idx, n as rows, (whole + case when place <= 1000 - (select sum(whole) from f) then 1 else 0 end)::BIGINT as quota from f""",
     "subset_assign": f"""with p as (select order_idx, id, row_number() over (order by sha256('42|' || order_idx::VARCHAR), order_idx)::BIGINT - 1 as pool_position from cycle)
  select order_idx, id, pool_position, pool_position // {SUBSET} as subset_idx, pool_position % {SUBSET} as subset_order from p""",
-    "row_shards": f"""select order_idx, id, (('0x' || substr(sha256(coalesce(id, '')), 1, 16))::HUGEINT % {SHARDS})::BIGINT as hash_shard,
+    "row_shards": f"""select order_idx, id, (('0x' || substr(sha256(case when {Q.has_text('id')} then id else 'row_' || lpad(order_idx::VARCHAR, 12, '0') end), 1, 16))::HUGEINT % {SHARDS})::BIGINT as hash_shard,
  least(order_idx * {SHARDS} // greatest((select count(*) from cycle), 1), {SHARDS - 1})::BIGINT as order_shard from cycle""",
     "select_low": select_sql("qe_score, id", "n"),
     "select_high": select_sql("qe_score desc, id", "n"),
@@ -155,6 +155,7 @@ SQL = {
     "select_uniform": select_sql("qe_score, id", "1"),
     "select_weighted_zero_bucket": select_sql("qe_score, id", "case b when 0 then 0 when 1 then 1 else 3 end"),
     "select_global": f"with {SCORED_SQL} select id, qe_score, row_number() over (order by qe_score, id)::BIGINT as selection_rank from scored order by qe_score, id limit {K}",
-    "pending_candidates": "select order_idx, id from cycle where id is not null and id not in (select id from golden_pairs where id is not null)",
+    "pending_candidates": f"""select order_idx, id from (select order_idx, case when {Q.has_text('id')} then id else 'row_' || lpad(order_idx::VARCHAR, 12, '0') end as id from cycle where {Q.has_text('source')})
+ where id not in (select id from golden_pairs where id is not null)""",
     "clean_scores": f"select request_id, qe_status, qe_backend from qe_scores where request_id in (select request_id from student_translations where student_status = 'ok' and {Q.has_text('translation')})",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.plans import pool, rows, summaries, teaching, texts
+from quillforge.plans import pool, records, rows, summaries, teaching, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (pool, texts, rows, teaching, summaries)
+GROUPS = (pool, texts, rows, teaching, summaries, records)
 
 
 def queries() -> dict[str, Query]:

@@ -15,7 +15,7 @@ from quillforge.plans import sql as Q
 from quillforge.sources import files
 from quillforge.sources.tables import spread, table
 
-EOS, MOST, BATCH = 2, 96, 8
+EOS, BATCH = 2, 8
 #: The sequence limit of training: input and output tokens and the prompt's overhead.
 LIMIT = 1280 + 1500 + 128
 PER_DEVICE, WORLD, EFFECTIVE = 4, 4, 128
@@ -86,21 +86,14 @@ def training(s: SparkSession, d: str) -> DataFrame:
     return TR.training_rows(gold(s, d), F.concat(F.lit("Translate: "), F.coalesce("source", F.lit("")), F.lit("\nKorean:")), ["_place"])
 
 
-def masked(s: SparkSession, d: str) -> DataFrame:
-    """Word lengths stand in for token ids, so that both engines have the same."""
-    ids = lambda c: F.transform(T.raw_words(c), lambda w: F.length(w))
-    x = training(s, d).withColumn("y", TR.labels(ids("source"), ids("target"), EOS, MOST))
-    return x.select("id", "order_idx", "y.input_ids", "y.labels", "y.prompt_tokens", "y.response_tokens")
-
-
 def word_ids(s: SparkSession, d: str) -> DataFrame:
     """Whole rows as ids of prompt and response."""
     ids = lambda c: F.transform(T.raw_words(c), lambda w: F.length(w))
     return training(s, d).select("id", "order_idx", ids("source").alias("prompt_ids"), ids("target").alias("response_ids"))
 
 
-def masked_whole(s: SparkSession, d: str) -> DataFrame:
-    """Rows that are never cut: one over the sequence limit fails the query."""
+def masked(s: SparkSession, d: str) -> DataFrame:
+    """Whole rows: one over the sequence limit fails the query. Word lengths stand in for token ids, so that both engines have the same."""
     x = word_ids(s, d).withColumn("y", TR.whole_labels(F.col("id"), F.col("prompt_ids"), F.col("response_ids"), EOS, LIMIT))
     return x.select("id", "order_idx", "y.input_ids", "y.labels", "y.prompt_tokens", "y.response_tokens")
 
@@ -113,18 +106,10 @@ def label_mask(s: SparkSession, d: str) -> DataFrame:
     return shown(masked(s, d))
 
 
-def label_mask_whole(s: SparkSession, d: str) -> DataFrame:
-    return shown(masked_whole(s, d))
-
-
 def batch_padding(s: SparkSession, d: str) -> DataFrame:
     return batches(masked(s, d))
 
 
-def batch_padding_whole(s: SparkSession, d: str) -> DataFrame:
-    return batches(masked_whole(s, d))
-
-
 def batches(rows: DataFrame) -> DataFrame:
     x = TR.padded_batches(rows, "order_idx", BATCH, 0)
     return x.select("id", "order_idx", "batch_idx", F.size("input_ids").cast("bigint").alias("width"), F.array_join("attention_mask", "").alias("attention_mask"), F.array_join("labels", " ").alias("labels"))
@@ -226,7 +211,7 @@ TRAIN = f"""t as (select id, place - 1 as order_idx, source, {Q.strip('target')}
  from {GOLD} where {Q.has_text('source')} and {Q.has_text('target')})"""
 IDS = lambda c: f"list_transform(regexp_extract_all({c}, '{Q.WORD}'), lambda x: length(x))"
 MASK = f"""{TRAIN}, i as (select id, order_idx, {IDS('source')} as a, {IDS('target')} as b from t),
- m as (select id, order_idx, list_concat(a, b, [{EOS}])[1:{MOST}] as ids, list_concat(list_transform(a, lambda x: -100), b, [{EOS}])[1:{MOST}] as labels, len(a) as na, len(a) + len(b) + 1 as total from i)"""
+ m as (select id, order_idx, list_concat(a, b, [{EOS}])[1:{LIMIT}] as ids, list_concat(list_transform(a, lambda x: -100), b, [{EOS}])[1:{LIMIT}] as labels, len(a) as na, len(a) + len(b) + 1 as total from i)"""
 ACC = TR.accumulation(EFFECTIVE, PER_DEVICE, WORLD)
 BLEU_TOKENS = r"regexp_extract_all(coalesce({c}, ''), '[\p{{L}}\p{{N}}]+|[^\s\x{{0B}}\p{{L}}\p{{N}}]')"
 STATS = f"""p as materialized (select st.request_id, st.model_name, {BLEU_TOKENS.format(c='st.translation')} as h, {BLEU_TOKENS.format(c='c.target')} as r
@@ -249,9 +234,9 @@ QUERIES = {
     "prompt_requests": pool_prompts,
     "sft_rows": training,
     "label_mask": label_mask,
-    "label_mask_whole": label_mask_whole,
+    
     "batch_padding": batch_padding,
-    "batch_padding_whole": batch_padding_whole,
+    
     "stage_padding": stage_padding,
     "step_plan": steps,
     "eval_cadence": cadence,

@@ -86,15 +86,6 @@ def score_maps(s: SparkSession, d: str) -> DataFrame:
 
 
 def blocked(s: SparkSession, d: str) -> DataFrame:
-    """Of the requests selected without regard to their label, those that the label keeps from the teacher, by finish reason."""
-    from quillforge.operators import selection as S
-
-    chosen = S.stratified_top(pool.scored(s, d), pool.K, "low").select("id")
-    st = rows.last_students(s, d).select(F.col("request_id").alias("id"), F.lower(F.coalesce("finish_reason", F.lit("none"))).alias("finish"))
-    return st.join(chosen, "id", "left_semi").where("finish <> 'stop'").groupBy("finish").agg(F.count("*").alias("requests"))
-
-
-def blocked_labels(s: SparkSession, d: str) -> DataFrame:
     """Of the requests selected from all scored rows, those that the classifier keeps from the teacher, by label."""
     from quillforge.operators import degeneration as D
     from quillforge.operators import selection as S
@@ -114,21 +105,12 @@ def mask_audit(s: SparkSession, d: str) -> DataFrame:
     return audited(rows.masked(s, d))
 
 
-def mask_audit_whole(s: SparkSession, d: str) -> DataFrame:
-    """The same of rows that are not cut."""
-    return audited(rows.masked_whole(s, d))
-
-
 def audited(masked: DataFrame) -> DataFrame:
     x = masked.orderBy("order_idx").limit(5)
     return x.select("id", "order_idx", F.size("input_ids").cast("bigint").alias("tokens"), F.size(F.filter("labels", lambda v: v == -100)).cast("bigint").alias("masked"))
 
 
 def longest_row(s: SparkSession, d: str) -> DataFrame:
-    return rows.masked(s, d).agg(F.max(F.size("input_ids")).cast("bigint").alias("longest"), F.count("*").alias("rows"))
-
-
-def longest_row_whole(s: SparkSession, d: str) -> DataFrame:
     """The longest row before any limit, and the rows that the sequence limit would not hold: they, and those whose prompt alone fills it."""
     size = F.size("prompt_ids") + F.size("response_ids") + 1
     return rows.word_ids(s, d).agg(
@@ -156,8 +138,8 @@ def per_subset_usage(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "artifact_names": names, "key_collisions": collisions, "ignored_files": ignored_ids, "log_metrics": log_metrics, "message_contents": contents, "model_selection": chosen_models,
-    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "filter_blocked_labels": blocked_labels, "mask_audit": mask_audit, "mask_audit_whole": mask_audit_whole,
-    "longest_row": longest_row, "longest_row_whole": longest_row_whole, "smoke_rows": smoke_rows, "eval_summary": eval_summary, "shard_load": per_subset_usage,
+    "template_rank": ranked_templates, "eval_rows": eval_rows, "score_requests": score_requests, "score_maps": score_maps, "filter_blocked": blocked, "mask_audit": mask_audit,
+    "longest_row": longest_row, "smoke_rows": smoke_rows, "eval_summary": eval_summary, "shard_load": per_subset_usage,
 }
 
 N = "(coalesce(generated_token_count, 0) * 997)"
@@ -179,10 +161,8 @@ SQL = {
  from {Q.LAST_STUDENT} st join cycle c on c.order_idx = st.order_idx where st.student_status = 'ok' and {Q.has_text('st.translation')}""",
     "score_maps": """with q as (select request_id, qe_backend || '/' || qe_model as m, max(qe_score) as s from qe_scores where qe_status = 'ok' and qe_score is not null and not isnan(qe_score) and qe_backend is not null and qe_model is not null group by 1, 2)
  select r.request_id, count(q.m)::BIGINT as metrics, max(q.s) as best from (select distinct request_id from student_translations) r left join q on q.request_id = r.request_id group by 1""",
-    "filter_blocked": f"""with c as ({pool.SQL['select_low']}) select lower(coalesce(finish_reason, 'none')) as finish, count(*)::BIGINT as requests from {Q.LAST_STUDENT} st
- where request_id in (select id from c) and lower(coalesce(finish_reason, 'none')) <> 'stop' group by 1""",
     "mask_audit": f"with {rows.MASK} select id, order_idx, len(ids)::BIGINT as tokens, least(na, len(ids))::BIGINT as masked from m order by order_idx limit 5",
-    "longest_row": f"with {rows.MASK} select max(len(ids))::BIGINT as longest, count(*)::BIGINT as rows from m",
+    "longest_row": f"with {rows.MASK} select max(total)::BIGINT as longest, count(*)::BIGINT as rows, count_if(total > {rows.LIMIT})::BIGINT as over_limit, count_if(na >= {rows.LIMIT})::BIGINT as no_room from m",
     "smoke_rows": """with r as (select unnest(range(64)) as i), t as (select i, ['Revenue increased.', 'The board met.', 'Costs fell.'][i % 3 + 1] as t from r)
  select 'smoke_' || lpad(i::VARCHAR, 3, '0') as id, case when i % 4 = 0 then repeat(t || ' ', 40) else t end as source, i % 4 = 0 as long_context from t""",
     "eval_summary": """select count(*)::BIGINT as rows, count_if(student_status = 'ok')::BIGINT as ok_rows, count_if(student_status <> 'ok')::BIGINT as failed_rows, count_if(student_status <> 'ok')::DOUBLE / greatest(count(*), 1) as fail_ratio,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quillforge.operators import pool as P
 from quillforge.operators import teacher as TE
 from quillforge.operators.pool import hash_shard
 from quillforge.plans import sql as Q
+from quillforge.session import checkpoint_folder
 from quillforge.sources.tables import table
 
 SIZE, TARGET, MOST = 4, 40, 60
@@ -89,9 +92,12 @@ def resumed(s: SparkSession, d: str) -> DataFrame:
 
 def refilled(s: SparkSession, d: str) -> DataFrame:
     """Refill in windows of 16 with an answer that accepts two thirds."""
-    c = candidates(s, d).withColumn("length_bucket_idx", F.pmod("selection_rank", F.lit(3)))
-    out = TE.refill(c.select("id", "selection_rank", "length_bucket_idx"), TARGET, 16, [1.0, 1.0, 1.0], lambda w: w.withColumn("accepted", hash_shard(F.col("id"), 3) < 2))
-    return out.select("id", "selection_rank", "length_bucket_idx")
+    g = table(s, d, "golden_pairs").where("id is not null").groupBy("id").agg(F.max(F.when(~F.isnan("qe_score"), F.col("qe_score"))).alias("qe_score"))
+    c = candidates(s, d).withColumn("length_bucket_idx", F.pmod("selection_rank", F.lit(3))).join(g, "id")
+    answer = lambda w: w.select("id", (hash_shard(F.col("id"), 3) < 2).alias("accepted"), (hash_shard(F.col("id"), 7) == 0).alias("failed"))
+    folder = f"{checkpoint_folder(s)}/refill-{uuid.uuid4().hex}"
+    out = TE.refill(c.select("id", "selection_rank", "length_bucket_idx", "qe_score"), TARGET, 16, [1.0, 1.0, 1.0], answer, folder)
+    return out.select("id", "selection_rank", "length_bucket_idx", "window_no", "schedule_idx", "outcome", "accept_rank")
 
 
 def summary(s: SparkSession, d: str) -> DataFrame:

@@ -163,8 +163,7 @@ QUERIES = {
     "degeneration_labels": labels(),
     "degeneration_labels_plain": labels(D.plain()),
     "degeneration_checks": labels(WITHOUT_REPETITION),
-    "filter_summary": label_summary(WITHOUT_REPETITION),
-    "filter_summary_full": label_summary(),
+    "filter_summary": label_summary(),
     "basic_validity": validity,
     "chunk_explode": chunks,
     "preprocess_counters": chunk_counters,
@@ -193,8 +192,6 @@ SQL = {
  f as (select r, x, count(*) as n from (select r, unnest(c) as x from k) group by r, x), g as (select r, max(n) as n, sum(case when n > 1 then n else 0 end) as d, sum(n) as a from f group by r)
  select k.request_id, coalesce(g.n, 1)::BIGINT as most_equal, coalesce(g.d::DOUBLE / g.a, 0.0) as doubled_share from k left join g on g.r = k.r""",
     "degeneration_checks": f"with {LABELS_SQL} select {KEY}, coalesce(flags[1], 'clean') as degeneration_label, array_to_string(flags, ',') as flags from l",
-    "filter_summary": f"""with {LABELS_SQL} select corpus, count(*)::BIGINT as rows, count_if(len(flags) = 0)::BIGINT as passed, count_if(len(flags) > 0)::BIGINT as failed,
- count_if(len(flags) > 0)::DOUBLE / greatest(count(*), 1) as fail_ratio from l group by corpus""",
     "basic_validity": f"""select case when student_status is null or student_status <> 'ok' then 'invalid_status' when not {Q.has_text('translation')} then 'empty' else 'clean' end as degeneration_label,
  false as filter_enabled, true as basic_validity_only, count(*)::BIGINT as rows from student_translations group by 1""",
 }

@@ -28,8 +28,11 @@ def local_session(cores: int | str = "*", app: str = "quillforge", partitions: i
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a folder of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share. A folder of our own only where none is set and the session is
+    local: a machine's own folder is no shared one on a cluster, where the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="quillforge-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():

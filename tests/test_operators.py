@@ -13,6 +13,7 @@ from quillforge.operators import pool as P
 from quillforge.operators import prompting as R
 from quillforge.operators import selection as S
 from quillforge.operators import splitter as X
+from quillforge.operators import records as RE
 from quillforge.operators import teacher as TE
 from quillforge.operators import training as TR
 from quillforge.sources import files
@@ -121,12 +122,103 @@ def test_teacher_answers(spark):
     assert TE.items(p).count() == 13
 
 
-def test_refill_meets_the_target_and_survives_empty_queues(spark):
-    c = spark.range(60).select(F.col("id").cast("string").alias("id"), (F.col("id") + 1).alias("selection_rank"), (F.col("id") % 3).alias("length_bucket_idx"))
-    half = lambda w: w.withColumn("accepted", F.col("selection_rank") % 2 == 0)
-    assert TE.refill(c, 20, 8, [1.0, 1.0, 1.0], half).count() == 20
-    assert TE.refill(c, 50, 8, [1.0, 1.0, 1.0], half).count() == 30
-    assert TE.refill(c.limit(0), 5, 8, [1.0, 1.0, 1.0], half).count() == 0
+def brute_refill(items, target, window, weights, accepts, explicit=True):
+    """Item by item: the window's order, then acceptance in that order."""
+    quota, queues = S.quotas(target, weights), [sorted((x for x in items if x["length_bucket_idx"] == i), key=lambda x: x["selection_rank"]) for i in range(len(weights))]
+    got, out = [0] * len(weights), []
+    accepted = 0
+    while accepted < target:
+        sent, now = [0] * len(weights), []
+        while len(now) < window:
+            need = [i for i, q in enumerate(queues) if q and got[i] + sent[i] < quota[i]]
+            if need:
+                pick = min(need, key=lambda i: ((got[i] + sent[i]) / max(quota[i], 1), i))
+            else:
+                rest = [i for i, q in enumerate(queues) if q and (weights[i] > 0 or not explicit)]
+                if not rest:
+                    break
+                pick = min(rest, key=lambda i: (queues[i][0]["qe_score"] is None, queues[i][0]["qe_score"] or 0, queues[i][0]["id"], i))
+            sent[pick] += 1
+            now.append(queues[pick].pop(0))
+        if not now:
+            break
+        for x in now:
+            if accepted >= target:
+                out.append((x["id"], "unused", None))
+            elif accepts(x["id"]):
+                accepted += 1
+                out.append((x["id"], "accepted", accepted))
+            else:
+                out.append((x["id"], "rejected", None))
+        for x in now:
+            got[x["length_bucket_idx"]] += bool(accepts(x["id"]))
+    return out
+
+
+@pytest.mark.parametrize("weights, target, explicit", [([1.0, 1.0, 1.0], 20, True), ([1.0, 0.0, 3.0], 25, True), ([1.0, 0.0, 3.0], 28, False), ([1.0, 1.0, 1.0], 90, True)])
+def test_refill_against_item_by_item(spark, tmp_path, weights, target, explicit):
+    items = [{"id": f"x{i:02}", "selection_rank": i, "length_bucket_idx": (i * 7) % 3, "qe_score": None if i % 11 == 0 else (i * 37 % 17) / 17} for i in range(60)]
+    c = spark.createDataFrame([tuple(x.values()) for x in items], "id string, selection_rank bigint, length_bucket_idx bigint, qe_score double")
+    calls = []
+
+    def answer(w):
+        calls.append(1)
+        return w.select("id", (F.substring("id", 2, 2).cast("int") % 3 != 1).alias("accepted"), F.lit(False).alias("failed"))
+
+    got = TE.refill(c, target, 8, weights, answer, str(tmp_path / "r"), explicit).orderBy("window_no", "schedule_idx").collect()
+    want = brute_refill(items, target, 8, weights, lambda k: int(k[1:]) % 3 != 1, explicit)
+    assert [(r["id"], r["outcome"], r["accept_rank"]) for r in got] == want
+    assert len(calls) == len({r["window_no"] for r in got})
+    if weights[1] == 0 and explicit:
+        assert not any(r["length_bucket_idx"] == 1 for r in got)
+
+
+def test_refill_asks_once_and_ends_when_all_fail(spark, tmp_path):
+    c = spark.createDataFrame([("a", 1, 0, 0.1), ("b", 2, 0, None)], "id string, selection_rank bigint, length_bucket_idx bigint, qe_score double")
+    fail = lambda w: w.select("id", F.lit(False).alias("accepted"), F.lit(True).alias("failed"))
+    with pytest.raises(RuntimeError, match="all 2 answers of window 0 failed"):
+        TE.refill(c, 2, 4, [1.0], fail, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f/window-000000")).count() == 2
+    assert TE.refill(c.limit(0), 2, 4, [1.0], fail, str(tmp_path / "e")).count() == 0
+
+
+def test_a_broken_run_is_resumed(spark, tmp_path):
+    """a was accepted, b failed, c was rejected, d was not sent: b and d are sent, c is not."""
+    c = spark.createDataFrame([(k, n, 0, 0.5) for n, k in enumerate("abcd", 1)], "id string, selection_rank bigint, length_bucket_idx bigint, qe_score double")
+    ids = lambda x: spark.createDataFrame([(k,) for k in x], "id string")
+    log = spark.createDataFrame([("a", "ok", 1), ("b", "failed", 2), ("c", "ok", 3)], "id string, status string, pos int")
+    state = {r["id"]: r["state"] for r in TE.resume(c, ids("a"), ids("bc"), log).collect()}
+    assert state == {"a": "accepted", "b": "retry", "c": "rejected", "d": "pending"}
+    left = c.where(F.col("id").isin([k for k, v in state.items() if v in ("retry", "pending")]))
+    yes = lambda w: w.select("id", F.lit(True).alias("accepted"), F.lit(False).alias("failed"))
+    got = TE.refill(left, 3, 4, [1.0], yes, str(tmp_path / "p")).orderBy("schedule_idx").collect()
+    assert [r["id"] for r in got] == ["b", "d"] and {r["outcome"] for r in got} == {"accepted"}
+    assert RE.resume_faults(c, ids("a"), ids("bc"), log).count() == 0
+    assert {tuple(r) for r in RE.resume_faults(c, ids("aax"), ids("acz"), log).collect()} == {("a", "repeated_accepted"), ("x", "unknown_accepted"), ("a", "accepted_and_rejected"), ("z", "unknown_rejected")}
+    assert RE.next_batch(spark.createDataFrame([(3,), (None,)], "batch_idx bigint"), spark.createDataFrame([(5,)], "batch_idx bigint")).first()[0] == 6
+    assert RE.next_batch(spark.createDataFrame([], "batch_idx bigint"), spark.createDataFrame([], "batch_idx bigint")).first()[0] == 0
+
+
+def test_checks_of_artifacts(spark):
+    sent = spark.createDataFrame([("q1", "r1"), ("q2", "r2"), ("q2", "r2"), ("q3", "r3"), ("q4", "r4")], "id string, row_id string")
+    got = spark.createDataFrame([("q1", "r1", "ok"), ("q2", "r2", "ok"), ("q3", "r9", "failed"), ("q5", "r5", "ok"), (" ", "r6", "ok"), ("q1", "r7", None)], "id string, row_id string, status string")
+    want = {("q2", "duplicate_request"), ("q4", "missing"), ("q3", "row_mismatch"), ("q3", "not_ok"), ("q5", "extra"), (" ", "extra"), (" ", "no_id"), ("q1", "duplicate_response"), ("q1", "row_mismatch"), ("q1", "not_ok")}
+    assert {tuple(r) for r in RE.response_faults(sent, got).collect()} == want
+    parts = [spark.createDataFrame([(0, "a"), (2, "c")], "place int, v string"), spark.createDataFrame([(1, "b")], "place int, v string")]
+    assert RE.checked_union(parts, 3, "place").count() == 3
+    for bad, n in ((parts[:1], 3), ([*parts, parts[1]], 4), (parts[:1], 2)):
+        with pytest.raises(ValueError, match="are due"):
+            RE.checked_union(bad, n, "place")
+    with pytest.raises(ValueError, match="a reference is required: 2 rows"):
+        RE.require(spark.createDataFrame([("a", " "), ("b", None), ("c", "x")], "id string, ref string"), "ref", "id", "a reference")
+    with pytest.raises(ValueError, match="random order only"):
+        RE.raw_random(sent, 1, order="low")
+    rows = spark.createDataFrame([(f"r{i}", i % 3, None if i else "given") for i in range(9)], "id string, length_bucket_idx bigint, student_translation string")
+    chosen = {r["id"]: r for r in RE.raw_random(rows, 9).collect()}
+    assert len(chosen) == 9 and chosen["r0"]["student_translation"] == "given" and chosen["r1"]["student_translation"] is None and chosen["r1"]["student_status"] == "skipped_raw_random"
+    fit = lambda a, b: RE.compatible(J.coverage(spark.createDataFrame([*((k, "a") for k in a), *((k, "b") for k in b)], "key string, side string"))).first()["refused"]
+    assert not fit("xyz", "xyz") and fit("xyzw", "xyz") and fit("xy", "xyz")
+
 
 
 TEXTS = [

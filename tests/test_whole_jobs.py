@@ -1,4 +1,4 @@
-"""Queries that do the whole job where their SQL sisters leave a part out."""
+"""Queries over whole rows and with all checks, on small fixtures."""
 
 from collections import Counter
 
@@ -29,7 +29,7 @@ def small(spark, tmp_path_factory):
 
 
 def test_filter_summary_counts_repetition(spark, small):
-    got = {r["corpus"]: (r["rows"], r["passed"], r["failed"]) for r in core.queries()["filter_summary_full"](spark, small).collect()}
+    got = {r["corpus"]: (r["rows"], r["passed"], r["failed"]) for r in core.queries()["filter_summary"](spark, small).collect()}
     assert got == {"a": (3, 1, 2), "b": (3, 2, 1)}
 
 
@@ -37,7 +37,7 @@ def test_filter_summary_counts_the_labels(spark, data):
     labels = core.queries()["degeneration_labels"](spark, data).withColumn("clean", F.col("degeneration_label") == "clean")
     corpus = spark.read.parquet(f"{data}/student_translations.parquet").select("request_id", "corpus").distinct()
     want = {tuple(r) for r in labels.join(corpus, "request_id").groupBy("corpus").agg(F.count("*"), F.count_if("clean"), F.count_if(~F.col("clean"))).collect()}
-    assert {tuple(r)[:4] for r in core.queries()["filter_summary_full"](spark, data).collect()} == want
+    assert {tuple(r)[:4] for r in core.queries()["filter_summary"](spark, data).collect()} == want
 
 
 def golden(spark, folder, pairs):
@@ -48,34 +48,34 @@ def golden(spark, folder, pairs):
 def test_training_rows_are_whole(spark, tmp_path):
     d = golden(spark, tmp_path, [("word " * 120, "말 " * 150), ("one two", "하나 둘")])
     run = lambda name: core.queries()[name](spark, d).collect()
-    got = {r["id"]: r for r in run("label_mask_whole")}
+    got = {r["id"]: r for r in run("label_mask")}
     assert (got["g0"]["prompt_tokens"], got["g0"]["response_tokens"]) == (120, 151)
     assert got["g0"]["input_ids"].split() == ["4"] * 120 + ["1"] * 150 + ["2"]
     assert got["g0"]["labels"].split() == ["-100"] * 120 + ["1"] * 150 + ["2"]
     assert got["g1"]["labels"] == "-100 -100 2 1 2"
-    padded = {r["id"]: r for r in run("batch_padding_whole")}
+    padded = {r["id"]: r for r in run("batch_padding")}
     assert {r["width"] for r in padded.values()} == {271}
     assert padded["g1"]["attention_mask"] == "1" * 5 + "0" * 266 and padded["g1"]["labels"].split()[5:] == ["-100"] * 266
-    assert {r["id"]: (r["tokens"], r["masked"]) for r in run("mask_audit_whole")} == {"g0": (271, 120), "g1": (5, 2)}
-    assert [tuple(r) for r in run("longest_row_whole")] == [(271, 2, 0, 0)]
+    assert {r["id"]: (r["tokens"], r["masked"]) for r in run("mask_audit")} == {"g0": (271, 120), "g1": (5, 2)}
+    assert [tuple(r) for r in run("longest_row")] == [(271, 2, 0, 0)]
 
 
 @pytest.mark.parametrize("source, target, no_room", [("word " * 2908, "말", 1), ("word " * 2900, "말 " * 8, 0)])
 def test_rows_over_the_limit_are_reported(spark, tmp_path, source, target, no_room):
     d = golden(spark, tmp_path, [(source, target), ("one", "하나")])
-    assert [tuple(r)[1:] for r in core.queries()["longest_row_whole"](spark, d).collect()] == [(2, 1, no_room)]
-    for name in ("label_mask_whole", "batch_padding_whole", "mask_audit_whole"):
+    assert [tuple(r)[1:] for r in core.queries()["longest_row"](spark, d).collect()] == [(2, 1, no_room)]
+    for name in ("label_mask", "batch_padding", "mask_audit"):
         with pytest.raises(Exception, match="row g0.*exceed the sequence limit of 2908"):
             core.queries()[name](spark, d).collect()
 
 
 def test_rows_of_the_limit_fit(spark, tmp_path):
     d = golden(spark, tmp_path, [("word " * 2900, "말 " * 7)])
-    assert core.queries()["label_mask_whole"](spark, d).first()["response_tokens"] == 8
+    assert core.queries()["label_mask"](spark, d).first()["response_tokens"] == 8
 
 
 def test_blocked_requests_by_label(spark, small):
-    got = {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked_labels"](spark, small).collect()}
+    got = {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked"](spark, small).collect()}
     assert got == {"repetition": 1, "english_passthrough": 1, "truncation": 1}
 
 
@@ -91,4 +91,4 @@ def test_blocked_labels_are_those_of_the_selection(spark, data):
     rows = [(k, source[r["order_idx"]], r["translation"], r["student_status"], r["finish_reason"]) for k, r in last.items()]
     labelled = D.classify(spark.createDataFrame(rows, "id string, s string, t string, status string, f string"), "s", "t", "status", "f").collect()
     want = Counter(r["degeneration_label"] for r in labelled if r["degeneration_label"] != "clean")
-    assert {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked_labels"](spark, data).collect()} == want
+    assert {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked"](spark, data).collect()} == want
