@@ -2,9 +2,10 @@
 
 Method: a backward character n-gram model. For the last k characters of a text (k from 1 to 12) it knows how often they stood at the
 end of a complete unit and how often the text went on after them; longer contexts back off to shorter ones. The log-odds of end of
-text against continuation, for each value's final context, are compared with a threshold that is set for each language group of the
-column on units held out from the counts. Ends inside texts (a sentence or line with another after it) are complete by construction;
-ends of whole values count with their own occurrence left out.
+text against continuation, for each value's final context, are compared with a threshold that is set for each language of the column, and for
+ends with and without a closing mark, on units held out from the counts: a full stop closes no sentence where texts mostly go on after it (an
+abbreviation, a number). Ends inside texts (a sentence or line with another after it) are complete by construction; ends of whole values
+count with their own occurrence left out. The language is the label's, if the script of the final context admits it, else the script's.
 
 Defined results: null, blank and wordless texts are not cut off. Marks and broken characters that a cut leaves behind (an ellipsis,
 a bracketed ellipsis, a replacement character, a half-written tag) are set aside before the context is read. An empty table gives no rows.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import residue
+from quillforge.llm.language import LANGS, label
 from quillforge.llm.chars import FOLD, hash_sample, map_rows
 
 #: Requests of which the model is fitted at most: of all, and of those with Latin text, which are few.
@@ -30,24 +32,27 @@ ORDER = 12
 DEEP = 8
 #: Weight of the shorter context's estimate in the longer one's.
 BACK_OFF = 0.6
-#: By how much a mark of left-out text raises the threshold, and the end of a broken transfer (a broken character, tag or escape).
-#: A space at the very end, where the text lacks a closing mark, stands between: writers end on a word.
-MARKED, SPACED, BROKEN = 1.0, 5.0, 8.0
-#: The threshold of a group whose held-out units are too few to set one is not below this.
-LOWEST = -5.0
+#: By how much the end of a broken transfer (a broken character, tag or escape) raises the threshold. On 40,000 requests it decides one, which
+#: ends in a number and half a tag; marks of left-out text and a space at the end decided none, and add nothing.
+BROKEN = 8.0
+#: No threshold is below this, and a language with fewer held-out units than FEW takes that of its script.
+LOWEST, FEW = -5.0, 60
 #: What a cut leaves behind.
 MARKS = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\[\.\.\.\]|\((?:생략|중략|후략|이하 생략|계속|다음에 계속|cut|truncated|continued|more)\)|�|<[a-zA-Z/]{0,8}$|&#?[a-z0-9]{0,5}$|\\u?[0-9a-fA-F]{0,3}$|[​﻿⁠]|[-–—]$)+$")
 #: Closing marks, which a complete text may have or lack.
 CLOSERS = "\"'”’»」』)]}*_`"
 FINAL = ".!?。！？"
 #: Boundaries inside a text: after a closing mark, or a line end. A number before a full stop makes none, unless it is a year or a share.
-INNER = re.compile(r"(?<=[^\W\d][.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[\d]{4}[.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[%)”’\"][.!?])[ \t]+(?=\S)|(?<=[。！？])|\s*\n+\s*| / ")
+INNER = re.compile(r"(?<=[^\W\d][.!?])[\"'”’»)]*[ \t]+(?=[^\sa-z])|(?<=[\d]{4}[.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[%)”’\"][.!?])[ \t]+(?=\S)|(?<=[。！？])|\s*\n+\s*| / ")
 HANGUL = re.compile(r"[가-힣]")
-GROUPS = ("hangul", "han", "latin")
+#: Languages by script: Hangul, Han and kana, Latin.
+SCRIPTS = (("ko",), ("ja", "zh"), ("en", "de", "fr", "es", "pt"))
+#: Thresholds: of each language, and of each script, with and without a closing mark.
+SLOTS = len(LANGS) + len(SCRIPTS)
 
 
-def group(text: str) -> int:
-    """The language group of a final context."""
+def script(text: str) -> int:
+    """The script of a final context."""
     tail = text[-24:]
     if HANGUL.search(tail):
         return 0
@@ -56,15 +61,16 @@ def group(text: str) -> int:
     return 2
 
 
+def place_of(text: str, named: str | None) -> int:
+    """The threshold's place for a final context and the language that a label names."""
+    k = script(text)
+    return LANGS.index(named) if named in SCRIPTS[k] else len(LANGS) + k
+
+
 def stripped(text: str) -> tuple[str, float]:
     """The text without what a cut leaves behind, and by how much that raises the threshold."""
     core = MARKS.sub("", text)
-    rest = text[len(core):]
-    if re.search(r"[�<&\\]", rest):
-        return core, BROKEN
-    if rest.endswith(" ") and core[-1:] not in FINAL + CLOSERS:
-        return core, SPACED
-    return core, MARKED if re.search(r"\[|\(|…|\.\.\.", rest) else 0.0
+    return core, BROKEN if re.search(r"[�<&\\]", text[len(core) :]) else 0.0
 
 
 def fold(text: str) -> list[int]:
@@ -123,13 +129,13 @@ def noun_endings(unit: str) -> list[str]:
 
 @dataclass
 class Ends:
-    """Counts of contexts at ends and inside, by the hash of the context, and each language group's threshold."""
+    """Counts of contexts at ends and inside, by the hash of the context, and the thresholds: (without and with a closing mark, SLOTS)."""
 
     keys: np.ndarray
     ends: np.ndarray
     inside: np.ndarray
     prior: float
-    threshold: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
+    threshold: np.ndarray = field(default_factory=lambda: np.zeros((2, SLOTS)))
 
     def __getstate__(self) -> dict:
         """Sorted keys as compressed steps, so that what goes to the tasks stays a few MB; its size is bounded by the sample's."""
@@ -159,40 +165,51 @@ class Ends:
     def cut(self, text: str | None) -> bool:
         return bool(self.many_cut([text])[0])
 
-    def many_cut(self, texts: list[str | None]) -> np.ndarray:
+    def many_cut(self, texts: list[str | None], labels: list[str | None] | None = None) -> np.ndarray:
         out = np.zeros(len(texts), bool)
         at, asked, bounds = [], [], []
         for i, t in enumerate(texts):
             if t and (q := question(t)):
                 at.append(i)
                 asked.append(q[0])
-                bounds.append(self.threshold[q[1]] + q[2])
+                bounds.append(self.threshold[q[1], place_of(q[0], label(labels[i]) if labels else None)] + q[2])
         if at:
             out[at] = self.many_log_odds(asked) < np.array(bounds)
         return out
 
 
 def question(text: str) -> tuple[str, int, float] | None:
-    """The final context to judge, its language group and what raises the threshold; null where nothing is cut off."""
+    """The final context to judge, whether it has a closing mark, and what raises the threshold; null where there is no letter to judge."""
     core, marked = stripped(text)
-    # closing marks end a complete text, unless the full stop stands inside a number
     tail = core.rstrip(CLOSERS + " ")
-    last = tail[-1:]
-    if last and last in FINAL:
-        return (tail, group(core), marked) if tail[-2:-1].isdigit() and any(map(str.isalpha, tail)) else None
+    if tail[-1:] and tail[-1] in FINAL:
+        return (tail, 1, 0.0) if any(map(str.isalpha, tail)) else None
     if not any(map(str.isalpha, tail[-ORDER:])) and (not marked or not any(map(str.isalpha, tail))):
         return None
-    return bare(core), group(core), marked
+    return bare(core), 0, marked
 
 
 def units(text: str) -> list[str]:
     return [u.strip() for u in INNER.split(text) if u and u.strip()]
 
 
-def train(texts: list[str]) -> Ends:
+#: A mark inside a unit, after which it goes on.
+GOES_ON = re.compile(r"[.!?](?=[ \t]*\w)")
+
+
+def bound(whole: np.ndarray, broken: np.ndarray) -> float:
+    """The threshold between complete and broken ends: complete texts are far more frequent than cut ones."""
+    cuts = np.linspace(-8, 6, 141)
+    cost = [25 * (whole < x).mean() + (broken >= x).mean() for x in cuts]
+    near = [x for x, y in zip(cuts, cost) if y <= min(cost) + 0.01]
+    return max(LOWEST, float(0.65 * near[0] + 0.35 * near[-1]))
+
+
+def train(texts: list[str], labels: list[str | None] | None = None) -> Ends:
     """Count contexts on four fifths of the texts and set the thresholds on the rest."""
-    texts = [t for t in texts if t and t.strip()]
-    held: list[str] = []
+    both = [(t, label(x)) for t, x in zip(texts, labels or [None] * len(texts)) if t and t.strip()]
+    texts = [t for t, _ in both]
+    held: list[tuple[str, str | None]] = []
     final: list[str] = []
     codes: list[int] = []
     closes: list[bool] = []
@@ -200,7 +217,7 @@ def train(texts: list[str]) -> Ends:
     for i, t in enumerate(texts):
         parts = units(t)
         if i % 5 == 4:
-            held += parts[:-1]
+            held += [(u, both[i][1]) for u in parts[:-1]]
             continue
         known += parts[:-1]
         final.append(bare(stripped(t)[0]))
@@ -232,26 +249,40 @@ def train(texts: list[str]) -> Ends:
     total, going = len(known) * 2 + len(final), int(goes.sum())
     model = Ends(keys, ends, inside, total / (total + going))
     rng = np.random.default_rng(7)
-    for g in range(len(GROUPS)):
-        mine = [u for u in held if len(bare(u)) > 3 and group(bare(u)) == g]
-        whole_scores = model.many_log_odds([bare(u) for u in mine]) if mine else np.array([2.0])
-        broken = [bare(u[: int(rng.integers(2, max(3, len(u) - 2)))]) for u in mine if len(u) > 8]
-        broken = [u for u in broken if u]
-        broken_scores = model.many_log_odds(broken) if broken else np.array([-2.0])
-        cuts = np.linspace(-8, 6, 141)
-        # complete texts are far more as frequent as cut ones
-        cost = [25 * (whole_scores < x).mean() + (broken_scores >= x).mean() for x in cuts]
-        near = [x for x, y in zip(cuts, cost) if y <= min(cost) + 0.01]
-        model.threshold[g] = max(LOWEST, float(0.65 * near[0] + 0.35 * near[-1]))
+    kinds: list[list[tuple[str, str, int]]] = [[], []]  # complete end, broken end (or nothing), place of the threshold
+    for u, named in held:
+        form = bare(u)
+        if len(form) > 3:
+            broken = bare(u[: int(rng.integers(2, max(3, len(u) - 2)))]) if len(u) > 8 else ""
+            kinds[0].append((form, broken, place_of(form, named)))
+        closed = u.rstrip(CLOSERS + " ")
+        if closed and closed[-1] in FINAL and any(map(str.isalpha, closed)):
+            inner = [m.end() for m in GOES_ON.finditer(closed[:-1])]
+            kinds[1].append((closed, closed[: inner[int(rng.integers(len(inner)))]] if inner else "", place_of(closed, named)))
+    for kind, cases in enumerate(kinds):
+        scores = [model.many_log_odds([c[j] or " " for c in cases]) if cases else np.zeros(0) for j in (0, 1)]
+        some, place = np.array([bool(c[1]) for c in cases], bool), np.array([c[2] for c in cases], np.int64)
+        for g in [*range(len(LANGS), SLOTS), *range(len(LANGS))]:
+            names = SCRIPTS[g - len(LANGS)] if g >= len(LANGS) else (LANGS[g],)
+            mine = np.isin(place, [LANGS.index(x) for x in names]) | (place == g)
+            of = next(len(LANGS) + k for k, x in enumerate(SCRIPTS) if names[0] in x)
+            if g < len(LANGS) and (mine.sum() < FEW or (mine & some).sum() < FEW):
+                model.threshold[kind, g] = model.threshold[kind, of]
+            elif (mine & some).sum() < (FEW if kind else 1):
+                # without broken ends nothing can be told apart
+                model.threshold[kind, g] = -np.inf if kind else LOWEST
+            else:
+                model.threshold[kind, g] = bound(scores[0][mine], scores[1][mine & some])
     return model
 
 
 def fit(students: DataFrame) -> Ends:
     """Fit on two bounded hash samples of the requests."""
-    rows = students.select("request_id", "translation")
+    rows = students.select("request_id", "translation", "lang_label")
     some = hash_sample(rows, "request_id", SAMPLE, "ends")
     latin = hash_sample(rows, "request_id", LATIN_SAMPLE, "latin", F.col("translation").rlike(r"[a-z]{2,} [a-z]{2,} [a-z]{2,}"), 20 * LATIN_SAMPLE)
-    return train([*{r["request_id"]: r["translation"] for r in some + latin}.values()])
+    drawn = {r["request_id"]: r for r in some + latin}.values()
+    return train([r["translation"] for r in drawn], [r["lang_label"] for r in drawn])
 
 
 def cut_records(students: DataFrame) -> DataFrame:
@@ -259,14 +290,14 @@ def cut_records(students: DataFrame) -> DataFrame:
     ends, spoiled = fit(students), residue.fit(students)
 
     def make():
-        def work(ids, corpora, texts):
+        def work(ids, corpora, texts, labels):
             bad = spoiled.found(texts)
-            return {"request_id": ids, "corpus": corpora, "spoiled": bad, "cut": ends.many_cut([None if b else t for t, b in zip(texts, bad)])}
+            return {"request_id": ids, "corpus": corpora, "spoiled": bad, "cut": ends.many_cut([None if b else t for t, b in zip(texts, bad)], labels)}
 
         return work
 
     schema = "request_id string, corpus string, spoiled boolean, cut boolean"
-    return map_rows(students.select("request_id", "corpus", "translation"), make, schema, text=2)
+    return map_rows(students.select("request_id", "corpus", "translation", "lang_label"), make, schema, text=2)
 
 
 def p1_found(students: DataFrame) -> DataFrame:

@@ -116,6 +116,18 @@ def test_truncation_on_held_out_text(spark, data):
     assert got_broken.mean() > 0.9
 
 
+def test_truncation_behind_a_mark_that_closes_nothing():
+    """Where a column's texts go on after an abbreviation, an end behind it is a cut; each language has a threshold of its own."""
+    rng = random.Random(3)
+    names, verbs = ["Kim", "Varde", "Norpano", "Lee", "Halbex", "Corhol"], ["approved the plan", "sold its unit", "named a director", "cut its outlook"]
+    many = ["two", "seven", "nine", "forty", "ninety"]
+    line = lambda: f"The offer by approx. {rng.choice(many)} funds was approved. {rng.choice(names)} {rng.choice(verbs)}. The board of {rng.choice(names)} {rng.choice(verbs)} at approx. {rng.choice(many)} sites. It closed."
+    model = truncation.train([line() for _ in range(1500)], ["en"] * 1500)
+    whole, cut = [line() for _ in range(60)], ["The offer by approx. two funds was approved. The board of Kim cut its outlook at approx."] * 3
+    assert not model.many_cut(whole, ["en"] * 60).any() and model.many_cut(cut, ["en", "de", None]).all()
+    assert model.threshold.shape == (2, truncation.SLOTS) and model.threshold[1, 0] == -np.inf
+
+
 def test_noun_endings():
     assert truncation.noun_endings("상쇄했다") == ["상쇄함", "상쇄했음"]
     assert truncation.noun_endings("전합니다") == ["전함"]
@@ -239,8 +251,8 @@ def test_samples_stay_bounded_when_one_key_holds_most_rows(spark):
 
 def test_what_a_cut_leaves_behind():
     cases = {
-        "매출이 늘었습니다": ("매출이 늘었습니다", 0.0), "매출이 늘…": ("매출이 늘", truncation.MARKED), "매출이 [...]": ("매출이", truncation.MARKED), "매출(생략)": ("매출", truncation.MARKED), "매출이 �": ("매출이", truncation.BROKEN),
-        "매출이 <br": ("매출이", truncation.BROKEN), "매출&nb": ("매출", truncation.BROKEN), "매출 &#4": ("매출", truncation.BROKEN), "그는 떠났다. ": ("그는 떠났다.", 0.0), "그는 ": ("그는", truncation.SPACED), "총액(부가세 제외)": ("총액(부가세 제외)", 0.0),
+        "매출이 늘었습니다": ("매출이 늘었습니다", 0.0), "매출이 늘…": ("매출이 늘", 0.0), "매출이 [...]": ("매출이", 0.0), "매출(생략)": ("매출", 0.0), "매출이 �": ("매출이", truncation.BROKEN),
+        "매출이 <br": ("매출이", truncation.BROKEN), "매출&nb": ("매출", truncation.BROKEN), "매출 &#4": ("매출", truncation.BROKEN), "그는 떠났다. ": ("그는 떠났다.", 0.0), "그는 ": ("그는", 0.0), "총액(부가세 제외)": ("총액(부가세 제외)", 0.0),
     }
     assert {k: truncation.stripped(k) for k in cases} == cases
-    assert truncation.question("") is None and truncation.question("…") is None and truncation.question("12.5") is None and truncation.question("끝났다.") is None
+    assert truncation.question("") is None and truncation.question("…") is None and truncation.question("12.5") is None and truncation.question("끝났다.") == ("끝났다.", 1, 0.0)
