@@ -194,13 +194,13 @@ def clause_duplication(c: Column, least: int = 10) -> Column:
     """(largest count of a clause, share of the clauses that occur more than once); (1, 0) without clauses."""
 
     def measure(found):
-        distinct = F.array_distinct(found)
-        single = F.filter(distinct, lambda x: F.size(F.filter(found, lambda y: y == x)) == 1)
-        n = F.size(found)
+        # equal clauses stand together: one without an equal neighbour is single
+        alone = lambda x, i: ~F.coalesce(F.get(found, i - 1) == x, F.lit(False)) & ~F.coalesce(F.get(found, i + 1) == x, F.lit(False))
+        single, n = F.filter(found, alone), F.size(found)
         return F.when(n == 0, F.struct(F.lit(1).cast("bigint").alias("count"), F.lit(0.0).alias("ratio"))).otherwise(
-            F.struct(longest_run(F.sort_array(found)).alias("count"), ((n - F.size(single)).cast("double") / n).alias("ratio")))
+            F.struct(longest_run(found).alias("count"), ((n - F.size(single)).cast("double") / n).alias("ratio")))
 
-    return let(clauses(c, least), measure)
+    return let(F.sort_array(clauses(c, least)), measure)
 
 
 def span_repeat(tokens: Column, longest: int = 24) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillforge.operators.pool import BUCKETS, bucket_name
 
-# Fixed value: the salt of the random order.
-RANDOM_SALT = "dqs_teacher_selection_random_v1"
+#: The salt of the random order, where the caller gives none. A run that has to repeat another's draw passes that run's salt.
+RANDOM_SALT = "candidate-selection-v1"
 ORDERS = {"low": "low", "bottom": "low", "lowest": "low", "low_qe": "low", "bottom_qe": "low", "high": "high", "top": "high", "highest": "high", "high_qe": "high", "top_qe": "high", "random": "random"}
 
 
@@ -31,13 +31,13 @@ def quotas(total: int, weights: list[float]) -> list[int]:
     return out
 
 
-def order_columns(order: str, seed: int = 42) -> list[Column]:
+def order_columns(order: str, seed: int = 42, salt: str = RANDOM_SALT) -> list[Column]:
     """Sort keys of an order; ids break ties."""
     kind = ORDERS.get(order)
     if kind is None:
         raise ValueError(f"unknown order {order!r}")
     if kind == "random":
-        return [F.sha2(F.concat(F.lit(f"{RANDOM_SALT}|seed={seed}|"), F.col("id")), 256), F.col("id")]
+        return [F.sha2(F.concat(F.lit(f"{salt}|seed={seed}|"), F.col("id")), 256), F.col("id")]
     return [F.col("qe_score").asc() if kind == "low" else F.col("qe_score").desc(), F.col("id")]
 
 
@@ -46,7 +46,7 @@ def bucket_counts(df: DataFrame, buckets=BUCKETS) -> list[int]:
     return [got.get(i, 0) for i in range(len(buckets))]
 
 
-def stratified_top(df: DataFrame, k: int, order: str = "low", strategy: str | list[float] = "proportional", buckets=BUCKETS, seed: int = 42) -> DataFrame:
+def stratified_top(df: DataFrame, k: int, order: str = "low", strategy: str | list[float] = "proportional", buckets=BUCKETS, seed: int = 42, salt: str = RANDOM_SALT) -> DataFrame:
     """The k best rows with quotas for the buckets of ``length_bucket_idx``, and what buckets leave unfilled from the global order (buckets
     of weight zero excluded), ranked by bucket and order. df has unique ids, qe_score and length_bucket_idx.
 
@@ -59,7 +59,7 @@ def stratified_top(df: DataFrame, k: int, order: str = "low", strategy: str | li
             raise ValueError(f"unknown strategy {strategy!r}")
     else:
         weights = [max(0.0, float(w)) for w in strategy]
-    keys = order_columns(order, seed)
+    keys = order_columns(order, seed, salt)
     named = lambda x: x.withColumn("length_bucket", bucket_name(F.col("length_bucket_idx"), buckets))
     if k <= 0 or not sum(counts):
         return named(df.limit(0)).withColumn("selection_rank", F.lit(0).cast("bigint"))

@@ -18,6 +18,10 @@ ITEM = "struct<id:string,label:string,final_translation:string,invalid_reason_ko
 ANSWER = f"struct<items:array<{ITEM}>>"
 
 
+#: Batches of a block, within which running counts are made in one task.
+BLOCK = 100_000
+
+
 def batches(candidates: DataFrame, size: int, order: str = "selection_rank") -> DataFrame:
     """batch_idx and place in the batch by rank."""
     return candidates.withColumns({"batch_idx": F.floor((F.col(order) - 1) / size).cast("bigint"), "batch_pos": ((F.col(order) - 1) % size).cast("bigint")})
@@ -77,11 +81,15 @@ def decision(item: DataFrame, most_tokens: int) -> DataFrame:
 def accept_until(decided: DataFrame, target: int, order: list[str]) -> DataFrame:
     """Decided items up to the one that reaches the target; later ones are neither accepted nor rejected. Accepted ones get their rank.
 
-    The running count is made in two levels: batches first (their counts are few), then within the batch."""
+    The running count is made in three levels: blocks of BLOCK batches, of which a table has few, the batches of each block, and the items of each batch."""
     ok = F.col("reject_reason").isNull()
     first, rest = order[0], order[1:]
     per = decided.groupBy(first).agg(F.count_if(ok).alias("_n"))
-    before = per.select(first, F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    per = per.withColumn("_block", F.floor(F.col(first) / BLOCK))
+    blocks = per.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_block").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = per.withColumn("_in_block", earlier).join(blocks, "_block").select(first, (F.col("_earlier") + F.col("_in_block")).alias("_before"))
     inside = Window.partitionBy(first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum(ok.cast("bigint")).over(inside)
     x = decided.withColumn("_run", run).join(before, first).withColumn("_run", F.col("_run") + F.col("_before"))
