@@ -3,14 +3,17 @@
 import gzip
 import json
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillforge.operators import evaluate as E
 from quillforge.operators import joins as J
 from quillforge.operators import pool as P
 from quillforge.operators import prompting as R
+from quillforge.operators import providers as PR
 from quillforge.operators import selection as S
 from quillforge.operators import splitter as X
 from quillforge.operators import records as RE
@@ -328,3 +331,53 @@ def test_stream(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     assert table.count() == 3
     assert {r["id"]: r["status"] for r in A.latest(table).collect()} == {"a": "ok", "b": "ok"}
+
+
+class Scripted:
+    """A provider that answers from a table; a batch's first answers may be broken."""
+
+    name, model = "scripted", "s1"
+
+    def __init__(self, broken):
+        self.broken, self.seen = broken, {}
+
+    def complete(self, system, prompt):
+        n = self.seen[prompt] = self.seen.get(prompt, 0) + 1
+        if n <= self.broken.get(prompt, 0):
+            raise RuntimeError(f"busy {n}")
+        ids = prompt.split(",")
+        return {"text": json.dumps({"items": [{"id": i, "label": "keep"} for i in ids]}), "usage": {"completion_tokens": len(ids), "note": "x"}, "latency_ms": 1.5}
+
+
+def no_pause(_):
+    return None
+
+
+def test_providers_are_called_with_retries(spark):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import the tests
+    prompts = spark.createDataFrame([(0, ["a", "b"], "a,b"), (1, ["c"], "c"), (2, ["d"], "d"), (3, ["e"], "x")], "batch_idx bigint, item_ids array<string>, prompt string")
+    some = [PR.Weighted(Scripted({"c": 2, "d": 9}), 1.0), PR.Weighted(Scripted({"a,b": 9}), 0.0)]
+    got = {r["batch_idx"]: r for r in PR.ask(prompts, some, "translate", callers=2, pause=no_pause).collect()}
+    assert [(got[i]["status"], got[i]["attempts"]) for i in range(4)] == [("ok", 1), ("ok", 3), ("failed", 3), ("failed", 3)]
+    assert got[0]["usage"] == {"completion_tokens": 2} and got[2]["error"] == "busy 3" and "ids differ" in got[3]["error"] and got[1]["item_ids"] == ["c"]
+    assert PR.ask(prompts.limit(0), some, "translate").count() == 0
+    for bad in (lambda: PR.ask(prompts, some[1:], "x"), lambda: PR.ask(prompts, some, " ")):
+        with pytest.raises(ValueError):
+            bad()
+    two = [PR.Weighted(Scripted({}), 1.0), PR.Weighted(Scripted({}), 3.0)]
+    share = sum(PR.chosen(two, i) is two[1].provider for i in range(2000)) / 2000
+    assert 0.7 < share < 0.8 and PR.chosen(two, 7) is PR.chosen(two, 7)
+    pauses = []
+    PR.called(Scripted({"c": 9}), "s", "c", ["c"], 7, PR.parses, pauses.append)
+    assert pauses == [1.0, 2.0, 4.0, 8.0, 15.0, 15.0]
+
+
+def test_functions_in_sql(spark):
+    from quillforge.functions.register import register
+
+    register(spark)
+    spark.createDataFrame([(1, "One two. Three four. Five six."), (2, None), (3, "short")], "k int, t string").createOrReplaceTempView("split_me")
+    rows = [tuple(r) for r in spark.sql("select k, p.chunk_idx, p.piece from split_me, lateral split_pieces(t, 4) p order by k, chunk_idx").collect()]
+    assert rows == [(1, 0, "One two. Three four."), (1, 1, "Five six."), (3, 0, "short")]
+    got = [tuple(r) for r in spark.sql("select k, size(text_pieces(t, 4)), unit_run(concat(t, 'ababab')) from split_me where t is not null order by k").collect()]
+    assert [r[1] for r in got] == [2, 1] and all(r[2] >= 3 for r in got)
