@@ -297,7 +297,7 @@ def test_leak_queries_find_every_exact_passage(spark, data):
 def test_blocks_of_items_give_the_same(spark, data, monkeypatch):
     docs, items = table(spark, data, "documents"), table(spark, data, "eval_items")
     whole = {tuple(r) for r in leakage.p7_found(docs, items).collect()}
-    monkeypatch.setattr(leakage, "BLOCK", 100)
+    monkeypatch.setattr(leakage, "BLOCK", 60_000)
     assert {tuple(r) for r in leakage.p7_found(docs, items).collect()} == whole
 
 
