@@ -1,5 +1,6 @@
 """Splitting, packing, leakage and subjects: brute force, round trips, edge cases."""
 
+import functools
 import random
 
 import numpy as np
@@ -265,9 +266,14 @@ def test_batches_give_what_single_texts_give():
     assert {(0, 1), (3, 1), (4, 3), (6, 1), (7, 4)} <= found and not found & {(1, 1), (2, 1), (5, 1), (8, 1)}
 
 
+@functools.lru_cache(None)
+def compacted(word):
+    return leakage.Compact([word]).codes.tobytes()
+
+
 def brute_leaks(text, item):
     """Longest run of the item's words found in the text in order and adjacent, without changes."""
-    a, b = ([leakage.Compact([x]).codes.tobytes() for x in t.split()] for t in (item, text))
+    a, b = ([compacted(x) for x in t.split()] for t in (item, text))
     a, b = [x for x in a if x], [x for x in b if x]
     best = 0
     places = {}
