@@ -76,6 +76,26 @@ def positions(df: DataFrame, key: str, ties: list[str], out: str = "position", d
     )
 
 
+def part_of(value: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the ascending ``cuts`` lie below a value, by bisection; a null comes behind all of them."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(value <= F.lit(cuts[m]), part_of(value, cuts[:m], first)).otherwise(part_of(value, cuts[m + 1 :], first + m + 1))
+
+
+def places(df: DataFrame, key: str, ties: list[str], out: str = "place", parts: int = 64) -> DataFrame:
+    """The 0-based place in the order of a number, whatever gaps its values leave; nulls come last. Quantiles of the values cut the rows into
+    ordered parts, whose sizes are all that the driver gets: a place is the rows of the parts before, plus the rank within the part."""
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0]
+    part = df.withColumn("_part", part_of(F.col(key), sorted(set(cuts or []))))
+    sizes = dict(part.groupBy("_part").count().collect())
+    before = [sum(n for p, n in sizes.items() if p < i) for i in range(max(sizes, default=0) + 1)]
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_last(), *ties))
+    place = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in before)), F.col("_part") + 1) + within - 1
+    return part.withColumn(out, place.cast("bigint")).drop("_part")
+
+
 def subsets(pool: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Every row's place in the seeded order, its subset and its place there: one pass gives all subsets. The order is that of a salted
     hash of the position, which is a different sample from that of exact_shuffle."""

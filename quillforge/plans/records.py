@@ -96,11 +96,11 @@ def faults(s: SparkSession, d: str) -> DataFrame:
 
 
 def shard_union(s: SparkSession, d: str) -> DataFrame:
-    """The pool cut into shards and put together again, checked against its number of rows."""
+    """The pool cut into shards and put together again, checked against its number of rows. A row's place is its rank by order_idx, whose
+    values may have gaps; rows that share one are told apart by the rest of the row."""
     c = table(s, d, "cycle").select("order_idx", "id", F.length("source").alias("chars"))
     n = c.count()
-    low = c.agg(F.min("order_idx")).first()[0] or 0
-    placed = c.withColumn("place", F.col("order_idx") - low)
+    placed = P.places(c, "order_idx", ["id", "chars"])
     shard = P.order_shard(F.col("place"), F.lit(n), SHARDS)
     return R.checked_union([placed.where(shard == i) for i in range(SHARDS)], n, "place").select("order_idx", "id", "chars")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillforge.operators import degeneration as D
+from quillforge.operators import pool as P
 from quillforge.plans import queries as core
 
 EN = "The company reported that quarterly revenue was higher than expected by the market."
@@ -92,3 +93,21 @@ def test_blocked_labels_are_those_of_the_selection(spark, data):
     labelled = D.classify(spark.createDataFrame(rows, "id string, s string, t string, status string, f string"), "s", "t", "status", "f").collect()
     want = Counter(r["degeneration_label"] for r in labelled if r["degeneration_label"] != "clean")
     assert {r["degeneration_label"]: r["requests"] for r in core.queries()["filter_blocked"](spark, data).collect()} == want
+
+
+def test_shards_of_a_pool_whose_keys_have_gaps(spark, tmp_path):
+    """Keys far apart, repeated, negative or missing: every row comes back once."""
+    rows = [(k, f"row{i}", "x" * (i % 7)) for i, k in enumerate([*range(300), *range(10_000_000, 10_000_300), -5, 7, 7, None, None, 1 << 40])]
+    spark.createDataFrame(rows, "order_idx bigint, id string, source string").repartition(3).write.parquet(f"{tmp_path}/cycle.parquet")
+    got = [tuple(r) for r in core.queries()["shard_union"](spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter((k, i, len(s)) for k, i, s in rows)
+
+
+def test_places_are_ranks(spark):
+    values = [5, -3, None, 1 << 40, 5, 0, 10**6, -3, None, 2]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k bigint, i int")
+    want = sorted(range(len(values)), key=lambda i: (values[i] is None, values[i] or 0, i))
+    for parts in (1, 2, 64):
+        assert [r["i"] for r in P.places(df, "k", ["i"], parts=parts).orderBy("place").collect()] == want
+    assert sorted(r["place"] for r in P.places(df, "k", ["i"]).collect()) == list(range(len(values)))
+    assert P.places(df.limit(0), "k", ["i"]).count() == 0
