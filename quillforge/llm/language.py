@@ -375,30 +375,29 @@ def fit(students: DataFrame) -> Segments:
 
 
 def language_records(students: DataFrame) -> DataFrame:
-    """Segments of every request that is not spoiled: request_id, lang_label, label, segment_no, segments, lang, confidence."""
-    model, spoiled = fit(students), residue.fit(students)
+    """Segments of every request: request_id, lang_label, label, segment_no, segments, lang, confidence, and whether the request is spoiled."""
+    model, residues = fit(students), residue.fit(students)
 
     def make():
         def work(ids, labels, texts):
-            bad = spoiled.found(texts)
-            found = model.segments([None if b else t for t, b in zip(texts, bad)])
-            out = {k: [] for k in ("request_id", "lang_label", "label", "segment_no", "segments", "lang", "confidence")}
-            for i, parts in enumerate(found):
+            bad = residues.found(texts).tolist()
+            out = {k: [] for k in ("request_id", "lang_label", "label", "segment_no", "segments", "lang", "confidence", "spoiled")}
+            for i, parts in enumerate(model.segments(texts)):
                 for n, (lang, sure) in enumerate(parts, 1):
-                    for k, v in zip(out, (ids[i], labels[i], label(labels[i]), n, len(parts), lang, sure)):
+                    for k, v in zip(out, (ids[i], labels[i], label(labels[i]), n, len(parts), lang, sure, bad[i])):
                         out[k].append(v)
             return out
 
         return work
 
-    schema = "request_id string, lang_label string, label string, segment_no bigint, segments bigint, lang string, confidence double"
+    schema = "request_id string, lang_label string, label string, segment_no bigint, segments bigint, lang string, confidence double, spoiled boolean"
     return map_rows(students.select("request_id", "lang_label", "translation"), make, schema, text=2)
 
 
 def p5_found(students: DataFrame) -> DataFrame:
-    """Segments of the requests whose label is missing or wrong or whose text has several languages, each once."""
+    """Segments of the requests whose label is missing or wrong or whose text has several languages, each once; spoiled requests are left out."""
     case = (F.col("segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
-    return language_records(students).where(case).select("request_id", "segment_no", "lang").distinct()
+    return language_records(students).where(~F.col("spoiled") & case).select("request_id", "segment_no", "lang").distinct()
 
 
 def language_share(students: DataFrame) -> DataFrame:

@@ -192,6 +192,14 @@ def test_language_queries(students, spoiled):
     assert language.p5_found(students.limit(0)).count() == 0
 
 
+def test_every_text_with_words_has_a_language(students, spoiled):
+    """Spoiled requests too: only p5_found leaves them out."""
+    rows = language.language_records(students).collect()
+    texts = students.select("request_id", "translation").collect()
+    assert {r["request_id"] for r in rows} == {r["request_id"] for r in texts if r["translation"] and language.has_words(r["translation"]) and language.sentences_of(r["translation"])}
+    assert {r["request_id"] for r in rows if r["spoiled"]} <= spoiled and any(r["spoiled"] for r in rows)
+
+
 def slow_lcs(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
