@@ -91,6 +91,36 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0, scan: bool = True)
     return (spread(df) if scan and text >= 0 else df).mapInArrow(run, schema)
 
 
+def gathered(df: DataFrame, start, merge, text: int, slots: int, finish=None) -> dict[int, bytes]:
+    """What all rows of df add up to, by slot. ``start()`` makes a task's work, whose add() takes lists of columns step by step and whose parts()
+    gives pairs of slot and bytes; the parts of a slot are merged two at a time in the slot's own task, and ``finish`` is applied to the
+    result, so that the driver gets one value a slot."""
+    schema = "slot int, data binary"
+    fields = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
+
+    def rows(pairs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for slot, data in pairs:
+            yield pa.RecordBatch.from_pydict({"slot": [slot], "data": [data]}, schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for a, b in steps(columns, text):
+                work.add(*[c[a:b] for c in columns])
+        yield from rows(work.parts())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        for batch in batches:
+            for slot, data in zip(batch["slot"].to_pylist(), batch["data"].to_pylist()):
+                held[slot] = merge(held[slot], data) if slot in held else data
+        yield from rows((k, finish(k, v) if finish else v) for k, v in held.items())
+
+    parts = df.mapInArrow(run, schema).repartition(slots, "slot").mapInArrow(fold, schema)
+    return {r["slot"]: bytes(r["data"]) for r in parts.collect()}
+
+
 def hash_sample(df: DataFrame, key: str, rows: int, salt: str = "sample", where: Column | None = None, pool: int = 0) -> list:
     """At most ``rows`` rows, the lowest by a hash of ``key``. The rate comes from the table's row count, which the footers hold, so
     that the rows collected stay near ``rows`` whatever the table's size, and the same keys come back on every run. With ``where``, a

@@ -6,6 +6,8 @@ bags of shape n-grams and of the runs of letters in them. The positives are pass
 others are unlabelled and get a posterior that each round re-estimates. A record is spoiled if one of its passages is: the seeds take no
 part in the decision, so that forms that they lack are found by what they share with the trusted ones.
 
+The fit takes a pass over all texts for each round; only sums of a fixed size leave a task.
+
 Defined results: null, empty and blank texts hold no residue. Repeated texts get the same answer each time. A text of any length is scored
 whole. An empty table, or one without a trusted record, gives no rows.
 """
@@ -13,13 +15,15 @@ whole. An empty table, or one without a trusted record, gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.chars import Chars, grams, hash_sample, map_rows
+from quillforge.llm.chars import Chars, gathered, grams, map_rows, steps
+from quillforge.sources.tables import spread
 
 BITS = 17
 #: Character n-grams of sentences, and n-grams over the collapsed shape (a run of letters of one class or of digits counts as one), as it is
@@ -35,8 +39,8 @@ TEMPER = (8.0, 4.0)
 CLIP = ((-4.0, 5.0), (-4.0, 5.0))
 #: Weight of the prior, in n-grams.
 PRIOR_MASS = 100.0
-#: Requests of which the model is fitted at most, of either sample, and requests among which the trusted ones are sought.
-SAMPLE, POOL = 4_000, 40_000
+#: Weight of a request with a trusted form in the fit.
+TRUSTED = 11.0
 #: Log-odds from which a passage spoils its record: of sentences, of windows.
 THRESHOLD = (1.0, 12.2)
 
@@ -94,12 +98,17 @@ SCRIPT = "|".join(
     )
 )
 #: The seeds by the kind of passage that they make positive: sentences, windows.
-SEEDS = (re.compile("|".join((FILLER, MASK, ERROR, SCRIPT))), re.compile("|".join((SLOT, MASK))))
+SEEDS = tuple(
+    re.compile("|".join([MASK, *(f"(?=[{first}])(?:{forms})" for first, forms in kinds)]))
+    # the characters that a form may begin with are tested first, which most places fail; without case, ı, İ and ſ equal i and s
+    for kinds in (
+        (("lLaAqQbBfFdDpPsSſiIıİTㅁ가더샘임자여이아", FILLER), ("<{45A-Zsſaptucペ页找페문사주접세로다시일잠관", ERROR), ("eEtTsSſaArRjJcC자쿠", SCRIPT)),
+        ((r"{$#%<«:\[_@(", SLOT),),
+    )
+)
 #: A form inside quotation marks is talked about: it is not trusted.
 QUOTED = re.compile(r"[‘“][^’”\n]{0,60}[’”]")
 
-#: The seeds in Java's syntax, by which the scan picks trusted rows for the sample.
-JAVA_SEEDS = "(?U)" + "|".join((FILLER, ERROR, SCRIPT, SLOT, MASK)).replace("(?P<mask>", "(?<mask>").replace("(?P=mask)", r"\k<mask>")
 #: Powers that a character's place in its run is weighed by.
 POWERS = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
 
@@ -210,6 +219,14 @@ class Residue:
     windows: np.ndarray
     prior: tuple[float, float]
 
+    def surely(self, p: Passages) -> list[np.ndarray]:
+        """The posterior of each sentence and each place of the shape, 0 where it is not sure."""
+        out = []
+        for kind, score in enumerate((p.sentence_scores(self.sentences), p.window_scores(self.windows))):
+            soft = 1 / (1 + np.exp(-np.clip(score + self.prior[kind] - ABSORBED * THRESHOLD[kind], -30, 30)))
+            out.append(np.where(soft >= SURE, soft, 0.0))
+        return out
+
     def evidence(self, texts: list[str]) -> np.ndarray:
         """(texts, 2) log-odds of each text's best sentence and window, less the threshold; it is spoiled where one is positive."""
         out = np.full((len(texts), 2), -np.inf)
@@ -235,27 +252,23 @@ def trusted_spans(text: str, seeds: re.Pattern) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if not any(x <= a and b <= y for x, y in quoted)]
 
 
-def maximize(features: list[tuple[np.ndarray, np.ndarray]], shares: list[np.ndarray], clip: tuple[float, float]) -> np.ndarray:
-    """The M-step: log-odds of each feature from each place's share in the positives."""
-    weights = np.zeros((len(features), 1 << BITS), np.float32)
-    for i, ((at, h), share) in enumerate(zip(features, shares)):
-        both = np.bincount(h, minlength=1 << BITS)
-        pos = np.bincount(h, share[at], 1 << BITS)
-        neg, seen = np.maximum(both - pos, 0), max(1, int((both > 0).sum()))
+FEATURES = len(ORDERS) + len(WIDTHS)
+
+
+def weights_of(both: np.ndarray, pos: np.ndarray, clip: tuple[float, float]) -> np.ndarray:
+    """The M-step: log-odds of each feature from its counts in all passages and in the positives."""
+    weights = np.zeros(both.shape, np.float32)
+    for i in range(len(both)):
+        neg, seen = np.maximum(both[i] - pos[i], 0), max(1, int((both[i] > 0).sum()))
         # other text's distribution is the prior of the positives', so that what they never held speaks against them, however rare it is
         other = (neg + 0.05) / (neg.sum() + 0.05 * seen)
-        ratio = np.log((pos + PRIOR_MASS * other) / (pos.sum() + PRIOR_MASS)) - np.log(other)
-        weights[i] = np.where(both > 0, np.clip(ratio, *clip), 0.0)
+        ratio = np.log((pos[i] + PRIOR_MASS * other) / (pos[i].sum() + PRIOR_MASS)) - np.log(other)
+        weights[i] = np.where(both[i] > 0, np.clip(ratio, *clip), 0.0)
     return weights
 
 
-def train(texts: list[str], rounds: int = ROUNDS, seeds: tuple[re.Pattern, re.Pattern] = SEEDS) -> Residue:
-    """Fit by EM: trusted passages stay positive, the rest get a posterior that each round re-estimates."""
-    texts = [t for t in texts if t and t.strip()]
-    none = Residue(np.zeros((len(ORDERS), 1 << BITS), np.float16), np.zeros((len(SHAPES) + 1, 1 << BITS), np.float16), (-np.inf, -np.inf))
-    if not texts:
-        return none
-    p = Passages(texts)
+def trusted_passages(texts: list[str], p: Passages, seeds: tuple[re.Pattern, re.Pattern]) -> list[np.ndarray]:
+    """Which sentences and which places of the shape hold a trusted form."""
     sure = [np.zeros(len(p.first), bool), np.zeros(len(p.at), bool)]
     for i, t in enumerate(texts):
         for a, b in trusted_spans(t, seeds[0]):
@@ -264,34 +277,121 @@ def train(texts: list[str], rounds: int = ROUNDS, seeds: tuple[re.Pattern, re.Pa
             # the symbols of the form itself, and those beside it
             lo, hi = np.searchsorted(p.at, (p.chars.starts[i] + a, p.chars.starts[i] + b))
             sure[1][max(0, lo) : hi] = True
-    out, prior = [], []
-    for kind, features in enumerate((p.grams, p.shapes)):
-        trusted = sure[kind]
-        if not trusted.any():
-            out.append(none.sentences if kind == 0 else none.windows)
-            prior.append(-np.inf)
-            continue
-        posterior = trusted.astype(np.float64)
-        base = np.log(trusted.mean() / (1 - trusted.mean() + 1e-9))
-        for r in range(rounds):
-            # a character's share is its sentence's; an n-gram of the shape has the mean of its places
-            shares = [posterior[p.sentence]] * len(ORDERS) if kind == 0 else [moving(posterior, 0, k - 1) / k for k in WIDTHS]
-            weights = maximize(features, shares, CLIP[kind])
-            if r < rounds - 1:
-                score = (p.sentence_scores(weights) if kind == 0 else p.window_scores(weights)) + base - ABSORBED * THRESHOLD[kind]
-                soft = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-                posterior = np.where(trusted, 1.0, np.where(soft >= SURE, soft, 0.0))
-        out.append(weights.astype(np.float16))
-        prior.append(float(base))
-    return Residue(out[0], out[1], (prior[0], prior[1]))
+    return sure
+
+
+def in_positives(p: Passages, kind: int, posterior: np.ndarray) -> list[np.ndarray]:
+    """How often each feature of a kind stands in the positives: an n-gram of a sentence has the sentence's posterior, one of the shape the mean of its places."""
+    if not posterior.any():
+        return [np.zeros(1 << BITS)] * (len(WIDTHS) if kind else len(ORDERS))
+    shares = [moving(posterior, 0, k - 1) / k for k in WIDTHS] if kind else [posterior[p.sentence]] * len(ORDERS)
+    return [np.bincount(h, share[at], 1 << BITS) for (at, h), share in zip(p.shapes if kind else p.grams, shares)]
+
+
+class Tally:
+    """What a round adds up over texts. Without a model: each feature's count in all passages and in the trusted ones, and the numbers of passages
+    and of trusted ones, by kind. With one: each feature's count in the passages that the model adds to the positives."""
+
+    def __init__(self, seeds: tuple[re.Pattern, re.Pattern], weight: float, model: Residue | None = None):
+        self.seeds, self.weight, self.model = seeds, weight, model
+        self.both, self.pos = (np.zeros((FEATURES, 1 << BITS)) for _ in range(2))
+        self.passages, self.trusted = np.zeros(2), np.zeros(2)
+
+    def add(self, texts: list[str | None]) -> None:
+        texts = [t for t in texts if t and t.strip()]
+        if self.model is None:
+            form = np.array([any(trusted_spans(t, x) for x in self.seeds) for t in texts], bool)
+            for side, weight in ((~form, 1.0), (form, self.weight)):
+                self.count([texts[i] for i in np.flatnonzero(side)], weight, side is form)
+        elif texts:
+            self.absorb(texts)
+
+    def count(self, texts: list[str], weight: float, form: bool) -> None:
+        if not texts:
+            return
+        p = Passages(texts)
+        for i, (_, h) in enumerate((*p.grams, *p.shapes)):
+            self.both[i] += weight * np.bincount(h, minlength=1 << BITS)
+        sure = trusted_passages(texts, p, self.seeds) if form else [np.zeros(len(p.first), bool), np.zeros(len(p.at), bool)]
+        for kind in (0, 1):
+            self.passages[kind] += weight * len(sure[kind])
+            self.trusted[kind] += weight * sure[kind].sum()
+            self.grow(kind, weight, in_positives(p, kind, sure[kind].astype(np.float64)))
+
+    def grow(self, kind: int, weight: float, counts: list[np.ndarray]) -> None:
+        for i, n in enumerate(counts):
+            self.pos[i + kind * len(ORDERS)] += weight * n
+
+    def absorb(self, texts: list[str]) -> None:
+        p = Passages(texts)
+        picked = self.model.surely(p)
+        if not (picked[0].any() or picked[1].any()):
+            return
+        # only texts with such a passage are worked on: are they trusted, and where
+        begins = [np.searchsorted(places, p.chars.starts) for places in (p.first, p.at)]
+        some = np.flatnonzero(np.logical_or(*(np.maximum.reduceat(x > 0, at) for x, at in zip(picked, begins))))
+        form = {i for i in some if any(trusted_spans(texts[i], x) for x in self.seeds)}
+        for weight, which in ((1.0, [i for i in some if i not in form]), (self.weight, sorted(form))):
+            if not which:
+                continue
+            mine = [texts[i] for i in which]
+            q = Passages(mine)
+            soft, sure = self.model.surely(q), trusted_passages(mine, q, self.seeds)
+            for kind in (0, 1):
+                self.grow(kind, weight, in_positives(q, kind, np.where(sure[kind], 0.0, soft[kind])))
+
+    def parts(self):
+        for i in range(FEATURES):
+            if self.model is None:
+                yield i, zlib.compress(self.both[i].tobytes(), 1)
+            yield FEATURES + i, zlib.compress(self.pos[i].tobytes(), 1)
+        yield 2 * FEATURES, zlib.compress(np.concatenate((self.passages, self.trusted)).tobytes(), 1)
+
+
+def merge_tallies(a: bytes, b: bytes) -> bytes:
+    return zlib.compress((np.frombuffer(zlib.decompress(a)) + np.frombuffer(zlib.decompress(b))).tobytes(), 1)
+
+
+def rounds_of(tally, rounds: int) -> Residue:
+    """Expectation-maximization: ``tally(model)`` adds up a round over all texts. Trusted passages stay positive, the rest get a posterior that
+    each round re-estimates."""
+    first = {k: np.frombuffer(zlib.decompress(v)) for k, v in tally(None).items()}
+    shape = [np.zeros((len(ORDERS), 1 << BITS), np.float16), np.zeros((len(SHAPES) + 1, 1 << BITS), np.float16)]
+    model = Residue(*shape, (-np.inf, -np.inf))
+    if not first:
+        return model
+    both = np.stack([first[i] for i in range(FEATURES)])
+    trusted = np.stack([first[FEATURES + i] for i in range(FEATURES)])
+    total, sure = first[2 * FEATURES].reshape(2, 2)
+    share = sure / np.maximum(total, 1)
+    prior = tuple(float(np.log(x / (1 - x + 1e-9))) if x > 0 else -np.inf for x in share)
+    absorbed = np.zeros_like(trusted)
+    for r in range(rounds):
+        if r:
+            more = {k: np.frombuffer(zlib.decompress(v)) for k, v in tally(model).items()}
+            absorbed = np.stack([more[FEATURES + i] for i in range(FEATURES)])
+        n = len(ORDERS)
+        weights = [weights_of(both[x], (trusted + absorbed)[x], c) if p > -np.inf else w for x, c, p, w in zip((slice(0, n), slice(n, None)), CLIP, prior, shape)]
+        model = Residue(weights[0].astype(np.float16), weights[1].astype(np.float16), prior)
+    return model
+
+
+def train(texts: list[str], rounds: int = ROUNDS, seeds: tuple[re.Pattern, re.Pattern] = SEEDS) -> Residue:
+    """Fit by EM on texts in memory, of which each weighs the same."""
+
+    def tally(model: Residue | None) -> dict[int, bytes]:
+        work = Tally(seeds, 1.0, model)
+        for a, b in steps([texts], 0):
+            work.add(texts[a:b])
+        return dict(work.parts())
+
+    return rounds_of(tally, rounds)
 
 
 def fit(students: DataFrame) -> Residue:
-    """Fit on two bounded hash samples of the requests' translations: SAMPLE rows of all, SAMPLE of those with a trusted form among POOL rows."""
-    rows = students.select("request_id", "translation")
-    some = hash_sample(rows, "request_id", SAMPLE, "residue")
-    sure = hash_sample(rows, "request_id", SAMPLE, "trusted", F.col("translation").rlike(JAVA_SEEDS), POOL)
-    return train([*{r["request_id"]: r["translation"] for r in some + sure}.values()])
+    """Fit on all requests' translations, a pass over the column for each round; requests with a trusted form, which are few, weigh TRUSTED times as much."""
+    rows = spread(students.select("translation"))
+    return rounds_of(lambda model: gathered(rows, lambda: Tally(SEEDS, TRUSTED, model), merge_tallies, 0, 2 * FEATURES + 1), ROUNDS)
 
 
 def residue_records(students: DataFrame, model: Residue | None = None) -> DataFrame:

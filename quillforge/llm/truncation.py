@@ -7,6 +7,8 @@ ends with and without a closing mark, on units held out from the counts: a full
 abbreviation, a number). Ends inside texts (a sentence or line with another after it) are complete by construction; ends of whole values
 count with their own occurrence left out. The language is the label's, if the script of the final context admits it, else the script's.
 
+All requests take part: four fifths are counted, the rest set the thresholds. A final context reaches back to where the last unit begins, as the counted ones do.
+
 Defined results: null, blank and wordless texts are not cut off. Marks and broken characters that a cut leaves behind (an ellipsis,
 a bracketed ellipsis, a replacement character, a half-written tag) are set aside before the context is read. An empty table gives no rows.
 """
@@ -23,10 +25,9 @@ from pyspark.sql import functions as F
 
 from quillforge.llm import residue
 from quillforge.llm.language import LANGS, label
-from quillforge.llm.chars import FOLD, hash_sample, map_rows
+from quillforge.llm.chars import FOLD, gathered, map_rows
+from quillforge.sources.tables import spread
 
-#: Requests of which the model is fitted at most: of all, and of those with Latin text, which are few.
-SAMPLE, LATIN_SAMPLE = 8_000, 3_000
 ORDER = 12
 #: Longer contexts than this count only if they occurred twice inside texts, or at an end.
 DEEP = 8
@@ -138,14 +139,14 @@ class Ends:
     threshold: np.ndarray = field(default_factory=lambda: np.zeros((2, SLOTS)))
 
     def __getstate__(self) -> dict:
-        """Sorted keys as compressed steps, so that what goes to the tasks stays a few MB; its size is bounded by the sample's."""
+        """Sorted keys as compressed steps, so that what goes to the tasks stays a few MB; they are the contexts of all requests."""
         packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.keys, prepend=np.uint32(0)), self.ends, self.inside)]
         return {"packed": packed, "prior": self.prior, "threshold": self.threshold}
 
     def __setstate__(self, state: dict) -> None:
         keys, ends, inside = map(zlib.decompress, state["packed"])
         self.keys = np.cumsum(np.frombuffer(keys, np.uint32), dtype=np.uint32)
-        self.ends, self.inside = np.frombuffer(ends, np.uint16), np.frombuffer(inside, np.uint16)
+        self.ends, self.inside = np.frombuffer(ends, np.uint32), np.frombuffer(inside, np.uint32)
         self.prior, self.threshold = state["prior"], state["threshold"]
 
     def log_odds(self, text: str) -> float:
@@ -171,13 +172,19 @@ class Ends:
         for i, t in enumerate(texts):
             if t and (q := question(t)):
                 at.append(i)
-                asked.append(q[0])
+                asked.append(last_unit(q[0]))
                 bounds.append(self.threshold[q[1], place_of(q[0], label(labels[i]) if labels else None)] + q[2])
         if at:
             out[at] = self.many_log_odds(asked) < np.array(bounds)
         return out
 
 
+def last_unit(text: str) -> str:
+    """The end of a text back to where its last unit begins, or ORDER characters at least: what contexts inside texts are counted in."""
+    parts = units(text[-4 * ORDER :])
+    return parts[-1] if parts else ""
+
+
 def question(text: str) -> tuple[str, int, float] | None:
     """The final context to judge, whether it has a closing mark, and what raises the threshold; null where there is no letter to judge."""
     core, marked = stripped(text)
@@ -198,91 +205,227 @@ GOES_ON = re.compile(r"[.!?](?=[ \t]*\w)")
 
 
 def bound(whole: np.ndarray, broken: np.ndarray) -> float:
-    """The threshold between complete and broken ends: complete texts are far more frequent than cut ones."""
-    cuts = np.linspace(-8, 6, 141)
-    cost = [25 * (whole < x).mean() + (broken >= x).mean() for x in cuts]
-    near = [x for x, y in zip(cuts, cost) if y <= min(cost) + 0.01]
+    """The threshold between complete and broken ends, of which each step's numbers are given: complete texts are far more frequent than cut ones."""
+    cost = 25 * np.cumsum(whole)[:-1] / whole.sum() + 1 - np.cumsum(broken)[:-1] / broken.sum()
+    near = STEPS[cost <= cost.min() + 0.01]
     return max(LOWEST, float(0.65 * near[0] + 0.35 * near[-1]))
 
 
-def train(texts: list[str], labels: list[str | None] | None = None) -> Ends:
-    """Count contexts on four fifths of the texts and set the thresholds on the rest."""
-    both = [(t, label(x)) for t, x in zip(texts, labels or [None] * len(texts)) if t and t.strip()]
-    texts = [t for t, _ in both]
-    held: list[tuple[str, str | None]] = []
-    final: list[str] = []
-    codes: list[int] = []
-    closes: list[bool] = []
-    known: list[str] = []
-    for i, t in enumerate(texts):
-        parts = units(t)
-        if i % 5 == 4:
-            held += [(u, both[i][1]) for u in parts[:-1]]
-            continue
-        known += parts[:-1]
-        final.append(bare(stripped(t)[0]))
-        for part in parts:
-            codes += [1] * ORDER + fold(part)
-            closes += [False] * ORDER + [True] * len(part)
-    if not codes:
-        none = np.zeros(1, np.uint16)
-        return Ends(np.zeros(1, np.uint32), none, none, 0.5)
-    c = np.array(codes, np.uint32)
-    # a position counts as inside where the same unit goes on with a letter, digit or space after it
-    word = np.array([chr(x).isalnum() or x == 32 for x in codes])
-    goes = np.zeros(len(c), bool)
-    goes[:-1] = np.array(closes[:-1]) & np.array(closes[1:]) & word[1:] & (c[:-1] != 32)
-    found, counts = [], []
-    for k, h in enumerate(all_contexts(c)):
-        h, n = np.unique(h[goes], return_counts=True)
-        keep = n > (k >= DEEP)
-        found.append(h[keep])
-        counts.append(n[keep])
-    at_end = many_contexts([form for u in known for form in {u.rstrip(CLOSERS), bare(u), *noun_endings(bare(u))} if form] or [""]).ravel()
-    whole, n_whole = np.unique(many_contexts([u for u in final if u] or [""]).ravel(), return_counts=True)
-    at_end, n_end = np.unique(np.concatenate((at_end, np.repeat(whole, n_whole - 1))), return_counts=True)
-    keys, slot = np.unique(np.concatenate((*found, at_end)), return_inverse=True)
-    cap = np.iinfo(np.uint16).max
-    n_inside = sum(map(len, found))
-    inside = np.minimum(np.bincount(slot[:n_inside], np.concatenate(counts), len(keys)), cap).astype(np.uint16)
-    ends = np.minimum(np.bincount(slot[n_inside:], n_end, len(keys)), cap).astype(np.uint16)
-    total, going = len(known) * 2 + len(final), int(goes.sum())
-    model = Ends(keys, ends, inside, total / (total + going))
-    rng = np.random.default_rng(7)
-    kinds: list[list[tuple[str, str, int]]] = [[], []]  # complete end, broken end (or nothing), place of the threshold
-    for u, named in held:
-        form = bare(u)
-        if len(form) > 3:
-            broken = bare(u[: int(rng.integers(2, max(3, len(u) - 2)))]) if len(u) > 8 else ""
-            kinds[0].append((form, broken, place_of(form, named)))
-        closed = u.rstrip(CLOSERS + " ")
-        if closed and closed[-1] in FINAL and any(map(str.isalpha, closed)):
-            inner = [m.end() for m in GOES_ON.finditer(closed[:-1])]
-            kinds[1].append((closed, closed[: inner[int(rng.integers(len(inner)))]] if inner else "", place_of(closed, named)))
-    for kind, cases in enumerate(kinds):
-        scores = [model.many_log_odds([c[j] or " " for c in cases]) if cases else np.zeros(0) for j in (0, 1)]
-        some, place = np.array([bool(c[1]) for c in cases], bool), np.array([c[2] for c in cases], np.int64)
+#: Whether a folded character is a letter, digit or space.
+WORD = np.array([chr(x).isalnum() or x == 32 for x in range(0x10000)])
+#: Tables of counts: contexts inside units by order, contexts at the ends of units, and at the ends of whole values.
+AT_END, FINAL_END = ORDER, ORDER + 1
+#: Slots that a table is cut into by its keys' first bits, so that no task merges a whole one.
+CUTS = 4
+#: One request in so many sets the thresholds; the others are counted.
+HELD = 5
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Distinct keys in order with their sums, each as one number: the key above, the sum below."""
+    if counts is None:
+        keys = np.sort(keys)
+        at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+        keys, sums = keys[at], np.diff(at, append=len(keys))
+    else:
+        both = np.sort(keys.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64))
+        keys = (both >> np.uint64(32)).astype(np.uint32)
+        at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+        sums = np.add.reduceat(both & np.uint64(0xFFFFFFFF), at) if len(at) else np.zeros(0, np.uint64)
+        keys = keys[at]
+    return keys.astype(np.uint64) << np.uint64(32) | np.minimum(sums, 0xFFFFFFFF).astype(np.uint64)
+
+
+def split(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (table >> np.uint64(32)).astype(np.uint32), table & np.uint64(0xFFFFFFFF)
+
+
+def joined(tables: list[np.ndarray]) -> np.ndarray:
+    return counted(*split(np.concatenate(tables))) if len(tables) > 1 else tables[0]
+
+
+def packed(table: np.ndarray) -> bytes:
+    keys, n = split(table)
+    return zlib.compress(np.diff(keys, prepend=np.uint32(0)).tobytes() + n.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    x = np.frombuffer(zlib.decompress(data), np.uint32)
+    return np.cumsum(x[: len(x) // 2], dtype=np.uint32).astype(np.uint64) << np.uint64(32) | x[len(x) // 2 :].astype(np.uint64)
+
+
+class Counts:
+    """Counts of contexts over any number of texts. The tables of steps are joined when they have grown to twice what was joined last."""
+
+    def __init__(self):
+        self.tables: list[list[np.ndarray]] = [[] for _ in range(ORDER + 2)]
+        self.joined = [1 << 20] * (ORDER + 2)
+        self.known = self.finals = self.going = 0
+
+    def put(self, at: int, hashes: np.ndarray) -> None:
+        some = self.tables[at]
+        some.append(counted(hashes))
+        if len(some) > 1 and sum(map(len, some)) > 2 * self.joined[at]:
+            self.tables[at] = [joined(some)]
+            self.joined[at] = max(1 << 20, len(self.tables[at][0]))
+
+    def add(self, texts: list[str | None]) -> None:
+        parts = [units(t) for t in texts if t and t.strip()]
+        every = [u for p in parts for u in p]
+        if not every:
+            return
+        known = [u for p in parts for u in p[:-1]]
+        final = [f for t in texts if t and t.strip() if (f := last_unit(bare(stripped(t)[0])))]
+        raw = np.frombuffer(("\x01" * ORDER + ("\x01" * ORDER).join(every)).encode("utf-32-le", "replace"), np.uint32)
+        c = np.where(raw < 0x10000, FOLD[np.minimum(raw, 0xFFFF)], raw).astype(np.uint32)
+        word = WORD[np.minimum(c, 0xFFFF)]
+        for i in np.flatnonzero(c >= 0x10000):
+            word[i] = chr(c[i]).isalnum()
+        # a position counts as inside where the same unit goes on with a letter, digit or space after it, or a number with a mark inside it
+        goes = np.zeros(len(c), bool)
+        goes[:-1] = (c[:-1] != 1) & word[1:] & (c[:-1] != 32)
+        digit = c == 48
+        goes[:-1] |= digit[:-1] & (c[1:] == 37)
+        goes[:-2] |= digit[:-2] & ((c[1:-1] == 44) | (c[1:-1] == 46)) & digit[2:]
+        for k, h in enumerate(all_contexts(c)):
+            self.put(k, h[goes])
+        if forms := [form for u in known for form in {u.rstrip(CLOSERS), bare(u), *noun_endings(bare(u))} if form]:
+            self.put(AT_END, many_contexts(forms).ravel())
+        if final:
+            self.put(FINAL_END, many_contexts(final).ravel())
+        self.known += len(known)
+        self.finals += len(parts)
+        self.going += int(goes.sum())
+
+    def parts(self):
+        """Each table's slots, packed, and at the last slot the numbers of units, values and places inside."""
+        for at, some in enumerate(self.tables):
+            if some:
+                table = joined(some)
+                bounds = np.searchsorted(table, np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS))
+                for i, x in enumerate(np.split(table, bounds)):
+                    yield at * CUTS + i, packed(x)
+                some.clear()
+        yield (ORDER + 2) * CUTS, np.array([self.known, self.finals, self.going], np.int64).tobytes()
+
+
+def merge_counts(a: bytes, b: bytes) -> bytes:
+    if len(a) == 24:
+        return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+    return packed(joined([unpacked(a), unpacked(b)]))
+
+
+def finish_counts(slot: int, data: bytes) -> bytes:
+    """Deep contexts count if they occurred twice, and ends of whole values with their own occurrence left out."""
+    at = slot // CUTS
+    if at > FINAL_END:
+        return data
+    keys, n = split(unpacked(data))
+    if at == FINAL_END:
+        n = n - np.uint64(1)
+    keep = n > np.uint64(DEEP <= at < ORDER)
+    return packed(keys[keep].astype(np.uint64) << np.uint64(32) | n[keep])
+
+
+def model_of(slots: dict[int, bytes]) -> Ends:
+    """The model from the finished slots of all counts, its thresholds still unset."""
+    known, finals, going = np.frombuffer(slots.get((ORDER + 2) * CUTS, bytes(24)), np.int64).tolist()
+    tables = {k: unpacked(v) for k, v in slots.items() if k < (ORDER + 2) * CUTS}
+    nothing = np.zeros(0, np.uint64)
+    sides = [counted(*split(np.concatenate([nothing, *(v for k, v in tables.items() if (k >= AT_END * CUTS) == side)]))) for side in (True, False)]
+    tables.clear()
+    keys = np.unique(np.concatenate([split(x)[0] for x in sides]))
+    if not len(keys):
+        return Ends(*np.zeros((3, 1), np.uint32), 0.5)
+    out = []
+    for x in sides:
+        k, n = split(x)
+        out.append(np.zeros(len(keys), np.uint32))
+        out[-1][np.searchsorted(keys, k)] = n.astype(np.uint32)
+    total = known * 2 + finals
+    return Ends(keys, out[0], out[1], total / (total + going))
+
+
+#: Thresholds among which the best is sought.
+STEPS = np.linspace(-8, 6, 141)
+
+
+class Margins:
+    """How many complete and broken ends of held-out units lie below each step, by kind of end and place of the threshold."""
+
+    def __init__(self, model: Ends):
+        self.model = model
+        self.below = np.zeros((2, SLOTS, 2, len(STEPS) + 1), np.int64)  # closing mark, place, complete or broken, step
+
+    def add(self, texts: list[str | None], labels: list[str | None]) -> None:
+        ends: list[str] = []
+        kinds: list[tuple[int, int, int]] = []
+        for t, named in zip(texts, map(label, labels)):
+            for u in units(t)[:-1] if t and t.strip() else ():
+                form, draw = bare(u), zlib.crc32(u.encode("utf-8", "replace"))
+                if len(form) > 3:
+                    at = place_of(form, named)
+                    ends.append(form)
+                    kinds.append((0, at, 0))
+                    if len(u) > 8 and (broken := bare(u[: 2 + draw % (len(u) - 4)])):
+                        ends.append(broken)
+                        kinds.append((0, at, 1))
+                closed = u.rstrip(CLOSERS + " ")
+                if closed and closed[-1] in FINAL and any(map(str.isalpha, closed)):
+                    at = place_of(closed, named)
+                    ends.append(closed)
+                    kinds.append((1, at, 0))
+                    if inner := [m.end() for m in GOES_ON.finditer(closed[:-1])]:
+                        ends.append(closed[: inner[draw % len(inner)]])
+                        kinds.append((1, at, 1))
+        if ends:
+            step = np.searchsorted(STEPS, self.model.many_log_odds(ends), side="right")
+            np.add.at(self.below, (*np.array(kinds).T, step), 1)
+
+    def parts(self):
+        yield 0, self.below.tobytes()
+
+
+def merge_margins(a: bytes, b: bytes) -> bytes:
+    return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+
+
+def set_thresholds(model: Ends, below: np.ndarray) -> Ends:
+    """The thresholds from all held-out units."""
+    for kind in (0, 1):
         for g in [*range(len(LANGS), SLOTS), *range(len(LANGS))]:
             names = SCRIPTS[g - len(LANGS)] if g >= len(LANGS) else (LANGS[g],)
-            mine = np.isin(place, [LANGS.index(x) for x in names]) | (place == g)
+            whole, broken = below[kind, [*{g, *(LANGS.index(x) for x in names)}]].sum(0)
             of = next(len(LANGS) + k for k, x in enumerate(SCRIPTS) if names[0] in x)
-            if g < len(LANGS) and (mine.sum() < FEW or (mine & some).sum() < FEW):
+            if g < len(LANGS) and (whole.sum() < FEW or broken.sum() < FEW):
                 model.threshold[kind, g] = model.threshold[kind, of]
-            elif (mine & some).sum() < (FEW if kind else 1):
+            elif broken.sum() < (FEW if kind else 1):
                 # without broken ends nothing can be told apart
                 model.threshold[kind, g] = -np.inf if kind else LOWEST
             else:
-                model.threshold[kind, g] = bound(scores[0][mine], scores[1][mine & some])
+                model.threshold[kind, g] = bound(whole, broken)
     return model
 
 
+def train(texts: list[str], labels: list[str | None] | None = None) -> Ends:
+    """Count contexts on four fifths of the texts and set the thresholds on the rest."""
+    both = [(t, x) for t, x in zip(texts, labels or [None] * len(texts)) if t and t.strip()]
+    counts = Counts()
+    counts.add([t for i, (t, _) in enumerate(both) if i % HELD != HELD - 1])
+    model = model_of({k: finish_counts(k, v) for k, v in counts.parts()})
+    margins = Margins(model)
+    margins.add(*zip(*both[HELD - 1 :: HELD])) if len(both) >= HELD else None
+    return set_thresholds(model, margins.below)
+
+
 def fit(students: DataFrame) -> Ends:
-    """Fit on two bounded hash samples of the requests."""
+    """Fit on all requests: four fifths are counted, each delivery once, since an end's own occurrence is left out; the rest set the thresholds."""
+    held = F.pmod(F.xxhash64(F.lit("ends"), F.col("request_id")), F.lit(HELD)) == HELD - 1
     rows = students.select("request_id", "translation", "lang_label")
-    some = hash_sample(rows, "request_id", SAMPLE, "ends")
-    latin = hash_sample(rows, "request_id", LATIN_SAMPLE, "latin", F.col("translation").rlike(r"[a-z]{2,} [a-z]{2,} [a-z]{2,}"), 20 * LATIN_SAMPLE)
-    drawn = {r["request_id"]: r for r in some + latin}.values()
-    return train([r["translation"] for r in drawn], [r["lang_label"] for r in drawn])
+    texts = rows.where(~held).select("request_id", "translation").distinct().select("translation")
+    model = model_of(gathered(texts, Counts, merge_counts, 0, (ORDER + 2) * CUTS + 1, finish_counts))
+    below = gathered(spread(rows.where(held).select("translation", "lang_label")), lambda: Margins(model), merge_margins, 0, 1)
+    return set_thresholds(model, np.frombuffer(below[0], np.int64).reshape(2, SLOTS, 2, -1) if below else Margins(model).below)
 
 
 def cut_records(students: DataFrame) -> DataFrame:

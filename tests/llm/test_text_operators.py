@@ -128,6 +128,35 @@ def test_truncation_behind_a_mark_that_closes_nothing():
     assert model.threshold.shape == (2, truncation.SLOTS) and model.threshold[1, 0] == -np.inf
 
 
+def test_fits_count_all_rows(spark):
+    """More rows than any sample held: every unit is counted or sets the thresholds, and every text takes part in the residue fit; a delivery counts once."""
+    texts = [f"매출이 {'가나다라마바사아자차'[i % 10] * 3} 늘었다. 이사회는 예산을 승인했다" + " {{ amount }}" * (i % 500 == 0) for i in range(15_000)]
+    df = spark.createDataFrame([(f"r{i}", t, "ko", "c") for i, t in enumerate(texts)], "request_id string, translation string, lang_label string, corpus string").cache()
+    held = {r[0] for r in df.where(F.pmod(F.xxhash64(F.lit("ends"), "request_id"), F.lit(truncation.HELD)) == truncation.HELD - 1).select("request_id").collect()}
+    model = truncation.fit(df.unionByName(df.limit(200)))
+    counted = [t for i, t in enumerate(texts) if f"r{i}" not in held]
+    inside = model.inside[np.searchsorted(model.keys, truncation.contexts("매")[0])]
+    assert inside == sum(len(re.findall("매(?=[가-힣])", t)) for t in counted) and 11_000 < len(counted) < 13_000
+    every = truncation.Counts()
+    every.add(counted)
+    want = truncation.model_of({k: truncation.finish_counts(k, v) for k, v in every.parts()})
+    assert all((getattr(model, x) == getattr(want, x)).all() for x in ("keys", "ends", "inside")) and model.prior == want.prior
+
+    def tally(fitted):
+        work = residue.Tally(residue.SEEDS, residue.TRUSTED, fitted)
+        work.add(texts)
+        return dict(work.parts())
+
+    got, want = residue.fit(df), residue.rounds_of(tally, residue.ROUNDS)
+    assert np.allclose(got.prior, want.prior) and np.abs(got.windows - want.windows).max() < 0.01 and np.abs(got.sentences - want.sentences).max() < 0.01
+
+
+def test_last_unit_is_the_end_of_the_last_of_all_units():
+    for t in ("회사는 매출이 늘었다고 밝혔습니다. 국", "가나 " * 40 + "끝", "표제\n본문이 길게 이어지다가 끝나는 자리", "", "A board approved the budget. The"):
+        want = truncation.units(t)[-1] if t else ""
+        assert want.endswith(truncation.last_unit(t)) and len(truncation.last_unit(t)) >= min(truncation.ORDER, len(want))
+
+
 def test_noun_endings():
     assert truncation.noun_endings("상쇄했다") == ["상쇄함", "상쇄했음"]
     assert truncation.noun_endings("전합니다") == ["전함"]
