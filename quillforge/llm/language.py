@@ -12,6 +12,7 @@ before it. A text of any length is read whole. Labels are compared after their s
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import residue
-from quillforge.llm.chars import Chars, map_rows, strata_sample
+from quillforge.llm.chars import Chars, gathered, map_rows, strata_sample
 
 LANGS = ("ko", "en", "ja", "zh", "de", "fr", "es", "pt")
 #: Spellings of language labels, lower case, without region.
@@ -37,9 +38,14 @@ SPELT = {w: k for k, v in SPELLINGS.items() for w in v}
 
 WINDOW = 64
 DIM, WIDTHS, FILTERS = 8, (2, 3, 4), 16
-#: Labelled requests of each language of which the network is fitted at most, and windows of each language. English, the language of the
+#: Labelled requests of each language from which the network's weights start, before all requests train it, and windows of each language. English, the language of the
 #: prompts, comes in the widest range of wordings (copies, refusals) and gets more windows.
 SAMPLE, TRAIN_WINDOWS, MORE_WINDOWS, EPOCHS, RATE = 2_200, 1_500, {"en": 5_000}, 20, 5e-3
+#: Windows of a step, and loss from which a window's label is doubtful.
+BATCH, DOUBTFUL = 64, 3.0
+#: Requests that one task goes over from the start's weights, its rate, and the error below which a window has no gradient to speak of. A task's
+#: windows of one language weigh at most HEAVIEST times as much as others.
+SHARD, FINE_RATE, SETTLED, HEAVIEST = 12_000, 3e-4, 1e-3, 8.0
 #: A sentence with fewer letters than SHORT counts by itself from confidence SURE, any other from UNSURE; else it takes the language
 #: of a sentence beside it.
 SHORT, SURE, UNSURE = 12, 0.9, 0.6
@@ -147,25 +153,84 @@ def softmax(score: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+#: Temperatures among which the best is sought.
+TEMPERATURES = np.geomspace(0.5, 4, 25)
+
+
+def losses(score: np.ndarray, langs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(languages, temperatures) what held-out sentences of these scores lose; those whose label the network contradicts beyond doubt are left out."""
+    at = np.flatnonzero(score[np.arange(len(langs)), langs] > -DOUBTFUL)
+    score, langs, weight = score[at], langs[at], weight[at]
+    each = [-weight * np.log(np.maximum(softmax(score / t)[np.arange(len(at)), langs], 1e-12)) if len(at) else weight for t in TEMPERATURES]
+    return np.stack([np.bincount(langs, x, len(LANGS)) for x in each], axis=1)
+
+
 def calibrated(net: Network, sentences: list[str], langs: np.ndarray) -> float:
-    """The temperature at which held-out sentences are most likely; those whose label the network contradicts beyond doubt are left out."""
+    """The temperature at which held-out sentences are most likely."""
     if not sentences:
         return 1.0
-    score, _ = sentence_scores(net, sentences)
-    at = np.arange(len(langs))
-    keep = score[at, langs] > -3.0
-    loss = {t: -np.log(np.maximum(softmax(score / t)[at, langs][keep], 1e-12)).sum() for t in np.geomspace(0.5, 4, 25)}
-    return float(min(loss, key=loss.get))
+    return float(TEMPERATURES[losses(sentence_scores(net, sentences)[0], langs, np.ones(len(langs))).sum(0).argmin()])
+
+
+def filter_mask() -> np.ndarray:
+    """Which weights of the filters, padded to the widest, are in use."""
+    mask = np.zeros((max(WIDTHS) * DIM, FILTERS * len(WIDTHS)), np.float32)
+    for i, w in enumerate(WIDTHS):
+        mask[: w * DIM, i * FILTERS : (i + 1) * FILTERS] = 1
+    return mask
+
+
+def shifted(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of any length occur, and begin anywhere: shorten and shift."""
+    x = np.roll(x, -int(rng.integers(0, 24)), axis=1)
+    cutoff = rng.integers(16, WINDOW + 1, len(x))
+    x[np.arange(WINDOW)[None, :] >= cutoff[:, None]] = 0
+    return x
+
+
+class Adam:
+    """Steps of Adam on a network's weights, which are changed in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.mask, self.taken = p, filter_mask(), 0
+        self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, x: np.ndarray, u: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        p, widest, rows = self.p, max(WIDTHS), np.arange(len(x))
+        cols = Network(**p).columns(x)
+        z = (cols.reshape(-1, cols.shape[2]) @ p["filters"]).reshape(len(x), cols.shape[1], -1)
+        top = z.argmax(1)
+        best = np.take_along_axis(z, top[:, None, :], 1)[:, 0] + p["bias"]
+        hidden = np.maximum(best, 0)
+        logits = hidden @ p["dense"] + u @ p["shares"] + p["dense_bias"]
+        logits -= logits.max(1, keepdims=True)
+        prob = np.exp(logits)
+        prob /= prob.sum(1, keepdims=True)
+        prob[rows, y] -= 1
+        prob *= weight[:, None] / len(x)
+        g = {"dense": hidden.T @ prob, "dense_bias": prob.sum(0), "shares": u.T @ prob}
+        back = (prob @ p["dense"].T) * (best > 0)
+        g["bias"] = back.sum(0)
+        chosen = cols[rows[:, None], top]  # (batch, filters, widest * DIM)
+        g["filters"] = np.einsum("bf,bfd->df", back, chosen) * self.mask
+        through = back[:, :, None] * p["filters"].T[None]  # (batch, filters, widest * DIM)
+        at = x[rows[:, None, None], top[:, :, None] + np.arange(widest)].astype(np.int64)
+        cell = at[..., None] * DIM + np.arange(DIM)  # the same order as through
+        g["embed"] = np.bincount(cell.ravel(), through.ravel(), 256 * DIM).reshape(256, DIM).astype(np.float32)
+        g["embed"][0] = 0
+        self.taken += 1
+        for k in p:
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g[k] ** 2
+            p[k] -= (rate * (self.m[k] / (1 - 0.9**self.taken)) / (np.sqrt(self.v[k] / (1 - 0.999**self.taken)) + 1e-8)).astype(np.float32)
 
 
 def train(sentences: list[str], langs: list[int], seed: int = 5) -> Network:
     """Fit by Adam on windows balanced over languages; after half the epochs the windows with the largest loss, whose label
     is doubtful, are left out. Every tenth sentence is held out and sets the temperature."""
     rng = np.random.default_rng(seed)
+    mask = filter_mask()
     widest, total = max(WIDTHS), FILTERS * len(WIDTHS)
-    mask = np.zeros((widest * DIM, total), np.float32)
-    for i, w in enumerate(WIDTHS):
-        mask[: w * DIM, i * FILTERS : (i + 1) * FILTERS] = 1
     p = {
         "embed": rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
         "filters": (rng.normal(0, 1, (widest * DIM, total)) * mask / np.sqrt(3 * DIM)).astype(np.float32),
@@ -190,51 +255,18 @@ def train(sentences: list[str], langs: list[int], seed: int = 5) -> Network:
     for k in range(len(LANGS)):
         if (y == k).any():
             weight[y == k] = min(4.0, max(1.0, TRAIN_WINDOWS / (y == k).sum()))
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
+    adam = Adam(p)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(x))
         if epoch == EPOCHS // 2:
             net = Network(**p)
             loss = -net.log_probabilities(x, u)[np.arange(len(y)), y]
-            good = loss < 3.0
+            good = loss < DOUBTFUL
             x, y, u, weight = x[good], y[good], u[good], weight[good]
             order = rng.permutation(len(x))
-        for i in range(0, len(order), 64):
-            b = order[i : i + 64]
-            xb, yb = np.roll(x[b], -int(rng.integers(0, 24)), axis=1), y[b]
-            # windows of any length occur, and begin anywhere: shorten and shift
-            cutoff = rng.integers(16, WINDOW + 1, len(b))
-            xb[np.arange(WINDOW)[None, :] >= cutoff[:, None]] = 0
-            net = Network(**p)
-            cols = net.columns(xb)
-            z = (cols.reshape(-1, cols.shape[2]) @ p["filters"]).reshape(len(b), cols.shape[1], -1)
-            top = z.argmax(1)
-            best = np.take_along_axis(z, top[:, None, :], 1)[:, 0] + p["bias"]
-            hidden = np.maximum(best, 0)
-            logits = hidden @ p["dense"] + u[b] @ p["shares"] + p["dense_bias"]
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
-            prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(len(b)), yb] -= 1
-            prob *= weight[b][:, None] / len(b)
-            g = {"dense": hidden.T @ prob, "dense_bias": prob.sum(0), "shares": u[b].T @ prob}
-            back = (prob @ p["dense"].T) * (best > 0)
-            g["bias"] = back.sum(0)
-            chosen = cols[np.arange(len(b))[:, None], top]  # (batch, filters, widest * DIM)
-            g["filters"] = np.einsum("bf,bfd->df", back, chosen) * mask
-            through = back[:, :, None] * p["filters"].T[None]  # (batch, filters, widest * DIM)
-            at = xb[np.arange(len(b))[:, None, None], top[:, :, None] + np.arange(widest)].astype(np.int64)
-            cell = at[..., None] * DIM + np.arange(DIM)  # the same order as through
-            g["embed"] = np.bincount(cell.ravel(), through.ravel(), 256 * DIM).reshape(256, DIM).astype(np.float32)
-            g["embed"][0] = 0
-            step += 1
-            rate = RATE * (1 - 0.8 * epoch / EPOCHS)
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v2[k] = 0.999 * v2[k] + 0.001 * g[k] ** 2
-                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        for i in range(0, len(order), BATCH):
+            b = order[i : i + BATCH]
+            adam.step(shifted(x[b], rng), u[b], y[b], weight[b], RATE * (1 - 0.8 * epoch / EPOCHS))
     net = Network(**p)
     net.temperature = calibrated(net, *held)
     return net
@@ -286,9 +318,13 @@ def shares_of(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not sentences:
         return np.zeros((0, 2 * SCRIPTS), np.float32), np.zeros(0, np.int64)
     n, core = script_counts(sentences)
+    return shares_from(n, core), n.sum(1)
+
+
+def shares_from(n: np.ndarray, core: np.ndarray) -> np.ndarray:
     share = [x / np.maximum(x.sum(1, keepdims=True), 1) for x in (core, n)]
     # small shares tell as much as large ones, and both more than a single filter
-    return 3 * np.sqrt(np.concatenate(share, axis=1)).astype(np.float32), n.sum(1)
+    return 3 * np.sqrt(np.concatenate(share, axis=1)).astype(np.float32)
 
 
 def scripts_of(sentences: list[str]) -> np.ndarray:
@@ -358,8 +394,83 @@ class Segments:
         return out
 
 
-def fit(students: DataFrame) -> Segments:
-    """Fit on a bounded hash sample of the requests for each label (SAMPLE rows at most)."""
+class Tuning:
+    """Training on a shard of the labelled requests, from given weights. Every window is scored; steps are taken on those that have a gradient, weighted
+    so that languages balance as they do at the start. Every tenth sentence, by its hash, is held out for the temperature."""
+
+    def __init__(self, start: Network):
+        self.net = Network(**{k: getattr(start, k).copy() for k in WEIGHTS})
+        self.adam = Adam({k: getattr(self.net, k) for k in WEIGHTS})
+        self.rng = np.random.default_rng(5)
+        self.seen, self.held, self.lost = np.zeros(len(LANGS)), np.zeros(len(LANGS)), np.zeros((len(LANGS), len(TEMPERATURES)))
+
+    def add(self, texts: list[str | None], labels: list[str | None]) -> None:
+        times: dict[tuple[str, int], int] = {}
+        for t, named in zip(texts, map(label, labels)):
+            if named and t:
+                for s in sentences_of(t):
+                    times[s, LANGS.index(named)] = times.get((s, LANGS.index(named)), 0) + 1
+        pairs = [x for x in times if has_words(x[0])]
+        if not pairs:
+            return
+        sentences, langs, often = [s for s, _ in pairs], np.array([k for _, k in pairs]), np.array([times[x] for x in pairs], np.float64)
+        n, core = script_counts(sentences)
+        # in a script that the label's language cannot have, the label is wrong beyond doubt
+        fits = np.flatnonzero(admitted(core)[np.arange(len(langs)), langs])
+        if not len(fits):
+            return
+        sentences, langs, often, u = [sentences[i] for i in fits], langs[fits], often[fits], shares_from(n[fits], core[fits])
+        held = np.fromiter((zlib.crc32(s.encode("utf-8", "replace")) % 10 == 9 for s in sentences), bool, len(sentences))
+        if held.any():
+            score, _ = sentence_scores(self.net, [sentences[i] for i in np.flatnonzero(held)])
+            self.lost += losses(score, langs[held], often[held])
+            self.held += np.bincount(langs[held], often[held], len(LANGS))
+        x, owner = windows(sentences)
+        keep = ~held[owner] & ((x != 0).sum(1) >= 6)
+        x, owner = x[keep], owner[keep]
+        self.seen += np.bincount(langs[owner], often[owner], len(LANGS))
+        weight = WANTED * self.seen.sum() / np.maximum(self.seen, 1)
+        weight = (np.minimum(weight, HEAVIEST)[langs] * often).astype(np.float32)
+        order = self.rng.permutation(len(x))
+        for i in range(0, len(order), MOST):
+            b = order[i : i + MOST]
+            p = np.exp(self.net.log_probabilities(x[b], u[owner[b]])[np.arange(len(b)), langs[owner[b]]])
+            b = b[(p < 1 - SETTLED) & (p > np.exp(-DOUBTFUL))]
+            for j in range(0, len(b), BATCH):
+                c = b[j : j + BATCH]
+                self.adam.step(shifted(x[c], self.rng), u[owner[c]], langs[owner[c]], weight[owner[c]], FINE_RATE)
+
+    def parts(self):
+        total = self.seen.sum()
+        flat = np.concatenate([getattr(self.net, k).ravel().astype(np.float64) for k in WEIGHTS])
+        yield 0, np.concatenate(([total], self.held, self.lost.ravel(), total * flat)).tobytes()
+
+
+#: The network's weights, and windows that are scored before steps are taken on them.
+WEIGHTS, MOST = ("embed", "filters", "bias", "dense", "dense_bias", "shares"), 4096
+#: The share of each language in what is learnt.
+WANTED = np.array([MORE_WINDOWS.get(x, TRAIN_WINDOWS) for x in LANGS]) / sum(MORE_WINDOWS.get(x, TRAIN_WINDOWS) for x in LANGS)
+
+
+def merge_weights(a: bytes, b: bytes) -> bytes:
+    return (np.frombuffer(a) + np.frombuffer(b)).tobytes()
+
+
+def tuned(start: Network, total: np.ndarray) -> Network:
+    """The mean of the shards' networks, each weighing as many windows as it went over, and the temperature of all their held-out sentences."""
+    if not total[0]:
+        return start
+    _, held, lost, flat = np.split(total, np.cumsum([1, len(LANGS), len(LANGS) * len(TEMPERATURES)]))
+    flat = (flat / total[0]).astype(np.float32)
+    # languages count as they do in training, however many sentences they have
+    lost = (WANTED / np.maximum(held, 1)) @ lost.reshape(len(LANGS), -1)
+    ends = np.cumsum([getattr(start, k).size for k in WEIGHTS])
+    parts = {k: x.reshape(getattr(start, k).shape) for k, x in zip(WEIGHTS, np.split(flat, ends[:-1]))}
+    return Network(**parts, temperature=float(TEMPERATURES[lost.argmin()]) if lost.any() else start.temperature)
+
+
+def first_weights(students: DataFrame) -> Network:
+    """Where training on all requests starts: a fit on a hash sample of the requests of each label (SAMPLE rows at most)."""
     rows = students.select("request_id", "translation", "lang_label")
     sentences: list[str] = []
     langs: list[int] = []
@@ -371,7 +482,20 @@ def fit(students: DataFrame) -> Segments:
                 langs.append(k)
     # in a script that the label's language cannot have, the label is wrong beyond doubt
     fits = np.flatnonzero(scripts_of(sentences)[np.arange(len(langs)), langs]) if langs else []
-    return Segments(train([sentences[i] for i in fits], [langs[i] for i in fits]))
+    return train([sentences[i] for i in fits], [langs[i] for i in fits])
+
+
+def fit(students: DataFrame) -> Segments:
+    """Fit on all labelled requests. They are dealt out by their ids to shards, which train side by side from the same weights; the mean of the shards' weights is
+    the network. Shards follow from the ids alone, so that another layout of the files gives the same."""
+    start = first_weights(students)
+    shards = -(-students.count() // SHARD)
+    if not shards:
+        return Segments(start)
+    rows = students.where("lang_label is not null").select("request_id", "translation", "lang_label")
+    dealt = rows.repartition(shards, "request_id").sortWithinPartitions("request_id", "translation", "lang_label").select("translation", "lang_label")
+    total = gathered(dealt, lambda: Tuning(start), merge_weights, 0, 1)
+    return Segments(tuned(start, np.frombuffer(total[0])) if total else start)
 
 
 def language_records(students: DataFrame) -> DataFrame:

@@ -195,6 +195,26 @@ def test_network_accuracy_held_out(spark, data):
         assert right[mine].mean() > 0.6, language.LANGS[k]  # a third of the labels of a rare language may be wrong
 
 
+def test_network_is_fitted_on_all_labelled_requests(spark, monkeypatch):
+    """Far more requests than the start takes: every labelled one is gone over, whatever the layout of the files."""
+    monkeypatch.setattr(language, "SAMPLE", 5)
+    rows = [(f"{k}{i}", t.replace("1", str(i)), k) for i in range(60) for k, t in LABELLED.items()] + [("none", LABELLED["ko"], None), ("other", LABELLED["ko"], "xx")]
+    df = spark.createDataFrame(rows, "request_id string, translation string, lang_label string").repartition(3)
+    start, got = language.first_weights(df), language.fit(df).network
+    work = language.Tuning(start)
+    mine = sorted(r for r in rows if r[2])
+    work.add([r[1] for r in mine], [r[2] for r in mine])
+    sentences = [(s, k) for _, t, k in mine if language.label(k) for s in language.sentences_of(t)]
+    assert work.held.sum() > 0 and 0 < work.seen.sum() <= sum(-(-len(s.encode()) // language.WINDOW) for s, _ in sentences)
+    assert work.seen.sum() > 5 * 8 * 8  # more windows than the start has requests
+    want = language.tuned(start, np.frombuffer(next(work.parts())[1]))
+    assert work.adam.taken and not np.array_equal(got.dense, start.dense)
+    for k in language.WEIGHTS:
+        np.testing.assert_allclose(getattr(got, k), getattr(want, k), atol=1e-5)
+    again = language.fit(df.repartition(7)).network
+    assert got.temperature == want.temperature == again.temperature and np.array_equal(got.dense, again.dense)
+
+
 def test_segments():
     net = language.train([s for v in LABELLED.values() for s in language.sentences_of(v)] * 12, [k for k, v in enumerate(LABELLED.values()) for _ in language.sentences_of(v)] * 12)
     seg = language.Segments(net)
