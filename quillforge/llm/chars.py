@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,24 @@ def fold_table() -> np.ndarray:
 FOLD = fold_table()
 
 
+def parted(ends: re.Pattern, text: str) -> Iterator[str]:
+    """The parts of a text between the matches of ``ends``, each of which begins with a mark that stays in its part, a line end, or a slash,
+    which needs a space before it that no match has taken."""
+    last = 0
+    for m in ends.finditer(text):
+        at = m.start()
+        mark = text[at]
+        if mark == "/":
+            at -= 1
+            if at < last:
+                continue
+        elif mark != "\n":
+            at += 1
+        yield text[last:at]
+        last = m.end()
+    yield text[last:]
+
+
 class Chars:
     """Texts as code points in one array, each text followed by ``pad`` zeros."""
 
@@ -47,17 +66,26 @@ class Chars:
 
 def grams(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The hash of the n codes that start at each position, to ``bits`` bits; positions near the end wrap into the padding."""
-    h = np.zeros(len(codes), np.uint32)
-    for k in range(n):
-        h *= np.uint32(0x01000193)
-        if k:
-            h[:-k] += codes[k:]
-        else:
-            h += codes
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    h ^= h >> np.uint32(12)
-    return h >> np.uint32(32 - bits)
+    return gram_orders(codes, [n], bits)[0]
+
+
+def gram_orders(codes: np.ndarray, orders: Iterable[int], bits: int) -> list[np.ndarray]:
+    """``grams`` for several n in rising order, of which each goes on from the one before."""
+    h, out, k = np.zeros(len(codes), np.uint32), [], 0
+    for n in orders:
+        for k in range(k, n):
+            h *= np.uint32(0x01000193)
+            if k:
+                h[:-k] += codes[k:]
+            else:
+                h += codes
+        k = n
+        m = h ^ h >> np.uint32(15)
+        m *= np.uint32(0x2C1B3C6D)
+        m ^= m >> np.uint32(12)
+        m >>= np.uint32(32 - bits)
+        out.append(m)
+    return out
 
 
 def steps(columns: list[list], text: int) -> Iterator[tuple[int, int]]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import residue
-from quillforge.llm.chars import Chars, gathered, map_rows, strata_sample
+from quillforge.llm.chars import Chars, gathered, map_rows, parted, strata_sample
 
 LANGS = ("ko", "en", "ja", "zh", "de", "fr", "es", "pt")
 #: Spellings of language labels, lower case, without region.
@@ -51,9 +52,12 @@ SHARD, FINE_RATE, SETTLED, HEAVIEST = 12_000, 3e-4, 1e-3, 8.0
 SHORT, SURE, UNSURE = 12, 0.9, 0.6
 
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』)]*\s*|\s*\n\s*\n\s*|(?<=[.!?:。！？”’»)\]…])\s*\n\s*|(?<=[가-힣])\s*\n\s*(?![가-힣])|(?<![가-힣\s])\s*\n\s*(?=[가-힣ぁ-ヿ一-鿿])|\s+/\s+")
+#: The same for texts in one line, which most are; see ``parted``.
+IN_LINE = re.compile(r"[.!?。！？/](?:(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』)]*\s*|(?<=\s/)\s+)")
 NUMBER = re.compile(r"\d[\d.,]*\d|\d")
 #: Codes (currencies, tickers, labels in brackets), which are no words; and what shows that a sentence is not all in capitals.
 CODE = re.compile(r"(?<![^\W\d_])[A-Z]{2,4}(?![^\W\d_])")
+CAPITALS = re.compile(r"[A-Z][A-Z]")
 CASED = re.compile(r"[a-z\u00df-\uffff]")
 LETTERS = re.compile(r"[^\W\d_]+")
 HANGUL = re.compile(r"[가-힣]")
@@ -336,12 +340,23 @@ def scripts(sentence: str) -> np.ndarray:
     return scripts_of([sentence])[0]
 
 
+def split_sentences(text: str) -> Iterable[str]:
+    """A text's sentences, with or without the spaces around them."""
+    return SENTENCE.split(text) if "\n" in text else parted(IN_LINE, text)
+
+
 def sentences_of(text: str) -> list[str]:
+    return list(each_sentence(text))
+
+
+def each_sentence(text: str) -> Iterator[str]:
     """Sentences with words or part of them; pieces without a letter are dropped, since they make no segment. Numbers and codes, which say nothing of
     the language, become a digit, so that more sentences of a batch are equal and worked out once."""
     if "<" in text or "://" in text:
         text = TAG.sub(" ", text)
-    return [" ".join(NUMBER.sub("0", CODE.sub("0", s) if CASED.search(s) else s).split()) for s in SENTENCE.split(text) if s and LETTERS.search(s)]
+    for s in split_sentences(text):
+        if s and LETTERS.search(s):
+            yield " ".join(NUMBER.sub("0", CODE.sub("0", s) if CAPITALS.search(s) and CASED.search(s) else s).split())
 
 
 @dataclass

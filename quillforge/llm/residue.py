@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.chars import Chars, gathered, grams, map_rows, steps
+from quillforge.llm.chars import STEP_CHARS, STEP_ROWS, Chars, gathered, gram_orders, grams, map_rows, steps
 from quillforge.sources.tables import spread
 
 BITS = 17
@@ -106,11 +106,67 @@ SEEDS = tuple(
         ((r"{$#%<«:\[_@(", SLOT),),
     )
 )
+# What a text must hold, in lower case, to hold one of the forms of SEEDS[0] but MASK; the last three are letters that equal others without case.
+HELD = (
+    "lorem ipsum", "asdf", "qwer", "blah blah", "foo bar", "ㅁㄴㅇㄹ", "가나다라마바사", "dummy ", "placeholder ", "sample ", "filler ", "insert ", "더미 텍스트", "샘플 ",
+    "임시 문구", "자리 채움", "tbd", "todo", "fixme", "여기에 ", "이곳에 ", "아래에 ", "아래 칸에 ", "<html", "<head", "<title", "<body", "<noscript", "<script",
+    "traceback (most recent call last)", "error: ", "exception: ", '"error', '"code"', '"message"', '"status"', "bad request", "unauthorized", "forbidden", "not found",
+    "request timeout", " gone", "too many requests", "internal server error", "bad gateway", "service unavailable", "gateway time", "something went wrong",
+    "session has expired", "access denied", "try again later", "under maintenance", "checking your browser", "seite nicht gefunden", "page introuvable",
+    "página no encontrada", "página não encontrada", "ページが見つかりません", "页面不存在", "找不到页面", " 찾을 수 없습니다", " 삭제되었습니다", " 존재하지 않", "권한이 없습니다",
+    "세션이 만료", "로그인 시간이 초과", "다시 로그인해", "시스템 점검 중입니다", "일시적인 오류가 발생", "잠시 후 다시 시도", "관리자에게 문의", "script", "cookie", "자바스크립트", "쿠키",
+    "ı", "i̇", "ſ",
+)
+#: What a text must hold to hold one of the forms of SEEDS[1] but MASK and those with a word.
+SLOT_HELD = re.compile(r"[{«%<$:\[_@](?:(?<=[{«])|(?<=%)[(A-Za-z가-힣]|(?<=<)[%<]|(?<=\$)[A-Za-z가-힣]|(?<=:)[A-Za-z_가-힣]|(?<=\[)[\[IiYT]|(?<=_)_|(?<=@)@)")
+
+
+#: Of each of them three letters that are rare elsewhere, by their hash.
+RARE = np.zeros(1 << 20, bool)
+for _x in filter(lambda x: len(x) > 2, HELD):
+    _at = max(0, len(_x.rstrip()) - 3) if _x.isascii() else 0
+    RARE[grams(Chars([_x[_at : _at + 3]], 0).folded(), 3, 20)[0]] = True
+#: Letters that equal others without case.
+WITHOUT_CASE = np.array([0x130, 0x131, 0x17F, 0x212A], np.uint32)
+
+
+def may_be_trusted(texts: list[str]) -> list[tuple[bool, bool]]:
+    """For each text whether it may hold a form of SEEDS[0] and of SEEDS[1]: a quick test, which leaves out no form."""
+    c = Chars(texts)
+    raw, folded = c.raw, c.folded()
+    some = np.zeros((2, len(texts)), bool)
+
+    def mark(kind: int, at: np.ndarray) -> None:
+        some[kind, np.searchsorted(c.starts, at, "right") - 1] = True
+
+    mark(0, np.flatnonzero(RARE[grams(folded, 3, 20)] | np.isin(raw, WITHOUT_CASE)))
+    for i in np.flatnonzero(some[0]):
+        low = texts[i].lower()
+        some[0, i] = any(x in low for x in HELD)
+    # a mask: a letter or mark twice, a space, and the same twice
+    masks = np.flatnonzero((raw[4:] == raw[:-4]) & (raw[3:-1] == raw[:-4]) & (raw[1:-3] == raw[:-4]) & (raw[:-4] > 0x20))
+    mark(0, masks)
+    mark(1, masks)
+    for kind, (a, b) in ((0, "쿠키"), (1, "입력"), (1, "기입"), (1, "삽입")):
+        mark(kind, np.flatnonzero((raw[:-1] == ord(a)) & (raw[1:] == ord(b))))
+    return [(a, b or SLOT_HELD.search(t) is not None) for a, b, t in zip(*some.tolist(), texts)]
+
+
 #: A form inside quotation marks is talked about: it is not trusted.
 QUOTED = re.compile(r"[‘“][^’”\n]{0,60}[’”]")
 
-#: Powers that a character's place in its run is weighed by.
-POWERS = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)
+#: Powers that a character's place in its run is weighed by, up to the place LONG, and those of the inverse; for texts of any length.
+LONG, PRIME = 64, 0x01000193
+POWERS = INVERSE = np.zeros(0, np.uint32)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global POWERS, INVERSE
+    if len(POWERS) < n:
+        some = max(n, STEP_CHARS + 8 * STEP_ROWS)
+        POWERS, INVERSE = (np.cumprod(np.full(some, x & 0xFFFFFFFF, np.uint32), dtype=np.uint32) for x in (PRIME, pow(PRIME, -1, 1 << 32)))
+    return POWERS[:n], INVERSE[:n]
+
 
 
 #: Marks of markup, whose shapes also count with all of them alike.
@@ -120,38 +176,50 @@ MARKS[[ord(c) for c in "{}[]<>%$#@_|~^:*«»\\"]] = True
 REPEATED = np.array([0x30, *map(ord, ".-=…")], np.uint32)
 
 
+#: Classes of characters by code: what ends a line, a closing mark, the full stop that needs no space.
+LINE, MARK, STOP = 1, 2, 4
+CLASS = np.zeros(0x10000, np.uint8)
+CLASS[[0, 10, 13]], CLASS[[46, 33, 63]], CLASS[0x3002] = LINE, MARK, STOP
+#: The letter class of each character, which is itself where it is no letter.
+KIND = np.arange(0x10000, dtype=np.uint32)
+KIND[0xAC00:], KIND[0x3040:0xA000] = 2, 3
+KIND[[*range(97, 123), *range(0xC0, 0x250)]] = 4
+#: The slot of places that begin no n-gram.
+NONE = 1 << BITS
+
+
 def starts_of_sentences(codes: np.ndarray) -> np.ndarray:
     """Whether a sentence or line begins at each position: after a line end, a closing mark and a space, or the padding."""
     begins = np.zeros(len(codes), bool)
     if len(codes) > 2:
-        line = (codes == 10) | (codes == 13) | (codes == 0)
-        mark = (codes == 46) | (codes == 33) | (codes == 63) | (codes == 0x3002)
-        begins[1:] = line[:-1]
-        begins[2:] |= mark[:-2] & (codes[1:-1] == 32)
-        begins[1:] |= codes[:-1] == 0x3002
+        kind = CLASS[np.minimum(codes, 0xFFFF)]
+        begins[1:] = (kind[:-1] & (LINE | STOP)) != 0
+        begins[2:] |= ((kind[:-2] & (MARK | STOP)) != 0) & (codes[1:-1] == 32)
     begins[:1] = True
     return begins
 
 
 def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions where a run of one letter class (or a single other character) begins, its shape, and the hash of its content."""
-    kind = np.where(codes >= 0xAC00, np.uint32(2), codes)
-    kind = np.where((codes >= 0x3040) & (codes < 0xA000), np.uint32(3), kind)
-    kind = np.where(((codes >= 97) & (codes < 123)) | ((codes >= 0xC0) & (codes < 0x250)), np.uint32(4), kind)
+    kind = KIND[np.minimum(codes, 0xFFFF)]
     # any mark or letter three times over is one class: what hides or stands for text
-    same = np.zeros(len(codes), bool)
-    same[1:] = (codes[1:] == codes[:-1]) & (codes[1:] > 0x20) & ~np.isin(codes[1:], REPEATED)
-    twice = same.copy()
-    twice[1:] &= same[:-1]
-    twice[:-1] |= twice[1:]
-    twice[:-1] |= twice[1:]
-    kind = np.where(twice, np.uint32(5), kind)
-    run = (kind >= 2) & (kind <= 5) | (kind == 0x30)
+    again = np.flatnonzero((codes[1:] == codes[:-1]) & (codes[1:] > 0x20)) + 1
+    again = again[~np.isin(codes[again], REPEATED)]
+    twice = again[1:][np.diff(again) == 1]
+    for k in (0, 1, 2):
+        kind[twice - k] = 5
+    run = (kind - np.uint32(2) <= 3) | (kind == 0x30)
     begins = np.ones(len(kind), bool)
     begins[1:] = ~run[1:] | (kind[1:] != kind[:-1])
     at = np.flatnonzero(begins)
-    place = np.minimum(np.arange(len(codes)) - np.repeat(at, np.diff(at, append=len(codes))), 63)
-    content = np.add.reduceat(codes * POWERS[place], at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32)
+    # a run's characters weighed by the powers of their places in it: by those of their places in all texts, taken back
+    power, back = powers(len(codes))
+    total = np.concatenate((np.zeros(1, np.uint32), np.cumsum(codes * power, dtype=np.uint32)))
+    content = np.diff(total[np.append(at, len(codes))])
+    content[1:] *= back[at[1:] - 1]
+    size = np.diff(at, append=len(codes))
+    for i in np.flatnonzero(size > LONG):
+        content[i] = (codes[at[i] : at[i] + size[i]] * power[np.minimum(np.arange(size[i]), LONG - 1)]).sum(dtype=np.uint32)
     content ^= content >> np.uint32(15)
     content *= np.uint32(0x2C1B3C6D)
     return at, kind[at], (content ^ (content >> np.uint32(12))) >> np.uint32(32 - BITS)
@@ -172,43 +240,56 @@ class Passages:
         n = len(codes)
         self.chars = c
         begins = starts_of_sentences(codes)
-        self.sentence = np.cumsum(begins) - 1  # of each position
+        self.sentence = np.cumsum(begins, dtype=np.int32) - 1  # of each position
         self.first = np.flatnonzero(begins)
-        self.grams = []
-        for k in ORDERS:
-            ok = codes != 0
-            ok[: n - k + 1] &= self.sentence[: n - k + 1] == self.sentence[k - 1 :]
-            ok[max(0, n - k + 1) :] = False
-            at = np.flatnonzero(ok)
-            self.grams.append((at, grams(codes, k, BITS)[at]))
+        #: the n-gram that begins at each position, or NONE
+        self.grams = gram_orders(codes, ORDERS, BITS)
+        for k, h in zip(ORDERS, self.grams):
+            h[: n - k + 1][(codes[: n - k + 1] == 0) | (self.sentence[: n - k + 1] != self.sentence[k - 1 :])] = NONE
+            h[max(0, n - k + 1) :] = NONE
         self.at, kind, content = runs_of(codes)
-        self.shapes = [(np.flatnonzero(kind != 0), content[kind != 0])]
-        for k, alike in SHAPES:
-            symbols = np.where(MARKS[np.minimum(kind, 0xFF)], np.uint32(6), kind) if alike else kind
-            ok = kind != 0
+        self.inside = kind != 0
+        self.shapes = [np.where(self.inside, content, np.uint32(NONE))]
+        alike = np.where(MARKS[np.minimum(kind, 0xFF)], np.uint32(6), kind)
+        hashes = {}
+        for same, symbols in ((False, kind), (True, alike)):
+            widths = [k for k, a in SHAPES if a == same]
+            hashes |= {(k, same): h for k, h in zip(widths, gram_orders(symbols, widths, BITS))}
+        for k, same in SHAPES:
+            ok = self.inside.copy()
             # the padding stands for the text's edge
-            ok[: -(k - 1)] |= kind[k - 1 :] != 0
+            ok[: -(k - 1)] |= self.inside[k - 1 :]
             ok[max(0, len(kind) - k + 1) :] = False
-            at = np.flatnonzero(ok)
-            self.shapes.append((at, grams(symbols, k, BITS)[at]))
-        self.inside = kind != 0
+            h = hashes[k, same]
+            h[~ok] = NONE
+            self.shapes.append(h)
 
     def sentence_scores(self, weights: np.ndarray) -> np.ndarray:
         """Tempered evidence of each sentence."""
-        total = np.zeros(len(self.first))
-        for w, (at, h) in zip(weights, self.grams):
-            total += np.bincount(self.sentence[at], w[h], len(self.first))
-        return total / TEMPER[0]
+        per = sum(padded(w)[h] for w, h in zip(weights, self.grams))
+        return np.add.reduceat(per, self.first, dtype=np.float64) / TEMPER[0]
 
     def window_scores(self, weights: np.ndarray) -> np.ndarray:
         """Tempered evidence of each place of the shape: of all n-grams over it and the places beside it."""
         n = len(self.at)
-        over = np.zeros(n)
-        for k, w, (at, h) in zip(WIDTHS, weights, self.shapes):
-            per = np.zeros(n)
-            per[at] = w[h]
-            over += moving(per, k - 1, 0)
-        return moving(over, 1, 1) / (3 * TEMPER[1])
+        per: dict[int, np.ndarray] = {}
+        for k, w, h in zip(WIDTHS, weights, self.shapes):
+            per[k] = per[k] + padded(w)[h] if k in per else padded(w)[h]
+        over, reach = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        # of the n-grams that begin so many places before: those that reach here
+        for back in range(max(WIDTHS) - 1, -1, -1):
+            if back + 1 in per:
+                reach += per[back + 1]
+            over[back:] += reach[: n - back]
+        out = over.copy()
+        out[1:] += over[:-1]
+        out[:-1] += over[1:]
+        return out / (3 * TEMPER[1])
+
+
+def padded(weights: np.ndarray) -> np.ndarray:
+    """Weights with none for the slot NONE."""
+    return np.append(weights.astype(np.float32), np.float32(0))
 
 
 @dataclass
@@ -223,8 +304,11 @@ class Residue:
         """The posterior of each sentence and each place of the shape, 0 where it is not sure."""
         out = []
         for kind, score in enumerate((p.sentence_scores(self.sentences), p.window_scores(self.windows))):
-            soft = 1 / (1 + np.exp(-np.clip(score + self.prior[kind] - ABSORBED * THRESHOLD[kind], -30, 30)))
-            out.append(np.where(soft >= SURE, soft, 0.0))
+            score = score + self.prior[kind] - ABSORBED * THRESHOLD[kind]
+            soft, at = np.zeros(len(score)), np.flatnonzero(score > 0)
+            x = 1 / (1 + np.exp(-np.minimum(score[at], 30)))
+            soft[at] = np.where(x >= SURE, x, 0.0)
+            out.append(soft)
         return out
 
     def evidence(self, texts: list[str]) -> np.ndarray:
@@ -285,7 +369,7 @@ def in_positives(p: Passages, kind: int, posterior: np.ndarray) -> list[np.ndarr
     if not posterior.any():
         return [np.zeros(1 << BITS)] * (len(WIDTHS) if kind else len(ORDERS))
     shares = [moving(posterior, 0, k - 1) / k for k in WIDTHS] if kind else [posterior[p.sentence]] * len(ORDERS)
-    return [np.bincount(h, share[at], 1 << BITS) for (at, h), share in zip(p.shapes if kind else p.grams, shares)]
+    return [np.bincount(h, share, NONE + 1)[:NONE] for h, share in zip(p.shapes if kind else p.grams, shares)]
 
 
 class Tally:
@@ -300,18 +384,25 @@ class Tally:
     def add(self, texts: list[str | None]) -> None:
         texts = [t for t in texts if t and t.strip()]
         if self.model is None:
-            form = np.array([any(trusted_spans(t, x) for x in self.seeds) for t in texts], bool)
+            form = np.array(self.with_form(texts), bool)
             for side, weight in ((~form, 1.0), (form, self.weight)):
                 self.count([texts[i] for i in np.flatnonzero(side)], weight, side is form)
         elif texts:
             self.absorb(texts)
 
+    def with_form(self, texts: list[str]) -> list[bool]:
+        """Whether each text holds a trusted form."""
+        if not texts:
+            return []
+        may = may_be_trusted(texts) if self.seeds == SEEDS else [(True, True)] * len(texts)
+        return [any(m and trusted_spans(t, x) for m, x in zip(ms, self.seeds)) for ms, t in zip(may, texts)]
+
     def count(self, texts: list[str], weight: float, form: bool) -> None:
         if not texts:
             return
         p = Passages(texts)
-        for i, (_, h) in enumerate((*p.grams, *p.shapes)):
-            self.both[i] += weight * np.bincount(h, minlength=1 << BITS)
+        for i, h in enumerate((*p.grams, *p.shapes)):
+            self.both[i] += weight * np.bincount(h, minlength=NONE + 1)[:NONE]
         sure = trusted_passages(texts, p, self.seeds) if form else [np.zeros(len(p.first), bool), np.zeros(len(p.at), bool)]
         for kind in (0, 1):
             self.passages[kind] += weight * len(sure[kind])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillforge.llm import residue
 from quillforge.llm.language import LANGS, label
-from quillforge.llm.chars import FOLD, gathered, map_rows
+from quillforge.llm.chars import FOLD, gathered, map_rows, parted
 from quillforge.sources.tables import spread
 
 ORDER = 12
@@ -40,11 +40,14 @@ BROKEN = 8.0
 LOWEST, FEW = -5.0, 60
 #: What a cut leaves behind.
 MARKS = re.compile(r"(?:\s|…|\.\.\.|\[…\]|\[\.\.\.\]|\((?:생략|중략|후략|이하 생략|계속|다음에 계속|cut|truncated|continued|more)\)|�|<[a-zA-Z/]{0,8}$|&#?[a-z0-9]{0,5}$|\\u?[0-9a-fA-F]{0,3}$|[​﻿⁠]|[-–—]$)+$")
+#: Characters on which a mark may end, besides full stops, brackets and the half-written.
+LEFT_LAST = frozenset([*filter(str.isspace, map(chr, range(0x3001))), *"…�​﻿⁠-–—"])
 #: Closing marks, which a complete text may have or lack.
 CLOSERS = "\"'”’»」』)]}*_`"
 FINAL = ".!?。！？"
 #: Boundaries inside a text: after a closing mark, or a line end. A number before a full stop makes none, unless it is a year or a share.
-INNER = re.compile(r"(?<=[^\W\d][.!?])[\"'”’»)]*[ \t]+(?=[^\sa-z])|(?<=[\d]{4}[.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[%)”’\"][.!?])[ \t]+(?=\S)|(?<=[。！？])|\s*\n+\s*| / ")
+#: Each begins with the character that is looked for, which few places hold, and then looks back.
+INNER = re.compile(r"[.!?。！？\n/](?:(?<=[^\W\d][.!?])[\"'”’»)]*[ \t]+(?=[^\sa-z])|(?<=[\d]{4}[.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[%)”’\"][.!?])[ \t]+(?=\S)|(?<=[。！？])|(?<=\n)\s*|(?<= /) )")
 HANGUL = re.compile(r"[가-힣]")
 #: Languages by script: Hangul, Han and kana, Latin.
 SCRIPTS = (("ko",), ("ja", "zh"), ("en", "de", "fr", "es", "pt"))
@@ -70,6 +73,8 @@ def place_of(text: str, named: str | None) -> int:
 
 def stripped(text: str) -> tuple[str, float]:
     """The text without what a cut leaves behind, and by how much that raises the threshold."""
+    if text[-1:] not in LEFT_LAST and not text.endswith(("...", "]", ")")) and not any(c in text[-9:] for c in "<&\\"):
+        return text, 0.0
     core = MARKS.sub("", text)
     return core, BROKEN if re.search(r"[�<&\\]", text[len(core) :]) else 0.0
 
@@ -115,10 +120,13 @@ def bare(unit: str) -> str:
 
 def noun_endings(unit: str) -> list[str]:
     """The forms in which a complete Korean sentence may close as a noun, as headings and notes do, by the rule of the alphabet."""
-    m = re.search(r"(.)(?:습니다|다)$|(.)니다$", unit)
+    if not unit.endswith("다"):
+        return []
+    tail = max(0, len(unit) - 4)
+    m = re.search(r"(.)(?:습니다|다)$|(.)니다$", unit[tail:])
     if not m or not (s := m.group(1) or m.group(2)) or not 0xAC00 <= ord(s) <= 0xD7A3:
         return []
-    stem, code = unit[: m.start()], ord(s) - 0xAC00
+    stem, code = unit[: tail + m.start()], ord(s) - 0xAC00
     final, vowel, base = code % 28, code // 28 % 21, code // 28
     # vowels of the past tense and those of their stems: ae-a, wae-oe, yeo-i, wa-o, wo-u
     back = {1: 0, 10: 11, 6: 20, 9: 8, 14: 13}.get(vowel, vowel) if final == 20 else vowel
@@ -197,7 +205,7 @@ def question(text: str) -> tuple[str, int, float] | None:
 
 
 def units(text: str) -> list[str]:
-    return [u.strip() for u in INNER.split(text) if u and u.strip()]
+    return [u for part in parted(INNER, text) if (u := part.strip())]
 
 
 #: A mark inside a unit, after which it goes on.
@@ -289,7 +297,7 @@ class Counts:
         goes[:-2] |= digit[:-2] & ((c[1:-1] == 44) | (c[1:-1] == 46)) & digit[2:]
         for k, h in enumerate(all_contexts(c)):
             self.put(k, h[goes])
-        if forms := [form for u in known for form in {u.rstrip(CLOSERS), bare(u), *noun_endings(bare(u))} if form]:
+        if forms := [form for u in known for b in (bare(u),) for form in {u.rstrip(CLOSERS), b, *noun_endings(b)} if form]:
             self.put(AT_END, many_contexts(forms).ravel())
         if final:
             self.put(FINAL_END, many_contexts(final).ravel())

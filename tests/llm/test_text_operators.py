@@ -313,3 +313,49 @@ def test_what_a_cut_leaves_behind():
     }
     assert {k: truncation.stripped(k) for k in cases} == cases
     assert truncation.question("") is None and truncation.question("…") is None and truncation.question("12.5") is None and truncation.question("끝났다.") == ("끝났다.", 1, 0.0)
+
+
+def odd_texts(n: int, letters: str) -> list[str]:
+    rng = np.random.default_rng(3)
+    return ["".join(rng.choice(list(letters), rng.integers(0, 30))) for _ in range(n)]
+
+
+def test_units_are_those_of_a_plain_split():
+    """The ends that are looked for from their mark are those that a split by lookbehinds gives."""
+    plain = re.compile(r"(?<=[^\W\d][.!?])[\"'”’»)]*[ \t]+(?=[^\sa-z])|(?<=[\d]{4}[.!?])[\"'”’»)]*[ \t]+(?=\S)|(?<=[%)”’\"][.!?])[ \t]+(?=\S)|(?<=[。！？])|\s*\n+\s*| / ")
+    for t in [*odd_texts(20_000, "aB가1234.!?。 \n\t/\"'”)%]  .."), "끝. / 다음. / / 끝", "。 / 。\n/ x"]:
+        assert truncation.units(t) == [u.strip() for u in plain.split(t) if u.strip()], t
+    for t in odd_texts(20_000, "aB가.!?。 \t/\"'”)  .."):
+        parts = [" ".join(s.split()) for s in language.SENTENCE.split(t)]
+        assert [x for s in language.split_sentences(t) if (x := " ".join(s.split()))] == [x for x in parts if x], t
+    for t in odd_texts(20_000, "aB.… [](&<#\\u가-\n\x1f​�"):
+        assert truncation.stripped(t)[0] == truncation.MARKS.sub("", t), t
+
+
+def test_passages_give_what_plain_sums_give():
+    texts = [*odd_texts(300, "aabBㅁ가{}%$<>[]_@: 12.=-…\n*#😀"), "x" * 200 + " y", "가" * 70 + "나" * 70]
+    p = residue.Passages(texts)
+    rng = np.random.default_rng(1)
+    for weights, hashes, got in (
+        (rng.normal(size=(len(residue.ORDERS), residue.NONE)), p.grams, p.sentence_scores),
+        (rng.normal(size=(len(residue.WIDTHS), residue.NONE)), p.shapes, p.window_scores),
+    ):
+        per = [np.where(h == residue.NONE, 0.0, w[np.minimum(h, residue.NONE - 1)]) for w, h in zip(weights, hashes)]
+        if hashes is p.grams:
+            want = np.bincount(p.sentence, sum(per)) / residue.TEMPER[0]
+        else:
+            want = residue.moving(sum(residue.moving(x, k - 1, 0) for k, x in zip(residue.WIDTHS, per)), 1, 1) / (3 * residue.TEMPER[1])
+        np.testing.assert_allclose(got(weights), want, atol=1e-5)
+    # runs of one content have one hash wherever they stand, longer ones than the table of powers too
+    twice = residue.Passages([*texts, *texts])
+    assert np.array_equal(twice.shapes[0][: len(p.at)], p.shapes[0]) and np.array_equal(twice.shapes[0][len(p.at) :], p.shapes[0])
+
+
+def test_quick_test_leaves_out_no_trusted_form(students):
+    forms = ["ＬＯＲＥＭ 가 가", "Lorem Ipsum", "ĿOREM ıpsum lorem İpsum", "ERROR 404 NOT FOUND", "하 다시 로그인해 주세요", "xx xx xx", "가가 가가 가가", "{{ a }}", "%이름%", "[ 입력 ]", "__a__", "쿠키를 허용", "BLAH BLAH", "aſdf", "COOKIES ARE OFF", "주소가 삭제되었습니다", "＜html", "<HTML>", "PÁGINA NO ENCONTRADA"]
+    texts = [*forms, *(r[0] for r in students.select("translation").collect() if r[0])]
+    got = residue.Tally(residue.SEEDS, 1.0).with_form(texts)
+    assert got == [any(residue.trusted_spans(t, x) for x in residue.SEEDS) for t in texts] and sum(got) > 5
+    for t, may in zip(texts, residue.may_be_trusted(texts)):
+        for kind, form in zip(may, residue.SEEDS):
+            assert kind or not form.search(t), t
