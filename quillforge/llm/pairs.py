@@ -17,11 +17,12 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import language, residue, truncation
-from quillforge.llm.chars import map_rows
+from quillforge.llm.chars import Chars, grams, map_rows
 from quillforge.sources.tables import spread
 
 #: Share of the response's words that makes a copy.
@@ -51,6 +52,9 @@ _TASKS = {
 }
 
 WORD = re.compile(r"\S+")
+#: The rest of a word from its first Hangul syllable, and characters from which a Hangul syllable may come.
+KOREAN_WORD = re.compile(r"[가-힣]\S*")
+BEYOND = re.compile(r"[\u1100-\u11ff\u3130-\u318f\u3200-\u32ff\ua960-\ua97f\uac00-\ud7ff\uff00-\uffef]")
 PUNCT = re.compile(r"[^\w]|_")
 MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;|```\w*")
 
@@ -68,6 +72,45 @@ for _n, _t in enumerate(TEMPLATES):
         SHINGLES.setdefault(_t[_i : _i + 3], set()).add(_n)
 
 
+#: The fewest shingles that any template keeps, and the longest stretch of letters that they stand in.
+EDITS = [int((1 - ALIGN) * len(t)) for t in TEMPLATES]
+LEAST = [max(1, len(t) - 2 - 3 * e) for t, e in zip(TEMPLATES, EDITS)]
+SPANS = [len(t) + max(2, len(t) // 6) for t in TEMPLATES]
+#: By a shingle's hash, whether a template holds it.
+KNOWN = np.zeros(1 << 20, bool)
+for _x in SHINGLES:
+    KNOWN[grams(np.array([*map(ord, _x)], np.uint32), 3, 20)[0]] = True
+#: Letters and digits of the basic plane, folded; zero for the others. ODD: those that folding makes into several, or that join others.
+KEPT, ODD = np.zeros(0x10000, np.uint32), np.zeros(0x10000, bool)
+for _i in range(0x10000):
+    _f = squeeze(chr(_i))
+    KEPT[_i] = ord(_f) if len(_f) == 1 else 0
+    ODD[_i] |= len(_f) > 1 or unicodedata.combining(chr(_i)) > 0 or 0x1100 <= _i < 0x1200 or 0xFF9E <= _i <= 0xFFDC or 0xD800 <= _i < 0xE000
+    _d = unicodedata.decomposition(chr(_i)).split()
+    if len(_d) == 2 and _d[0][0] != "<" and int(_d[1], 16) < 0x10000:
+        ODD[int(_d[1], 16)] = True
+
+
+def may_refuse(texts: list[str]) -> np.ndarray:
+    """Whether each text may hold a refusal: whether shingles of the templates stand as close together as a template's least number of them must. A quick
+    test for many texts at once, which leaves out none."""
+    c = Chars(texts)
+    low = np.minimum(c.raw, 0xFFFF)
+    out = np.zeros(len(texts), bool)
+    # folded otherwise than letter by letter: not tested here
+    out[np.searchsorted(c.starts, np.flatnonzero(ODD[low] | (c.raw >= 0x10000)), "right") - 1] = True
+    kept = KEPT[low]
+    stay = np.flatnonzero(kept)
+    at = np.flatnonzero(KNOWN[grams(kept[stay], 3, 20)])
+    owner = np.searchsorted(c.starts, stay[at], "right") - 1
+    for least, span in sorted({(x, max(s for y, s in zip(LEAST, SPANS) if y == x)) for x in LEAST}):
+        if len(at) >= least:
+            n = len(at) - least + 1
+            near = (at[least - 1 :] - at[:n] <= span) & (owner[least - 1 :] == owner[:n])
+            out[owner[:n][near]] = True
+    return out
+
+
 def lcs(a, b) -> int:
     """Length of the longest common subsequence of two sequences, bit-parallel over a."""
     where: dict = {}
@@ -93,6 +136,10 @@ def is_empty(text: str | None) -> bool:
 def is_copy(source: str | None, text: str) -> bool:
     if not source or not any(c.islower() for c in source):
         return False
+    if not BEYOND.search(source) and unicodedata.is_normalized("NFKC", text):
+        # no word of the prompt has a Hangul letter: can the others be enough
+        if 5 * len(KOREAN_WORD.findall(text)) > len(text.split()):
+            return False
     b = words(text)
     if not b:
         return False
@@ -105,7 +152,7 @@ def is_copy(source: str | None, text: str) -> bool:
 def is_refusal(text: str) -> bool:
     """Whether a template aligns with a stretch of one of the sentences. An aligned stretch misses at most a seventh of the template's
     characters, so it keeps a number of its shingles; only around these is aligned."""
-    for sentence in language.SENTENCE.split(text):
+    for sentence in language.split_sentences(text):
         s = squeeze(sentence)
         hits: dict[int, list[int]] = {}
         for i in range(len(s) - 2):
@@ -113,9 +160,7 @@ def is_refusal(text: str) -> bool:
                 hits.setdefault(n, []).append(i)
         for n, at in hits.items():
             t = TEMPLATES[n]
-            edits = int((1 - ALIGN) * len(t))
-            least = max(1, len(t) - 2 - 3 * edits)
-            span = len(t) + max(2, len(t) // 6)
+            least, span = LEAST[n], SPANS[n]
             if len(at) < least:
                 continue
             for first, last in zip(at, at[least - 1 :]):
@@ -131,19 +176,19 @@ def is_korean(sentence: str) -> bool:
     return n > 0 and (2 * n >= len(sentence) or bool(language.scripts(sentence)[0]))
 
 
-def defects(source: str | None, text: str | None, cut: bool, segments: language.Segments) -> list[str]:
-    """All defects of a pair; the response is not spoiled."""
+def defects(source: str | None, text: str | None, cut: bool, segments: language.Segments, refused: bool = True) -> list[str]:
+    """All defects of a pair; the response is not spoiled. ``refused``: whether it may be a refusal."""
     if is_empty(text):
         return ["empty"]
     out = []
     if cut:
         out.append("truncated")
-    refusal = is_refusal(text)
+    refusal = refused and is_refusal(text)
     copy = not refusal and is_copy(source, text)
     out += ["refusal"] * refusal + ["copy"] * copy
     if not (refusal or copy) and language.has_words(text):
-        parts = language.sentences_of(text)
-        if parts and not any(map(is_korean, parts)):
+        # a Korean sentence is mostly the first; a text without sentences has no segments
+        if not any(map(is_korean, language.each_sentence(text))):
             found = segments.segments([text])[0]
             if found and all(lang != "ko" for lang, _ in found):
                 out.append("wrong_language")
@@ -159,11 +204,11 @@ def pair_defects(students: DataFrame, cycle: DataFrame) -> DataFrame:
     def make():
         def work(ids, corpora, sources, texts, labels):
             out = {"request_id": [], "corpus": [], "defect": []}
-            spoilt, cut = spoiled.found(texts), ends.many_cut(texts, labels)
+            spoilt, cut, refused = spoiled.found(texts).tolist(), ends.many_cut(texts, labels), may_refuse([t or "" for t in texts]).tolist()
             for i in range(len(ids)):
                 if spoilt[i]:
                     continue
-                for d in defects(sources[i], texts[i], bool(cut[i]), segments):
+                for d in defects(sources[i], texts[i], bool(cut[i]), segments, refused[i]):
                     out["request_id"].append(ids[i])
                     out["corpus"].append(corpora[i])
                     out["defect"].append(d)

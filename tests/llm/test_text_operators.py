@@ -359,3 +359,22 @@ def test_quick_test_leaves_out_no_trusted_form(students):
     for t, may in zip(texts, residue.may_be_trusted(texts)):
         for kind, form in zip(may, residue.SEEDS):
             assert kind or not form.search(t), t
+
+
+def test_quick_tests_of_pairs_leave_out_none(spark, data):
+    """Refusals and copies with and without what is tested first."""
+    templates = [d for d in pairs.DECLINES]
+    texts = [r[0] for r in table(spark, data, "student_translations").where("translation <> ''").select("translation").collect()]
+    texts += [f"가나. {d[:3].upper()}{d[3:]}! 다" for d in templates] + [" ".join(d) for d in templates] + ["Ｉ ｃａｎｎｏｔ ｔｒａｎｓｌａｔｅ ｔｈｉｓ", "😀 i cannot translate this", "번역할 수 없습니다"]
+    may = pairs.may_refuse(texts)
+    found = [pairs.is_refusal(t) for t in texts]
+    assert sum(found) > 2 * len(templates) * 0.9 and not any(f and not m for f, m in zip(found, may.tolist())) and 2 * may.sum() < len(texts)
+
+    def plain(source, text):
+        a, b = pairs.words(source), pairs.words(text)
+        return bool(b) and any(c.islower() for c in source) and pairs.lcs(b, a) >= pairs.COPY * len(b)
+
+    source = "The board approved a budget of 12 million in the second quarter for Varde Works."
+    for text in (source, source + " 매출", source + " 매출이 늘었다 했다", "ＴＨＥ board approved a budget of 12 million in the second quarter", "한 the board", source.replace("budget", "예산"), "매출은 12 million", "..."):
+        for s in (source, source + " 매출이 늘었다 했다", "x ㈀ﾡ"):
+            assert pairs.is_copy(s, text) == plain(s, text), (s, text)
