@@ -106,18 +106,39 @@ class Network:
         s = e.strides
         return np.lib.stride_tricks.as_strided(e, (len(x), n, w * DIM), (s[0], s[1], s[2]), writeable=False)
 
-    def pooled(self, x: np.ndarray) -> np.ndarray:
-        cols = self.columns(x)
-        out = cols.reshape(-1, cols.shape[2]) @ self.filters
-        return np.maximum(out.reshape(len(x), cols.shape[1], -1).max(1) + self.bias, 0)
-
-    def log_probabilities(self, x: np.ndarray, shares: np.ndarray, step: int = 1024) -> np.ndarray:
-        """(windows, languages) for windows of bytes and the script shares of their sentences."""
+    def log_probabilities(self, x: np.ndarray, shares: np.ndarray, step: int = 128) -> np.ndarray:
+        """(windows, languages) for windows of bytes and the script shares of their sentences. What a filter gives at a place is the sum of what it
+        gives for two pairs of bytes, which are looked up; windows of like length are worked on together, up to their last byte."""
+        widest, total = max(WIDTHS), self.filters.shape[1]
         out = np.empty((len(x), len(LANGS)), np.float32)
+        y = np.zeros((len(x), WINDOW + 2), np.uint16)
+        y[:, :WINDOW] = x
+        pairs = y[:, :-1] << 8 | y[:, 1:]
+        known = np.zeros(1 << 16, bool)
+        known[pairs] = True
+        known = np.flatnonzero(known)
+        slots = np.zeros(1 << 16, np.intp)
+        slots[known] = np.arange(len(known))
+        at = slots[pairs]
+        a, b = known >> 8, known & 0xFF
+        each = [(self.embed @ self.filters[k * DIM : (k + 1) * DIM]).astype(np.float32, copy=False) for k in range(widest)]
+        first, second = each[0][a] + each[1][b], each[2][a] + each[3][b]
+        size = WINDOW - (x[:, ::-1] != 0).argmax(1)
+        order = np.argsort(size, kind="stable")
+        places = WINDOW - widest + 1
+        sums, more = (np.empty((step * places, total), np.float32) for _ in range(2))
         for i in range(0, len(x), step):
-            z = self.pooled(x[i : i + step]) @ self.dense + shares[i : i + step] @ self.shares + self.dense_bias
+            c = order[i : i + step]
+            m = min(places, int(size[c[-1]]))
+            n = len(c) * m
+            np.take(first, at[c][:, :m].ravel(), axis=0, out=sums[:n], mode="clip")
+            np.take(second, at[c][:, 2 : m + 2].ravel(), axis=0, out=more[:n], mode="clip")
+            sums[:n] += more[:n]
+            top = sums[:n].reshape(len(c), m, total).max(1)
+            # behind the last byte a filter gives zero
+            z = np.maximum((np.maximum(top, 0) if m < places else top) + self.bias, 0) @ self.dense + shares[c] @ self.shares + self.dense_bias
             z -= z.max(1, keepdims=True)
-            out[i : i + step] = z - np.log(np.exp(z).sum(1, keepdims=True))
+            out[c] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
 

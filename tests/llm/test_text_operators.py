@@ -361,6 +361,22 @@ def test_quick_test_leaves_out_no_trusted_form(students):
             assert kind or not form.search(t), t
 
 
+def test_looked_up_pairs_give_the_filters(students):
+    """The network on windows of every length, against the plain sums."""
+    rng = np.random.default_rng(2)
+    total = language.FILTERS * len(language.WIDTHS)
+    net = language.Network(rng.normal(size=(256, language.DIM)), rng.normal(size=language.filter_mask().shape) * language.filter_mask(), rng.normal(size=total),
+                           rng.normal(size=(total, len(language.LANGS))), rng.normal(size=len(language.LANGS)), rng.normal(size=(2 * language.SCRIPTS, len(language.LANGS))))
+    net.embed[0] = 0
+    x, owner = language.windows([r[0][:n] for n, r in enumerate(students.where("length(translation) > 0").select("translation").limit(400).collect(), 1)])
+    shares = rng.normal(size=(len(x), 2 * language.SCRIPTS))
+    cols = net.columns(x)
+    z = np.maximum((cols @ net.filters).max(1) + net.bias, 0) @ net.dense + shares @ net.shares + net.dense_bias
+    want = z - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)) - z.max(1, keepdims=True)
+    np.testing.assert_allclose(net.log_probabilities(x, shares), want, atol=1e-3)
+    assert net.log_probabilities(x[:0], shares[:0]).shape == (0, len(language.LANGS))
+
+
 def test_quick_tests_of_pairs_leave_out_none(spark, data):
     """Refusals and copies with and without what is tested first."""
     templates = [d for d in pairs.DECLINES]
