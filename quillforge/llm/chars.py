@@ -16,6 +16,8 @@ from quillforge.sources.tables import spread
 
 #: Rows and characters that one vectorised step handles at most, which bounds a worker's memory whatever the batch.
 STEP_ROWS, STEP_CHARS = 6_000, 1_500_000
+#: Bytes of a slot's parts that wait to be merged, whatever was merged before.
+HELD_BYTES = 4_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -33,12 +35,12 @@ def fold_table() -> np.ndarray:
 FOLD = fold_table()
 
 
-def parted(ends: re.Pattern, text: str) -> Iterator[str]:
+def parted(ends: re.Pattern, text: str) -> list[str]:
     """The parts of a text between the matches of ``ends``, each of which begins with a mark that stays in its part, a line end, or a slash,
     which needs a space before it that no match has taken."""
-    last = 0
+    last, parts = 0, []
     for m in ends.finditer(text):
-        at = m.start()
+        at, behind = m.span()
         mark = text[at]
         if mark == "/":
             at -= 1
@@ -46,9 +48,10 @@ def parted(ends: re.Pattern, text: str) -> Iterator[str]:
                 continue
         elif mark != "\n":
             at += 1
-        yield text[last:at]
-        last = m.end()
-    yield text[last:]
+        parts.append(text[last:at])
+        last = behind
+    parts.append(text[last:])
+    return parts
 
 
 class Chars:
@@ -61,7 +64,16 @@ class Chars:
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + pad)[:-1])).astype(np.int64) if texts else np.zeros(0, np.int64)
 
     def folded(self) -> np.ndarray:
-        return np.where(self.raw < 0x10000, FOLD[np.minimum(self.raw, 0xFFFF)], self.raw)
+        return folded(self.raw)
+
+
+def folded(raw: np.ndarray) -> np.ndarray:
+    """The codes of characters, lower case and with one digit class."""
+    out = np.take(FOLD, raw, mode="clip")
+    if len(raw) and raw.max() >= 0x10000:
+        beyond = np.flatnonzero(raw >= 0x10000)
+        out[beyond] = raw[beyond]
+    return out
 
 
 def grams(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -121,8 +133,8 @@ def map_rows(df: DataFrame, make, schema: str, text: int = 0, scan: bool = True)
 
 def gathered(df: DataFrame, start, merge, text: int, slots: int, finish=None) -> dict[int, bytes]:
     """What all rows of df add up to, by slot. ``start()`` makes a task's work, whose add() takes lists of columns step by step and whose parts()
-    gives pairs of slot and bytes; the parts of a slot are merged two at a time in the slot's own task, and ``finish`` is applied to the
-    result, so that the driver gets one value a slot."""
+    gives pairs of slot and bytes; the parts of a slot are merged in the slot's own task, as soon as they are more than twice what was merged
+    last, and ``finish`` is applied to the result, so that the driver gets one value a slot."""
     schema = "slot int, data binary"
     fields = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
 
@@ -139,11 +151,16 @@ def gathered(df: DataFrame, start, merge, text: int, slots: int, finish=None) ->
         yield from rows(work.parts())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, bytes] = {}
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             for slot, data in zip(batch["slot"].to_pylist(), batch["data"].to_pylist()):
-                held[slot] = merge(held[slot], data) if slot in held else data
-        yield from rows((k, finish(k, v) if finish else v) for k, v in held.items())
+                some = held.setdefault(slot, [])
+                some.append(data)
+                if len(some) > 2 and sum(map(len, some[1:])) > 2 * max(len(some[0]), HELD_BYTES):
+                    held[slot] = [merge(*some)]
+        for k, some in held.items():
+            data = merge(*some) if len(some) > 1 else some[0]
+            yield from rows([(k, finish(k, data) if finish else data)])
 
     parts = df.mapInArrow(run, schema).repartition(slots, "slot").mapInArrow(fold, schema)
     return {r["slot"]: bytes(r["data"]) for r in parts.collect()}

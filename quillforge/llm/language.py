@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -65,6 +66,7 @@ QUOTED = re.compile(r"[“‘\"(（「『][^”’\")）」』\n]{1,120}[”’\
 TAG = re.compile(r"<[^<>\n]{0,80}>|https?://\S+")
 
 
+@lru_cache(10_000)
 def label(value: str | None) -> str | None:
     """The language a label names; null where it is missing, undetermined or unknown."""
     if not value:
@@ -488,8 +490,8 @@ WEIGHTS, MOST = ("embed", "filters", "bias", "dense", "dense_bias", "shares"), 4
 WANTED = np.array([MORE_WINDOWS.get(x, TRAIN_WINDOWS) for x in LANGS]) / sum(MORE_WINDOWS.get(x, TRAIN_WINDOWS) for x in LANGS)
 
 
-def merge_weights(a: bytes, b: bytes) -> bytes:
-    return (np.frombuffer(a) + np.frombuffer(b)).tobytes()
+def merge_weights(*parts: bytes) -> bytes:
+    return sum(map(np.frombuffer, parts)).tobytes()
 
 
 def tuned(start: Network, total: np.ndarray) -> Network:

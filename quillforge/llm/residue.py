@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ CLIP = ((-4.0, 5.0), (-4.0, 5.0))
 PRIOR_MASS = 100.0
 #: Weight of a request with a trusted form in the fit.
 TRUSTED = 11.0
+#: Texts that are scored at once, so few that their arrays stay in a core's cache.
+NEAR = 1_600
 #: Log-odds from which a passage spoils its record: of sentences, of windows.
 THRESHOLD = (1.0, 12.2)
 
@@ -117,8 +120,8 @@ HELD = (
     "세션이 만료", "로그인 시간이 초과", "다시 로그인해", "시스템 점검 중입니다", "일시적인 오류가 발생", "잠시 후 다시 시도", "관리자에게 문의", "script", "cookie", "자바스크립트", "쿠키",
     "ı", "i̇", "ſ",
 )
-#: What a text must hold to hold one of the forms of SEEDS[1] but MASK and those with a word.
-SLOT_HELD = re.compile(r"[{«%<$:\[_@](?:(?<=[{«])|(?<=%)[(A-Za-z가-힣]|(?<=<)[%<]|(?<=\$)[A-Za-z가-힣]|(?<=:)[A-Za-z_가-힣]|(?<=\[)[\[IiYT]|(?<=_)_|(?<=@)@)")
+#: What a text must hold to hold one of the forms of SEEDS[1] but MASK and those with a word. A sign of percent after a digit, as texts are full of, begins no slot.
+SLOT_HELD = re.compile(r"[{«%<$:\[_@](?:(?<=[{«])|(?<=%)\(|(?<=%)(?<![\d%]%)[A-Za-z가-힣]|(?<=<)[%<]|(?<=\$)[A-Za-z가-힣]|(?<=:)[A-Za-z_가-힣]|(?<=\[)[\[IiYT]|(?<=_)_|(?<=@)@)")
 
 
 #: Of each of them three letters that are rare elsewhere, by their hash.
@@ -141,8 +144,11 @@ def may_be_trusted(texts: list[str]) -> list[tuple[bool, bool]]:
 
     mark(0, np.flatnonzero(RARE[grams(folded, 3, 20)] | np.isin(raw, WITHOUT_CASE)))
     for i in np.flatnonzero(some[0]):
-        low = texts[i].lower()
-        some[0, i] = any(x in low for x in HELD)
+        low, some[0, i] = texts[i].lower(), False
+        for x in HELD:
+            if x in low:
+                some[0, i] = True
+                break
     # a mask: a letter or mark twice, a space, and the same twice
     masks = np.flatnonzero((raw[4:] == raw[:-4]) & (raw[3:-1] == raw[:-4]) & (raw[1:-3] == raw[:-4]) & (raw[:-4] > 0x20))
     mark(0, masks)
@@ -192,16 +198,20 @@ def starts_of_sentences(codes: np.ndarray) -> np.ndarray:
     """Whether a sentence or line begins at each position: after a line end, a closing mark and a space, or the padding."""
     begins = np.zeros(len(codes), bool)
     if len(codes) > 2:
-        kind = CLASS[np.minimum(codes, 0xFFFF)]
-        begins[1:] = (kind[:-1] & (LINE | STOP)) != 0
-        begins[2:] |= ((kind[:-2] & (MARK | STOP)) != 0) & (codes[1:-1] == 32)
+        kind = np.take(CLASS, codes, mode="clip")
+        at = np.flatnonzero(kind[:-1])
+        kind = kind[at]
+        begins[at[(kind & (LINE | STOP)) != 0] + 1] = True
+        at = at[(kind & (MARK | STOP)) != 0]
+        at = at[at < len(codes) - 2]
+        begins[at[codes[at + 1] == 32] + 2] = True
     begins[:1] = True
     return begins
 
 
 def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions where a run of one letter class (or a single other character) begins, its shape, and the hash of its content."""
-    kind = KIND[np.minimum(codes, 0xFFFF)]
+    kind = np.take(KIND, codes, mode="clip")
     # any mark or letter three times over is one class: what hides or stands for text
     again = np.flatnonzero((codes[1:] == codes[:-1]) & (codes[1:] > 0x20)) + 1
     again = again[~np.isin(codes[again], REPEATED)]
@@ -214,7 +224,8 @@ def runs_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(begins)
     # a run's characters weighed by the powers of their places in it: by those of their places in all texts, taken back
     power, back = powers(len(codes))
-    total = np.concatenate((np.zeros(1, np.uint32), np.cumsum(codes * power, dtype=np.uint32)))
+    total = np.zeros(len(codes) + 1, np.uint32)
+    np.cumsum(codes * power, dtype=np.uint32, out=total[1:])
     content = np.diff(total[np.append(at, len(codes))])
     content[1:] *= back[at[1:] - 1]
     size = np.diff(at, append=len(codes))
@@ -244,8 +255,14 @@ class Passages:
         self.first = np.flatnonzero(begins)
         #: the n-gram that begins at each position, or NONE
         self.grams = gram_orders(codes, ORDERS, BITS)
+        blank, later = np.flatnonzero(codes == 0), self.first[self.first >= max(ORDERS)]
+        early = self.first[(self.first > 0) & (self.first < max(ORDERS))]
         for k, h in zip(ORDERS, self.grams):
-            h[: n - k + 1][(codes[: n - k + 1] == 0) | (self.sentence[: n - k + 1] != self.sentence[k - 1 :])] = NONE
+            h[blank] = NONE
+            # those that begin before a sentence and reach into it
+            for back in range(1, k):
+                h[later - back] = NONE
+                h[np.maximum(early - back, 0)[early >= back]] = NONE
             h[max(0, n - k + 1) :] = NONE
         self.at, kind, content = runs_of(codes)
         self.inside = kind != 0
@@ -266,15 +283,16 @@ class Passages:
 
     def sentence_scores(self, weights: np.ndarray) -> np.ndarray:
         """Tempered evidence of each sentence."""
-        per = sum(padded(w)[h] for w, h in zip(weights, self.grams))
+        per = sum(np.take(w, h, mode="clip") for w, h in zip(padded(weights), self.grams))
         return np.add.reduceat(per, self.first, dtype=np.float64) / TEMPER[0]
 
     def window_scores(self, weights: np.ndarray) -> np.ndarray:
         """Tempered evidence of each place of the shape: of all n-grams over it and the places beside it."""
         n = len(self.at)
         per: dict[int, np.ndarray] = {}
-        for k, w, h in zip(WIDTHS, weights, self.shapes):
-            per[k] = per[k] + padded(w)[h] if k in per else padded(w)[h]
+        for k, w, h in zip(WIDTHS, padded(weights), self.shapes):
+            some = np.take(w, h, mode="clip")
+            per[k] = per[k] + some if k in per else some
         over, reach = np.zeros(n, np.float32), np.zeros(n, np.float32)
         # of the n-grams that begin so many places before: those that reach here
         for back in range(max(WIDTHS) - 1, -1, -1):
@@ -287,9 +305,9 @@ class Passages:
         return out / (3 * TEMPER[1])
 
 
-def padded(weights: np.ndarray) -> np.ndarray:
-    """Weights with none for the slot NONE."""
-    return np.append(weights.astype(np.float32), np.float32(0))
+def padded(weights: np.ndarray) -> list[np.ndarray]:
+    """The weights of each order with none for the slot NONE; those that have it stay."""
+    return [w if len(w) > NONE else np.append(w.astype(np.float32), np.float32(0)) for w in weights]
 
 
 @dataclass
@@ -300,10 +318,18 @@ class Residue:
     windows: np.ndarray
     prior: tuple[float, float]
 
+    @cached_property
+    def padded(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Once a task: what is sent has none of it."""
+        return padded(self.sentences), padded(self.windows)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "padded"}
+
     def surely(self, p: Passages) -> list[np.ndarray]:
         """The posterior of each sentence and each place of the shape, 0 where it is not sure."""
         out = []
-        for kind, score in enumerate((p.sentence_scores(self.sentences), p.window_scores(self.windows))):
+        for kind, score in enumerate((p.sentence_scores(self.padded[0]), p.window_scores(self.padded[1]))):
             score = score + self.prior[kind] - ABSORBED * THRESHOLD[kind]
             soft, at = np.zeros(len(score)), np.flatnonzero(score > 0)
             x = 1 / (1 + np.exp(-np.minimum(score[at], 30)))
@@ -314,10 +340,17 @@ class Residue:
     def evidence(self, texts: list[str]) -> np.ndarray:
         """(texts, 2) log-odds of each text's best sentence and window, less the threshold; it is spoiled where one is positive."""
         out = np.full((len(texts), 2), -np.inf)
-        if not any(texts):
-            return out
-        p = Passages(texts)
-        for kind, (places, score) in enumerate(((p.first, p.sentence_scores(self.sentences)), (p.at, np.where(p.inside, p.window_scores(self.windows), -np.inf)))):
+        for a in range(0, len(texts), NEAR):
+            if any(some := texts[a : a + NEAR]):
+                # with an empty text first, whose padding stands before the next, what is found in a text does not depend on its place
+                out[a : a + NEAR] = self.evidence_of(Passages(["", *some]))[1:]
+        return out
+
+    def evidence_of(self, p: Passages) -> np.ndarray:
+        out = np.empty((len(p.chars.lengths), 2))
+        windows = p.window_scores(self.padded[1])
+        windows[~p.inside] = -np.inf
+        for kind, (places, score) in enumerate(((p.first, p.sentence_scores(self.padded[0])), (p.at, windows))):
             out[:, kind] = np.maximum.reduceat(score, np.searchsorted(places, p.chars.starts)) + self.prior[kind] - THRESHOLD[kind]
         out[p.chars.lengths == 0] = -np.inf
         return out
@@ -400,12 +433,13 @@ class Tally:
     def count(self, texts: list[str], weight: float, form: bool) -> None:
         if not texts:
             return
-        p = Passages(texts)
+        p = Passages(texts := ["", *texts])
         for i, h in enumerate((*p.grams, *p.shapes)):
             self.both[i] += weight * np.bincount(h, minlength=NONE + 1)[:NONE]
         sure = trusted_passages(texts, p, self.seeds) if form else [np.zeros(len(p.first), bool), np.zeros(len(p.at), bool)]
         for kind in (0, 1):
-            self.passages[kind] += weight * len(sure[kind])
+            # without those of the padding before the first text, a passage each
+            self.passages[kind] += weight * (len(sure[kind]) - p.chars.starts[1])
             self.trusted[kind] += weight * sure[kind].sum()
             self.grow(kind, weight, in_positives(p, kind, sure[kind].astype(np.float64)))
 
@@ -414,19 +448,19 @@ class Tally:
             self.pos[i + kind * len(ORDERS)] += weight * n
 
     def absorb(self, texts: list[str]) -> None:
-        p = Passages(texts)
-        picked = self.model.surely(p)
-        if not (picked[0].any() or picked[1].any()):
-            return
-        # only texts with such a passage are worked on: are they trusted, and where
-        begins = [np.searchsorted(places, p.chars.starts) for places in (p.first, p.at)]
-        some = np.flatnonzero(np.logical_or(*(np.maximum.reduceat(x > 0, at) for x, at in zip(picked, begins))))
-        form = {i for i in some if any(trusted_spans(texts[i], x) for x in self.seeds)}
-        for weight, which in ((1.0, [i for i in some if i not in form]), (self.weight, sorted(form))):
-            if not which:
+        # only texts with a passage that is sure are worked on: are they trusted, and where
+        some: list[str] = []
+        for a in range(0, len(texts), NEAR):
+            p = Passages(["", *texts[a : a + NEAR]])
+            has = np.zeros(len(p.chars.starts), bool)
+            for x, places in zip(self.model.surely(p), (p.first, p.at)):
+                has[np.searchsorted(p.chars.starts, places[np.flatnonzero(x)], "right") - 1] = True
+            some += [texts[a + i] for i in np.flatnonzero(has[1:])]
+        form = self.with_form(some)
+        for weight, mine in ((1.0, [t for t, f in zip(some, form) if not f]), (self.weight, [t for t, f in zip(some, form) if f])):
+            if not mine:
                 continue
-            mine = [texts[i] for i in which]
-            q = Passages(mine)
+            q = Passages(mine := ["", *mine])
             soft, sure = self.model.surely(q), trusted_passages(mine, q, self.seeds)
             for kind in (0, 1):
                 self.grow(kind, weight, in_positives(q, kind, np.where(sure[kind], 0.0, soft[kind])))
@@ -439,8 +473,11 @@ class Tally:
         yield 2 * FEATURES, zlib.compress(np.concatenate((self.passages, self.trusted)).tobytes(), 1)
 
 
-def merge_tallies(a: bytes, b: bytes) -> bytes:
-    return zlib.compress((np.frombuffer(zlib.decompress(a)) + np.frombuffer(zlib.decompress(b))).tobytes(), 1)
+def merge_tallies(*parts: bytes) -> bytes:
+    total = np.frombuffer(zlib.decompress(parts[0])).copy()
+    for x in parts[1:]:
+        total += np.frombuffer(zlib.decompress(x))
+    return zlib.compress(total.tobytes(), 1)
 
 
 def rounds_of(tally, rounds: int) -> Residue:

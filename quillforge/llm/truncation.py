@@ -17,15 +17,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import residue
 from quillforge.llm.language import LANGS, label
-from quillforge.llm.chars import FOLD, gathered, map_rows, parted
+from quillforge.llm.chars import FOLD, folded, gathered, map_rows, parted
 from quillforge.sources.tables import spread
 
 ORDER = 12
@@ -91,26 +94,29 @@ def contexts(text: str) -> np.ndarray:
 def many_contexts(texts: list[str]) -> np.ndarray:
     """(texts, ORDER) hashes of each text's last 1 to ORDER characters; places before its start count as code 1."""
     tails = [t[-ORDER:].rjust(ORDER, "\x01") for t in texts]
-    raw = np.frombuffer("".join(tails).encode("utf-32-le", "replace"), np.uint32).reshape(len(texts), ORDER)
-    codes = np.where(raw < 0x10000, FOLD[np.minimum(raw, 0xFFFF)], raw)
+    codes = np.ascontiguousarray(folded(np.frombuffer("".join(tails).encode("utf-32-le", "replace"), np.uint32)).reshape(len(texts), ORDER).T)
     h, out = np.full(len(texts), 0x811C9DC5, np.uint32), np.empty((len(texts), ORDER), np.uint32)
     for k in range(ORDER):
-        h = (h ^ codes[:, ORDER - 1 - k]) * np.uint32(0x01000193)
+        h = (h ^ codes[ORDER - 1 - k]) * np.uint32(0x01000193)
         m = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         out[:, k] = m ^ (m >> np.uint32(12))
     return out
 
 
-def all_contexts(codes: np.ndarray) -> list[np.ndarray]:
-    """For each order the hash of the characters up to and with each position."""
-    h, out = np.full(len(codes), 0x811C9DC5, np.uint32), []
-    for k in range(ORDER):
-        before = np.ones(len(codes), np.uint32)
-        before[k:] = codes[: len(codes) - k] if k else codes
-        h = (h ^ before) * np.uint32(0x01000193)
-        m = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        out.append(m ^ (m >> np.uint32(12)))
-    return out
+def all_contexts(codes: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order the hash of the characters up to and with each of the positions ``at``; places before the start count as code 1."""
+    before = np.concatenate((np.ones(ORDER, np.uint32), codes))
+    h = np.full(len(at), 0x811C9DC5, np.uint32)
+    at = at + ORDER
+    for _ in range(ORDER):
+        h ^= np.take(before, at, mode="clip")
+        h *= np.uint32(0x01000193)
+        m = h >> np.uint32(15)
+        m ^= h
+        m *= np.uint32(0x2C1B3C6D)
+        m ^= m >> np.uint32(12)
+        yield m
+        at -= 1
 
 
 def bare(unit: str) -> str:
@@ -122,18 +128,24 @@ def noun_endings(unit: str) -> list[str]:
     """The forms in which a complete Korean sentence may close as a noun, as headings and notes do, by the rule of the alphabet."""
     if not unit.endswith("다"):
         return []
-    tail = max(0, len(unit) - 4)
-    m = re.search(r"(.)(?:습니다|다)$|(.)니다$", unit[tail:])
+    tail = unit[-4:]
+    return [unit[: len(unit) - len(tail)] + x for x in noun_tails(tail)]
+
+
+@lru_cache(100_000)
+def noun_tails(tail: str) -> tuple[str, ...]:
+    """The same for the last four characters, which all follows from."""
+    m = re.search(r"(.)(?:습니다|다)$|(.)니다$", tail)
     if not m or not (s := m.group(1) or m.group(2)) or not 0xAC00 <= ord(s) <= 0xD7A3:
-        return []
-    stem, code = unit[: tail + m.start()], ord(s) - 0xAC00
+        return ()
+    stem, code = tail[: m.start()], ord(s) - 0xAC00
     final, vowel, base = code % 28, code // 28 % 21, code // 28
     # vowels of the past tense and those of their stems: ae-a, wae-oe, yeo-i, wa-o, wo-u
     back = {1: 0, 10: 11, 6: 20, 9: 8, 14: 13}.get(vowel, vowel) if final == 20 else vowel
     noun = chr(0xAC00 + (base - vowel + back) * 28 + 16)
     if final in (4, 17) or final == 0:
-        return [stem + noun]
-    return [stem + noun, stem + s + "음"] if final == 20 else [stem + s + "음"]
+        return (stem + noun,)
+    return (stem + noun, stem + s + "음") if final == 20 else (stem + s + "음",)
 
 
 @dataclass
@@ -145,17 +157,26 @@ class Ends:
     inside: np.ndarray
     prior: float
     threshold: np.ndarray = field(default_factory=lambda: np.zeros((2, SLOTS)))
+    #: A broadcast of the counts, where there is one: tasks share it, so that the counts are sent and unpacked once for all passes.
+    sent: Broadcast | None = None
 
     def __getstate__(self) -> dict:
-        """Sorted keys as compressed steps, so that what goes to the tasks stays a few MB; they are the contexts of all requests."""
-        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.keys, prepend=np.uint32(0)), self.ends, self.inside)]
+        """Sorted keys as steps, in small types, so that what goes to the tasks stays small; they are the contexts of all requests."""
+        if self.sent is not None:
+            return {"sent": self.sent, "prior": self.prior, "threshold": self.threshold}
+        packed = narrow(np.diff(self.keys, prepend=np.uint32(0)), np.uint16) + narrow(self.ends, np.uint8) + narrow(self.inside, np.uint8)
         return {"packed": packed, "prior": self.prior, "threshold": self.threshold}
 
     def __setstate__(self, state: dict) -> None:
-        keys, ends, inside = map(zlib.decompress, state["packed"])
-        self.keys = np.cumsum(np.frombuffer(keys, np.uint32), dtype=np.uint32)
-        self.ends, self.inside = np.frombuffer(ends, np.uint32), np.frombuffer(inside, np.uint32)
-        self.prior, self.threshold = state["prior"], state["threshold"]
+        self.sent, self.prior, self.threshold = None, state["prior"], state["threshold"]
+        if "sent" in state:
+            of = state["sent"].value
+            self.keys, self.ends, self.inside = of.keys, of.ends, of.inside
+            return
+        keys, at = widened(state["packed"], 0, np.uint16)
+        self.keys = np.cumsum(keys, dtype=np.uint32)
+        self.ends, at = widened(state["packed"], at, np.uint8)
+        self.inside, _ = widened(state["packed"], at, np.uint8)
 
     def log_odds(self, text: str) -> float:
         return float(self.many_log_odds([text])[0])
@@ -225,23 +246,17 @@ WORD = np.array([chr(x).isalnum() or x == 32 for x in range(0x10000)])
 AT_END, FINAL_END = ORDER, ORDER + 1
 #: Slots that a table is cut into by its keys' first bits, so that no task merges a whole one.
 CUTS = 4
+#: So many last characters of a form hold all that its contexts and those of its noun endings are made of.
+ENOUGH = ORDER + 4
 #: One request in so many sets the thresholds; the others are counted.
 HELD = 5
 
 
-def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-    """Distinct keys in order with their sums, each as one number: the key above, the sum below."""
-    if counts is None:
-        keys = np.sort(keys)
-        at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
-        keys, sums = keys[at], np.diff(at, append=len(keys))
-    else:
-        both = np.sort(keys.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64))
-        keys = (both >> np.uint64(32)).astype(np.uint32)
-        at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
-        sums = np.add.reduceat(both & np.uint64(0xFFFFFFFF), at) if len(at) else np.zeros(0, np.uint64)
-        keys = keys[at]
-    return keys.astype(np.uint64) << np.uint64(32) | np.minimum(sums, 0xFFFFFFFF).astype(np.uint64)
+def counted(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order with how often they occur, each as one number: the key above, the count below."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+    return keys[at].astype(np.uint64) << np.uint64(32) | np.diff(at, append=len(keys)).astype(np.uint64)
 
 
 def split(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,17 +264,43 @@ def split(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def joined(tables: list[np.ndarray]) -> np.ndarray:
-    return counted(*split(np.concatenate(tables))) if len(tables) > 1 else tables[0]
+    """The distinct keys of all tables with the sums of their counts."""
+    if len(tables) == 1:
+        return tables[0]
+    both = np.concatenate(tables)
+    both.sort()
+    keys, n = split(both)
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))
+    sums = np.add.reduceat(n, at) if len(at) else n
+    return keys[at].astype(np.uint64) << np.uint64(32) | np.minimum(sums, np.uint64(0xFFFFFFFF))
+
+
+def narrow(x: np.ndarray, kind: type) -> bytes:
+    """Numbers in a smaller type, and those that it does not hold behind them."""
+    most = np.iinfo(kind).max
+    rest = x[x >= most].astype(np.uint32)
+    return np.array([len(x), len(rest)], np.int64).tobytes() + np.minimum(x, most).astype(kind).tobytes() + rest.tobytes()
+
+
+def widened(data: bytes, at: int, kind: type) -> tuple[np.ndarray, int]:
+    """The numbers that ``narrow`` put at a place, and the place behind them."""
+    n, more = np.frombuffer(data, np.int64, 2, at).tolist()
+    end = at + 16 + n * np.dtype(kind).itemsize
+    x = np.frombuffer(data, kind, n, at + 16).astype(np.uint32)
+    if more:
+        x[x == np.iinfo(kind).max] = np.frombuffer(data[end : end + 4 * more], np.uint32)
+    return x, end + 4 * more
 
 
 def packed(table: np.ndarray) -> bytes:
+    """A table as steps between its keys and counts, most of which are small."""
     keys, n = split(table)
-    return zlib.compress(np.diff(keys, prepend=np.uint32(0)).tobytes() + n.astype(np.uint32).tobytes(), 1)
+    return narrow(np.diff(keys, prepend=np.uint32(0)), np.uint16) + narrow(n, np.uint8)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    x = np.frombuffer(zlib.decompress(data), np.uint32)
-    return np.cumsum(x[: len(x) // 2], dtype=np.uint32).astype(np.uint64) << np.uint64(32) | x[len(x) // 2 :].astype(np.uint64)
+    keys, at = widened(data, 0, np.uint16)
+    return np.cumsum(keys, dtype=np.uint32).astype(np.uint64) << np.uint64(32) | widened(data, at, np.uint8)[0]
 
 
 class Counts:
@@ -285,8 +326,8 @@ class Counts:
         known = [u for p in parts for u in p[:-1]]
         final = [f for t in texts if t and t.strip() if (f := last_unit(bare(stripped(t)[0])))]
         raw = np.frombuffer(("\x01" * ORDER + ("\x01" * ORDER).join(every)).encode("utf-32-le", "replace"), np.uint32)
-        c = np.where(raw < 0x10000, FOLD[np.minimum(raw, 0xFFFF)], raw).astype(np.uint32)
-        word = WORD[np.minimum(c, 0xFFFF)]
+        c = folded(raw)
+        word = np.take(WORD, c, mode="clip")
         for i in np.flatnonzero(c >= 0x10000):
             word[i] = chr(c[i]).isalnum()
         # a position counts as inside where the same unit goes on with a letter, digit or space after it, or a number with a mark inside it
@@ -295,10 +336,23 @@ class Counts:
         digit = c == 48
         goes[:-1] |= digit[:-1] & (c[1:] == 37)
         goes[:-2] |= digit[:-2] & ((c[1:-1] == 44) | (c[1:-1] == 46)) & digit[2:]
-        for k, h in enumerate(all_contexts(c)):
-            self.put(k, h[goes])
-        if forms := [form for u in known for b in (bare(u),) for form in {u.rstrip(CLOSERS), b, *noun_endings(b)} if form]:
-            self.put(AT_END, many_contexts(forms).ravel())
+        for k, h in enumerate(all_contexts(c, np.flatnonzero(goes))):
+            self.put(k, h)
+        times: dict[str, int] = {}
+        for u in known:
+            # of a long form only the end takes part: equal ends are worked out once
+            end = u[-ENOUGH - 4 :]
+            if len(bare(end)) < ENOUGH:
+                end = u
+            times[end] = times.get(end, 0) + 1
+        ends: dict[str, int] = {}
+        for u, n in times.items():
+            b = bare(u)
+            for form in {u.rstrip(CLOSERS), b, *noun_endings(b)}:
+                if form:
+                    ends[form[-ORDER:]] = ends.get(form[-ORDER:], 0) + n
+        if ends:
+            self.put(AT_END, np.repeat(many_contexts(list(ends)), list(ends.values()), axis=0).ravel())
         if final:
             self.put(FINAL_END, many_contexts(final).ravel())
         self.known += len(known)
@@ -317,10 +371,10 @@ class Counts:
         yield (ORDER + 2) * CUTS, np.array([self.known, self.finals, self.going], np.int64).tobytes()
 
 
-def merge_counts(a: bytes, b: bytes) -> bytes:
-    if len(a) == 24:
-        return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
-    return packed(joined([unpacked(a), unpacked(b)]))
+def merge_counts(*parts: bytes) -> bytes:
+    if len(parts[0]) == 24:
+        return sum(np.frombuffer(x, np.int64) for x in parts).tobytes()
+    return packed(joined([unpacked(x) for x in parts]))
 
 
 def finish_counts(slot: int, data: bytes) -> bytes:
@@ -340,9 +394,10 @@ def model_of(slots: dict[int, bytes]) -> Ends:
     known, finals, going = np.frombuffer(slots.get((ORDER + 2) * CUTS, bytes(24)), np.int64).tolist()
     tables = {k: unpacked(v) for k, v in slots.items() if k < (ORDER + 2) * CUTS}
     nothing = np.zeros(0, np.uint64)
-    sides = [counted(*split(np.concatenate([nothing, *(v for k, v in tables.items() if (k >= AT_END * CUTS) == side)]))) for side in (True, False)]
+    sides = [joined([nothing, nothing, *(v for k, v in tables.items() if (k >= AT_END * CUTS) == side)]) for side in (True, False)]
     tables.clear()
-    keys = np.unique(np.concatenate([split(x)[0] for x in sides]))
+    keys = np.sort(np.concatenate([split(x)[0] for x in sides]))
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ 1))]
     if not len(keys):
         return Ends(*np.zeros((3, 1), np.uint32), 0.5)
     out = []
@@ -394,8 +449,8 @@ class Margins:
         yield 0, self.below.tobytes()
 
 
-def merge_margins(a: bytes, b: bytes) -> bytes:
-    return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
+def merge_margins(*parts: bytes) -> bytes:
+    return sum(np.frombuffer(x, np.int64) for x in parts).tobytes()
 
 
 def set_thresholds(model: Ends, below: np.ndarray) -> Ends:
@@ -432,6 +487,7 @@ def fit(students: DataFrame) -> Ends:
     rows = students.select("request_id", "translation", "lang_label")
     texts = rows.where(~held).select("request_id", "translation").distinct().select("translation")
     model = model_of(gathered(texts, Counts, merge_counts, 0, (ORDER + 2) * CUTS + 1, finish_counts))
+    model.sent = students.sparkSession.sparkContext.broadcast(model)
     below = gathered(spread(rows.where(held).select("translation", "lang_label")), lambda: Margins(model), merge_margins, 0, 1)
     return set_thresholds(model, np.frombuffer(below[0], np.int64).reshape(2, SLOTS, 2, -1) if below else Margins(model).below)
 

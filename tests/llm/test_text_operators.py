@@ -1,5 +1,6 @@
 """Residue, truncation, language and pair defects on the given tables and on hand-made edge cases."""
 
+import pickle
 import random
 import re
 
@@ -394,3 +395,35 @@ def test_quick_tests_of_pairs_leave_out_none(spark, data):
     for text in (source, source + " 매출", source + " 매출이 늘었다 했다", "ＴＨＥ board approved a budget of 12 million in the second quarter", "한 the board", source.replace("budget", "예산"), "매출은 12 million", "..."):
         for s in (source, source + " 매출이 늘었다 했다", "x ㈀ﾡ"):
             assert pairs.is_copy(s, text) == plain(s, text), (s, text)
+
+
+def test_residue_of_a_text_does_not_depend_on_its_neighbours(residue_model):
+    model, _ = residue_model
+    texts = ["매출은 3.2% 늘었다.", "Dear {{name}}, thanks.", "", "The plant in Ulsan opens in May."]
+    alone = np.concatenate([model.evidence([t]) for t in texts])
+    assert np.allclose(model.evidence(texts * 500), np.tile(alone, (500, 1)), atol=1e-4)
+
+
+def test_percentages_need_no_search_for_slots():
+    assert residue.may_be_trusted(["매출은 3.2%로 늘었다.", "%name% 님, 50%name%", "100%(추정)"]) == [(False, False), (False, True), (False, True)]
+
+
+def test_tables_of_contexts_are_narrow_and_merged_at_once():
+    rng = np.random.default_rng(1)
+    draws = [rng.integers(0, 1 << 32, 200_000, dtype=np.uint32) for _ in range(3)]
+    draws[0][:300], draws[1][:70_000] = 7, 0xFFFFFFFF
+    tables = [truncation.counted(x) for x in draws]
+    got = truncation.unpacked(truncation.merge_counts(*map(truncation.packed, tables)))
+    keys, n = np.unique(np.concatenate(draws), return_counts=True)
+    assert all(np.array_equal(*x) for x in zip(truncation.split(got), (keys, n)))
+    assert len(truncation.packed(got)) < 3.1 * len(got) and truncation.unpacked(truncation.packed(got[:0])).size == 0
+    back = pickle.loads(pickle.dumps(model := truncation.train(["매출이 늘었다. 이익은 줄었다. 끝."] * 300)))
+    assert all(np.array_equal(getattr(back, x), getattr(model, x)) for x in ("keys", "ends", "inside", "threshold"))
+
+
+def test_counts_of_contexts_are_sent_once(spark):
+    texts = [f"{i}번 공장의 매출이 늘었다. 이익은 줄었다. 끝이 났다." for i in range(40)]
+    model = truncation.fit(spark.createDataFrame([(str(i), t, "ko") for i, t in enumerate(texts)], "request_id string, translation string, lang_label string"))
+    assert model.sent is not None and "packed" not in model.__getstate__()
+    there = spark.sparkContext.parallelize([0], 1).map(lambda _: (model.keys.tobytes(), model.threshold.tobytes(), model.many_cut(texts).tolist())).collect()
+    assert there == [(model.keys.tobytes(), model.threshold.tobytes(), model.many_cut(texts).tolist())]
