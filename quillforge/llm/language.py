@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -62,6 +63,8 @@ CAPITALS = re.compile(r"[A-Z][A-Z]")
 CASED = re.compile(r"[a-z\u00df-\uffff]")
 LETTERS = re.compile(r"[^\W\d_]+")
 HANGUL = re.compile(r"[가-힣]")
+#: What only words hold.
+IN_WORDS = re.compile(r"[가-힣]|[A-Za-z][a-z]")
 QUOTED = re.compile(r"[“‘\"(（「『][^”’\")）」』\n]{1,120}[”’\")）」』]")
 TAG = re.compile(r"<[^<>\n]{0,80}>|https?://\S+")
 
@@ -80,6 +83,8 @@ def has_words(text: str) -> bool:
     caps = 0
     if "<" in text or "://" in text:
         text = TAG.sub(" ", text)
+    if IN_WORDS.search(text):
+        return True
     for m in LETTERS.finditer(text):
         w = m.group()
         if not w.isascii() or (len(w) > 1 and not w.isupper()):
@@ -119,24 +124,24 @@ class Network:
         known = np.zeros(1 << 16, bool)
         known[pairs] = True
         known = np.flatnonzero(known)
-        slots = np.zeros(1 << 16, np.intp)
+        slots = np.zeros(1 << 16, np.int32)
         slots[known] = np.arange(len(known))
-        at = slots[pairs]
         a, b = known >> 8, known & 0xFF
         each = [(self.embed @ self.filters[k * DIM : (k + 1) * DIM]).astype(np.float32, copy=False) for k in range(widest)]
         first, second = each[0][a] + each[1][b], each[2][a] + each[3][b]
         size = WINDOW - (x[:, ::-1] != 0).argmax(1)
         order = np.argsort(size, kind="stable")
+        at = slots[pairs[order]]
         places = WINDOW - widest + 1
         sums, more = (np.empty((step * places, total), np.float32) for _ in range(2))
         for i in range(0, len(x), step):
             c = order[i : i + step]
             m = min(places, int(size[c[-1]]))
             n = len(c) * m
-            np.take(first, at[c][:, :m].ravel(), axis=0, out=sums[:n], mode="clip")
-            np.take(second, at[c][:, 2 : m + 2].ravel(), axis=0, out=more[:n], mode="clip")
+            np.take(first, at[i : i + step, :m].ravel(), axis=0, out=sums[:n], mode="clip")
+            np.take(second, at[i : i + step, 2 : m + 2].ravel(), axis=0, out=more[:n], mode="clip")
             sums[:n] += more[:n]
-            top = sums[:n].reshape(len(c), m, total).max(1)
+            top = highest(sums[:n].reshape(len(c), m, total))
             # behind the last byte a filter gives zero
             z = np.maximum((np.maximum(top, 0) if m < places else top) + self.bias, 0) @ self.dense + shares[c] @ self.shares + self.dense_bias
             z -= z.max(1, keepdims=True)
@@ -144,6 +149,16 @@ class Network:
         return out
 
 
+def highest(x: np.ndarray) -> np.ndarray:
+    """The maximum over the middle axis, half against half in long runs; x is worked in."""
+    n = x.shape[1]
+    while n > 1:
+        half = n // 2
+        np.maximum(x[:, :half], x[:, n - half : n], out=x[:, :half])
+        n -= half
+    return x[:, 0]
+
+
 #: Bytes as the network sees them: digits alike, ASCII upper case as lower.
 BYTES = np.arange(256, dtype=np.uint8)
 BYTES[48:58] = 48
@@ -303,13 +318,18 @@ def train(sentences: list[str], langs: list[int], seed: int = 5) -> Network:
 SCRIPTS = 4
 
 
+#: What each character adds to the counts of Hangul and kana, and of Han and Latin letters.
+LETTER = np.zeros((2, 0x10000), np.int64)
+LETTER[0, 0xAC00:0xD7A4], LETTER[0, 0x3040:0x3100], LETTER[1, 0x4E00:0xA000] = 1, 1 << 32, 1
+LETTER[1, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = 1 << 32
+
+
 def counts_of(sentences: list[str]) -> np.ndarray:
     """(sentences, 4) numbers of Hangul, kana, Han and Latin letters."""
     c = Chars(sentences, pad=1)
-    raw = c.raw
-    kinds = ((raw >= 0xAC00) & (raw <= 0xD7A3), (raw >= 0x3040) & (raw <= 0x30FF), (raw >= 0x4E00) & (raw <= 0x9FFF),
-             ((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 0xC0) & (raw <= 0xFF))
-    return np.stack([np.add.reduceat(k, c.starts, dtype=np.int64) for k in kinds], axis=1)
+    # two counts in each sum
+    sums = [np.add.reduceat(np.take(x, c.raw, mode="clip"), c.starts) for x in LETTER]
+    return np.stack([x >> shift & 0xFFFFFFFF for x in sums for shift in (0, 32)], axis=1)
 
 
 def admitted(n: np.ndarray) -> np.ndarray:
@@ -372,6 +392,83 @@ def sentences_of(text: str) -> list[str]:
     return list(each_sentence(text))
 
 
+#: Kinds of characters: digits, marks inside numbers, spaces, letters, ends of sentences, closing marks; capitals, and what makes a text be read by ``each_sentence``:
+#: tags, slashes, ends that need no space.
+DIGIT, IN_NUMBER, SPACE, LETTER_LIKE, END, CLOSING, CAPITAL, HARD = (1 << k for k in range(8))
+#: Marks behind which a line end always ends a sentence.
+BEFORE_LINE = np.array([0, *map(ord, ".!?:…")], np.uint32)
+
+
+def kinds_table() -> np.ndarray:
+    out = np.zeros(0x10000, np.uint8)
+    for i in range(1, 0x10000):
+        c = chr(i)
+        out[i] = DIGIT * c.isdecimal() | SPACE * c.isspace() | LETTER_LIKE * (c.isalnum() and not c.isdecimal())
+    for kind, marks in ((IN_NUMBER, ".,"), (END, ".!?"), (CLOSING, "\"'”’»)]"), (CAPITAL, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (HARD, "<。！？/\uffff")):
+        out[[*map(ord, marks)]] |= kind
+    return out
+
+
+KINDS = kinds_table()
+
+
+def all_sentences(texts: list[str]) -> tuple[list[str], list[int]]:
+    """``each_sentence`` of many texts: the sentences, and the text of each. Plain texts, as most are, are worked on together: a run of spaces that ends a sentence
+    becomes a line end, any other a space, and a number becomes a digit."""
+    if not texts:
+        return [], []
+    c = Chars(texts, pad=1)
+    raw, edges = c.raw.copy(), c.starts + c.lengths
+    kind = np.take(KINDS, raw, mode="clip")
+    space = (kind & SPACE) != 0
+    # runs of spaces: where they begin, what stands before and behind, whether they hold a line end
+    begins = np.flatnonzero(space & ~np.concatenate(([False], space[:-1])))
+    behind = np.flatnonzero(space & ~np.concatenate((space[1:], [False]))) + 1
+    before = np.where(begins > 0, raw[begins - 1], 0)
+    broken = np.zeros(len(begins), bool)
+    broken[np.searchsorted(begins, np.flatnonzero(raw == 10), "right") - 1] = True
+    # texts that are not plain
+    odd = (kind & HARD) != 0
+    odd[:-1] |= ((kind[:-1] & kind[1:] & CAPITAL) != 0) | ((kind[:-1] & END) != 0) & ((kind[1:] & CLOSING) != 0)
+    odd[begins[broken & ~np.isin(before, BEFORE_LINE) & (raw[behind] != 0)]] = True
+    hard = np.zeros(len(texts), bool)
+    hard[np.searchsorted(c.starts, np.flatnonzero(odd), "right") - 1] = True
+    zeros = np.flatnonzero(raw == 0)
+    if len(zeros) > len(texts):
+        hard[np.searchsorted(c.starts, np.setdiff1d(zeros, edges), "right") - 1] = True
+    # a number is what lies between the first and the last digit of a run of digits and marks
+    digits = np.flatnonzero(kind & DIGIT)
+    other = np.cumsum((kind & (DIGIT | IN_NUMBER)) == 0, dtype=np.int32)
+    later = np.flatnonzero(np.diff(other[digits]) == 0) + 1
+    raw[digits] = 48
+    gone = np.zeros(len(raw) + 1, np.int8)
+    gone[digits[later - 1] + 1] += 1
+    gone[digits[later] + 1] -= 1
+    keep = np.cumsum(gone[:-1], dtype=np.int8) == 0
+    keep[space] = False
+    keep[begins] = True
+    ends = broken | np.isin(before, BEFORE_LINE[:4]) | (raw[behind] == 0)
+    raw[begins] = np.where(ends, 10, 32)
+    raw[edges] = 10
+    edge = np.zeros(len(raw), bool)
+    edge[edges] = True
+    raw, edge, letter = raw[keep], edge[keep], (kind[keep] & LETTER_LIKE) != 0
+    cuts = np.flatnonzero(raw == 10)
+    some = np.logical_or.reduceat(letter, np.concatenate(([0], cuts[:-1] + 1)))
+    of = np.cumsum(edge, dtype=np.int64)[cuts] - edge[cuts]
+    some &= ~hard[of]
+    lines = raw.tobytes().decode("utf-32-le", "replace").split("\n")
+    parts, owner = [lines[i] for i in np.flatnonzero(some)], of[some]
+    if hard.any():
+        at = np.flatnonzero(hard)
+        more = [(i, x) for i in at.tolist() for x in each_sentence(texts[i])]
+        parts += [x for _, x in more]
+        owner = np.concatenate((owner, np.array([i for i, _ in more], np.int64)))
+        order = np.argsort(owner, kind="stable")
+        parts, owner = [parts[i] for i in order], owner[order]
+    return parts, owner.tolist()
+
+
 def each_sentence(text: str) -> Iterator[str]:
     """Sentences with words or part of them; pieces without a letter are dropped, since they make no segment. Numbers and codes, which say nothing of
     the language, become a digit, so that more sentences of a batch are equal and worked out once."""
@@ -402,18 +499,27 @@ class Segments:
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
         """For each text its segments' languages and confidences, in order."""
-        parts, owner = [], []
-        for i, t in enumerate(texts):
-            if t and has_words(t):
-                for s in sentences_of(t):
-                    parts.append(s)
-                    owner.append(i)
+        parts, owner = all_sentences([t if t and has_words(t) else "" for t in texts])
         lang, sure, letters = self.classify(parts)
-        known = (sure >= np.where(letters >= SHORT, UNSURE, SURE)).tolist()
-        lang, sure = lang.tolist(), sure.tolist()
         out: list[list[tuple[str, float]]] = [[] for _ in texts]
+        if not parts:
+            return out
+        known = sure >= np.where(letters >= SHORT, UNSURE, SURE)
+        # most texts are in one language throughout
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        one = np.logical_and.reduceat(known, first) & (np.minimum.reduceat(lang, first) == np.maximum.reduceat(lang, first))
+        size = np.fromiter(map(len, parts), np.float64, len(parts))
+        mean = np.add.reduceat(sure * size, first) / np.add.reduceat(size, first)
+        ends = np.append(first[1:], len(parts)).tolist()
+        whole = {i: (j, c) for i, j, c in zip(first[one].tolist(), np.array(ends)[one].tolist(), mean[one].tolist())}
+        known, lang, sure = known.tolist(), lang.tolist(), sure.tolist()
         i = 0
         while i < len(parts):
+            if i in whole:
+                j, c = whole[i]
+                out[owner[i]].append((LANGS[lang[i]], c))
+                i = j
+                continue
             j = i
             while j < len(parts) and owner[j] == owner[i]:
                 j += 1
@@ -443,11 +549,9 @@ class Tuning:
         self.seen, self.held, self.lost = np.zeros(len(LANGS)), np.zeros(len(LANGS)), np.zeros((len(LANGS), len(TEMPERATURES)))
 
     def add(self, texts: list[str | None], labels: list[str | None]) -> None:
-        times: dict[tuple[str, int], int] = {}
-        for t, named in zip(texts, map(label, labels)):
-            if named and t:
-                for s in sentences_of(t):
-                    times[s, LANGS.index(named)] = times.get((s, LANGS.index(named)), 0) + 1
+        both = [(t, LANGS.index(named)) for t, named in zip(texts, map(label, labels)) if named and t]
+        parts, owner = all_sentences([t for t, _ in both])
+        times = Counter(zip(parts, [both[i][1] for i in owner]))
         pairs = [x for x in times if has_words(x[0])]
         if not pairs:
             return
@@ -510,14 +614,9 @@ def tuned(start: Network, total: np.ndarray) -> Network:
 def first_weights(students: DataFrame) -> Network:
     """Where training on all requests starts: a fit on a hash sample of the requests of each label (SAMPLE rows at most)."""
     rows = students.select("request_id", "translation", "lang_label")
-    sentences: list[str] = []
-    langs: list[int] = []
-    for lang, r in strata_sample(rows, "request_id", "lang_label", label, SAMPLE, "language"):
-        k = LANGS.index(lang)
-        for s in sentences_of(r["translation"] or ""):
-            if has_words(s):
-                sentences.append(s)
-                langs.append(k)
+    sample = strata_sample(rows, "request_id", "lang_label", label, SAMPLE, "language")
+    found = [(s, LANGS.index(sample[i][0])) for s, i in zip(*all_sentences([r["translation"] or "" for _, r in sample])) if has_words(s)]
+    sentences, langs = [s for s, _ in found], [k for _, k in found]
     # in a script that the label's language cannot have, the label is wrong beyond doubt
     fits = np.flatnonzero(scripts_of(sentences)[np.arange(len(langs)), langs]) if langs else []
     return train([sentences[i] for i in fits], [langs[i] for i in fits])
@@ -536,17 +635,23 @@ def fit(students: DataFrame) -> Segments:
     return Segments(tuned(start, np.frombuffer(total[0])) if total else start)
 
 
-def language_records(students: DataFrame) -> DataFrame:
-    """Segments of every request: request_id, lang_label, label, segment_no, segments, lang, confidence, and whether the request is spoiled."""
+def language_records(students: DataFrame, cases: bool = False) -> DataFrame:
+    """Segments of every request: request_id, lang_label, label, segment_no, segments, lang, confidence, and whether the request is spoiled. With ``cases``
+    only those of requests that are not spoiled and whose label is missing or not the segment's, or that have several."""
     model, residues = fit(students), residue.fit(students)
 
     def make():
         def work(ids, labels, texts):
             bad = residues.found(texts).tolist()
             out = {k: [] for k in ("request_id", "lang_label", "label", "segment_no", "segments", "lang", "confidence", "spoiled")}
+            if cases:
+                texts = [None if b else t for t, b in zip(texts, bad)]
             for i, parts in enumerate(model.segments(texts)):
+                named = label(labels[i])
+                if cases and len(parts) == 1 and parts[0][0] == named:
+                    continue
                 for n, (lang, sure) in enumerate(parts, 1):
-                    for k, v in zip(out, (ids[i], labels[i], label(labels[i]), n, len(parts), lang, sure, bad[i])):
+                    for k, v in zip(out, (ids[i], labels[i], named, n, len(parts), lang, sure, bad[i])):
                         out[k].append(v)
             return out
 
@@ -559,7 +664,7 @@ def language_records(students: DataFrame) -> DataFrame:
 def p5_found(students: DataFrame) -> DataFrame:
     """Segments of the requests whose label is missing or wrong or whose text has several languages, each once; spoiled requests are left out."""
     case = (F.col("segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
-    return language_records(students).where(~F.col("spoiled") & case).select("request_id", "segment_no", "lang").distinct()
+    return language_records(students, cases=True).where(~F.col("spoiled") & case).select("request_id", "segment_no", "lang").distinct()
 
 
 def language_share(students: DataFrame) -> DataFrame:

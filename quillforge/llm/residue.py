@@ -135,6 +135,10 @@ WITHOUT_CASE = np.array([0x130, 0x131, 0x17F, 0x212A], np.uint32)
 
 def may_be_trusted(texts: list[str]) -> list[tuple[bool, bool]]:
     """For each text whether it may hold a form of SEEDS[0] and of SEEDS[1]: a quick test, which leaves out no form."""
+    return [x for a in range(0, len(texts), NEAR) for x in near_trusted(texts[a : a + NEAR])]
+
+
+def near_trusted(texts: list[str]) -> list[tuple[bool, bool]]:
     c = Chars(texts)
     raw, folded = c.raw, c.folded()
     some = np.zeros((2, len(texts)), bool)

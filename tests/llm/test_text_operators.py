@@ -427,3 +427,24 @@ def test_counts_of_contexts_are_sent_once(spark):
     assert model.sent is not None and "packed" not in model.__getstate__()
     there = spark.sparkContext.parallelize([0], 1).map(lambda _: (model.keys.tobytes(), model.threshold.tobytes(), model.many_cut(texts).tolist())).collect()
     assert there == [(model.keys.tobytes(), model.threshold.tobytes(), model.many_cut(texts).tolist())]
+
+
+def test_sentences_of_many_texts_are_those_of_each():
+    for letters in ("aB가1234.!?。 \n\t/\"'”)%]  ..", "aB가.!? :…,12٣ \n\n  ", "ABab .<>/ 1", "a\0b. 😀\n가²_ 9", "ab.  !? \n\r\x1f 1,0."):
+        texts = odd_texts(6_000, letters)
+        for some in (texts, *([t] for t in texts[:500])):
+            assert list(zip(*language.all_sentences(some))) == [(s, i) for i, t in enumerate(some) for s in language.each_sentence(t)]
+    assert language.all_sentences([]) == ([], []) and language.all_sentences(["", "…"]) == ([], [])
+
+
+def test_highest_over_places():
+    x = np.random.default_rng(3).normal(size=(5, 61, 7))
+    for n in (1, 2, 3, 8, 60, 61):
+        assert np.array_equal(language.highest(x[:, :n].copy()), x[:, :n].max(1))
+
+
+def test_cases_are_those_of_all_records(students):
+    case = (F.col("segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    want = language.language_records(students).where(~F.col("spoiled") & case).drop("confidence").collect()
+    got = language.language_records(students, cases=True).drop("confidence").collect()
+    assert len(got) > 20 and sorted(map(str, got)) == sorted(map(str, want))
