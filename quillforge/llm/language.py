@@ -113,7 +113,7 @@ class Network:
         s = e.strides
         return np.lib.stride_tricks.as_strided(e, (len(x), n, w * DIM), (s[0], s[1], s[2]), writeable=False)
 
-    def log_probabilities(self, x: np.ndarray, shares: np.ndarray, step: int = 128) -> np.ndarray:
+    def log_probabilities(self, x: np.ndarray, shares: np.ndarray, step: int = 1024) -> np.ndarray:
         """(windows, languages) for windows of bytes and the script shares of their sentences. What a filter gives at a place is the sum of what it
         gives for two pairs of bytes, which are looked up; windows of like length are worked on together, up to their last byte."""
         widest, total = max(WIDTHS), self.filters.shape[1]
@@ -131,17 +131,19 @@ class Network:
         first, second = each[0][a] + each[1][b], each[2][a] + each[3][b]
         size = WINDOW - (x[:, ::-1] != 0).argmax(1)
         order = np.argsort(size, kind="stable")
-        at = slots[pairs[order]]
+        at = slots[pairs[order].T].astype(np.intp)  # by place
         places = WINDOW - widest + 1
-        sums, more = (np.empty((step * places, total), np.float32) for _ in range(2))
+        buffers = [np.empty((step, total), np.float32) for _ in range(3)]
         for i in range(0, len(x), step):
             c = order[i : i + step]
             m = min(places, int(size[c[-1]]))
-            n = len(c) * m
-            np.take(first, at[i : i + step, :m].ravel(), axis=0, out=sums[:n], mode="clip")
-            np.take(second, at[i : i + step, 2 : m + 2].ravel(), axis=0, out=more[:n], mode="clip")
-            sums[:n] += more[:n]
-            top = highest(sums[:n].reshape(len(c), m, total))
+            top, here, more = (x[: len(c)] for x in buffers)
+            top[:] = -np.inf
+            for j in range(m):
+                np.take(first, at[j, i : i + step], axis=0, out=here, mode="clip")
+                np.take(second, at[j + 2, i : i + step], axis=0, out=more, mode="clip")
+                here += more
+                np.maximum(top, here, out=top)
             # behind the last byte a filter gives zero
             z = np.maximum((np.maximum(top, 0) if m < places else top) + self.bias, 0) @ self.dense + shares[c] @ self.shares + self.dense_bias
             z -= z.max(1, keepdims=True)
@@ -149,16 +151,6 @@ class Network:
         return out
 
 
-def highest(x: np.ndarray) -> np.ndarray:
-    """The maximum over the middle axis, half against half in long runs; x is worked in."""
-    n = x.shape[1]
-    while n > 1:
-        half = n // 2
-        np.maximum(x[:, :half], x[:, n - half : n], out=x[:, :half])
-        n -= half
-    return x[:, 0]
-
-
 #: Bytes as the network sees them: digits alike, ASCII upper case as lower.
 BYTES = np.arange(256, dtype=np.uint8)
 BYTES[48:58] = 48
@@ -318,18 +310,13 @@ def train(sentences: list[str], langs: list[int], seed: int = 5) -> Network:
 SCRIPTS = 4
 
 
-#: What each character adds to the counts of Hangul and kana, and of Han and Latin letters.
-LETTER = np.zeros((2, 0x10000), np.int64)
-LETTER[0, 0xAC00:0xD7A4], LETTER[0, 0x3040:0x3100], LETTER[1, 0x4E00:0xA000] = 1, 1 << 32, 1
-LETTER[1, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = 1 << 32
-
-
 def counts_of(sentences: list[str]) -> np.ndarray:
     """(sentences, 4) numbers of Hangul, kana, Han and Latin letters."""
     c = Chars(sentences, pad=1)
-    # two counts in each sum
-    sums = [np.add.reduceat(np.take(x, c.raw, mode="clip"), c.starts) for x in LETTER]
-    return np.stack([x >> shift & 0xFFFFFFFF for x in sums for shift in (0, 32)], axis=1)
+    raw = c.raw
+    kinds = ((raw >= 0xAC00) & (raw <= 0xD7A3), (raw >= 0x3040) & (raw <= 0x30FF), (raw >= 0x4E00) & (raw <= 0x9FFF),
+             ((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 0xC0) & (raw <= 0xFF))
+    return np.stack([np.add.reduceat(k, c.starts, dtype=np.int64) for k in kinds], axis=1)
 
 
 def admitted(n: np.ndarray) -> np.ndarray:
